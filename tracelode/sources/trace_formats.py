@@ -46,7 +46,16 @@ def _usage_bad(usage: Column) -> Column:
     return F.exists(F.map_values(usage), lambda x: ~v.finite(x))
 
 
-_EMPTY = F.array().cast("array<string>")
+def _no_ids() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _no_usage() -> Column:
+    return F.map_from_arrays(_no_ids(), F.array().cast("array<double>"))
+
+
+def _absent(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
 def _event_columns(df: DataFrame) -> DataFrame:
@@ -56,10 +65,6 @@ def _event_columns(df: DataFrame) -> DataFrame:
     )
 
 
-_NULL_IDS = F.lit(None).cast("array<string>")
-_NULL_MAP = F.lit(None).cast("map<string,string>")
-
-
 def pi_events(tagged: DataFrame) -> DataFrame:
     """Message log with tool calls inside assistant content."""
     rows = tagged.filter(F.col("ordinal") > 0)
@@ -127,9 +132,9 @@ def pi_events(tagged: DataFrame) -> DataFrame:
         .when(msg, tx.fingerprint(F.col("kind_"), F.col("role_"), F.col("name_"), F.col("body")))
         .otherwise(tx.fingerprint(F.col("type"), F.col("model"))).alias("signature"),
         F.when(call | ~msg, F.lit(False)).otherwise(F.col("error_")).alias("is_error"),
-        F.when(call | ~msg, F.map_from_arrays(_EMPTY, F.array().cast("array<double>"))).otherwise(F.col("usage_")).alias("usage"),
-        _NULL_IDS.alias("parent_ids"), _NULL_MAP.alias("parent_relations"),
-        F.when(call, F.col("args.labels")).when(msg, tx.redaction_labels(F.col("body"))).otherwise(_EMPTY).alias("redactions"),
+        F.when(call | ~msg, _no_usage()).otherwise(F.col("usage_")).alias("usage"),
+        _absent("array<string>").alias("parent_ids"), _absent("map<string,string>").alias("parent_relations"),
+        F.when(call, F.col("args.labels")).when(msg, tx.redaction_labels(F.col("body"))).otherwise(_no_ids()).alias("redactions"),
         F.when(msg & ~call, F.col("meta_")).alias("meta"),
         F.coalesce("reason", F.when(msg & ~call & _usage_bad(F.col("usage_")), F.lit("usage_not_finite"))).alias("reason"),
     ))
@@ -171,7 +176,7 @@ def generic_events(tagged: DataFrame, biggest: int | None = None) -> DataFrame:
     placed = linked.withColumn("parent_id", parent).withColumn("args", v.nested_clean(F.col("arguments")))
     declared = F.when(_has("parent_ids"), listed).when(
         F.length("parent_id") > 0, F.array("parent_id")
-    ).otherwise(_EMPTY)
+    ).otherwise(_no_ids())
     bad_ids = _has("parent_ids") & (
         ~F.col("ids_ok") | (F.size(listed) > fv.MAX_PARENTS)
         | F.exists(listed, lambda p: p.isNull() | (p == "")) | (F.size(F.array_distinct(listed)) != F.size(listed))
@@ -235,8 +240,8 @@ def loop_events(tagged: DataFrame, names: Names = DEFAULT, biggest: int | None =
         "source", "line_no", "session_id", F.col("ordinal").alias("seq"), "id", "parent_id",
         F.concat(F.lit("loop_"), "event").alias("kind"), F.lit("controller").alias("role"),
         F.coalesce("adapter", "event").alias("name"), "ts_raw", F.lit("").alias("text"), "signature", "is_error",
-        F.map_from_arrays(_EMPTY, F.array().cast("array<double>")).alias("usage"),
-        _NULL_IDS.alias("parent_ids"), _NULL_MAP.alias("parent_relations"),
+        _no_usage().alias("usage"),
+        _absent("array<string>").alias("parent_ids"), _absent("map<string,string>").alias("parent_relations"),
         F.col("clean.labels").alias("redactions"), F.col("clean.value").alias("meta"), "format", "reason",
     ))
 
