@@ -35,42 +35,41 @@ def ranked_findings(findings: DataFrame, max_findings: int = 3) -> DataFrame:
     return first_rows(mapped, ["session_id"], order, max_findings).withColumnRenamed("_rank", "rank")
 
 
-def _insert_before(nodes: Column, spot: Column, node: str) -> Column:
-    """Put ``node`` at 1-based ``spot``; at the end when the spot is 0."""
-    at = F.when(spot > 0, spot).otherwise(F.size(nodes) + 1)
-    return F.concat(
-        F.slice(nodes, F.lit(1), at - 1), F.array(F.lit(node)),
-        F.slice(nodes, at, F.greatest(F.size(nodes) - at + 1, F.lit(0))),
-    )
-
-
 def _spot(nodes: Column, name: str) -> Column:
-    return F.array_position(nodes, F.lit(name)).cast("int")
-
-
-def _guarded(nodes: Column, flags: Column) -> Column:
-    """Apply one guard's insertions to a node sequence."""
-
-    def step(current: Column, flag: str, node: str, changed) -> Column:
-        wanted = F.array_contains(flags, flag) & ~F.array_contains(current, node)
-        return F.when(wanted, changed(current)).otherwise(current)
-
-    out = step(nodes, "preflight", "PreflightChecklist", lambda n: F.concat(F.array(F.lit("PreflightChecklist")), n))
-    for flag, node in (("escalation", "EscalationGate"), ("handoff", "Handoff")):
-        out = step(out, flag, node, lambda n, node=node: _insert_before(n, _spot(n, "Done"), node))
-    out = step(out, "classify", "ClassifyFailure", lambda n: (
-        F.when(_spot(n, "Act") > 0, _insert_before(n, _spot(n, "Act"), "ClassifyFailure"))
-        .when(_spot(n, "Start") > 0, F.concat(
-            F.array(F.lit("Start"), F.lit("ClassifyFailure")), F.slice(n, F.lit(2), F.size(n))))
-        .otherwise(F.concat(F.array(F.lit("ClassifyFailure")), n))
-    ))
+    """1-based position of a node, null when it is not there."""
+    return F.nullif(F.array_position(nodes, F.lit(name)).cast("int"), F.lit(0))
+
+
+# Insertions a guard can ask for, in the order they apply, with the node each one adds.
+_INSERTIONS = {
+    "preflight": "PreflightChecklist", "escalation": "EscalationGate", "handoff": "Handoff",
+    "classify": "ClassifyFailure", "retry": "RetryBudget(2)",
+}
+
+
+def _insert(nodes: Column, action: Column) -> Column:
+    """One insertion into a node sequence; nothing happens when the node is there already."""
+    node = F.element_at(F.create_map(*[F.lit(x) for pair in _INSERTIONS.items() for x in pair]), action)
+    end = F.size(nodes) + 1
+    before_done = F.coalesce(_spot(nodes, "Done"), end)
+    # Without an Act node the classifier follows Start, and Start takes the first place.
+    restart = (action == "classify") & _spot(nodes, "Act").isNull() & _spot(nodes, "Start").isNotNull()
+    base = F.when(restart, F.concat(F.array(F.lit("Start")), F.slice(nodes, F.lit(2), F.size(nodes)))).otherwise(nodes)
+    at = (
+        F.when(action == "preflight", F.lit(1)).when(action.isin("escalation", "handoff"), before_done)
+        .when(restart, F.lit(2)).when(action == "classify", F.coalesce(_spot(nodes, "Act"), F.lit(1)))
+        .otherwise(F.coalesce(_spot(nodes, "Verify"), _spot(nodes, "VerifyArtifacts"), before_done))
+    )
+    placed = F.concat(F.slice(base, F.lit(1), at - 1), F.array(node), F.slice(base, at, F.size(base)))
+    return F.when(F.array_contains(nodes, node), nodes).otherwise(placed)
 
-    def before_check(n: Column) -> Column:
-        check = F.when(_spot(n, "Verify") > 0, _spot(n, "Verify")).when(
-            _spot(n, "VerifyArtifacts") > 0, _spot(n, "VerifyArtifacts")).otherwise(_spot(n, "Done"))
-        return _insert_before(n, check, "RetryBudget(2)")
 
-    return step(out, "retry", "RetryBudget(2)", before_check)
+def _sequence(guards: Column, start: Column) -> Column:
+    """Node sequence after every guard, in rank order."""
+    wanted = F.flatten(F.transform(guards, lambda g: F.filter(
+        F.array(*[F.lit(a) for a in _INSERTIONS]), lambda a: F.array_contains(g["flags"], a)
+    )))
+    return F.aggregate(wanted, start, _insert)
 
 
 def topology_plan(
@@ -122,7 +121,7 @@ def topology_plan(
     )
     tail = F.concat(opt(on("escalation"), "browser-escalation"), opt(on("handoff"), "handoff"))
     start = F.when(F.size("primary.nodes") > 0, F.col("primary.nodes")).otherwise(lits(nodes))
-    sequence = F.aggregate("guards", start, lambda acc, g: _guarded(acc, g["flags"]))
+    sequence = _sequence(F.col("guards"), start)
     skipped = none & F.lit(not include_healthy)
     shown = lambda c: F.when(~skipped, c)
     plan = staged.select(

@@ -7,6 +7,7 @@ only its error rows; nothing of it reaches the events.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..functions import text as tx
 from ..functions import variants as v
 from ..names import DEFAULT, Names
 from ..operators.ordered import Running, running, seq_segment
+from ..session import cut
 from . import lines as ln
 
 # Positions inside one line never reach this, so seq keeps (line, position) order without a shuffle.
@@ -282,15 +284,17 @@ def ingest(
     lines: DataFrame, scan_errors: DataFrame | None = None, names: Names = DEFAULT, biggest: int | None = None
 ) -> Ingested:
     """All formats at once: detect, normalise, validate, quarantine whole sessions."""
-    parsed = ln.parse(lines)
-    tagged = ln.with_format(parsed, names)
-    ok = tagged.filter(F.col("reason").isNull())
-    staged = (
-        pi_events(ok.filter(F.col("format") == names.pi_format))
-        .unionByName(generic_events(ok.filter(F.col("format") == names.generic_format), biggest))
-        .unionByName(loop_events(ok.filter(F.col("format") == names.loop_format), names, biggest))
-    )
-    return settle(staged, parsed, _session_rows(tagged, names), scan_errors)
+    # Bronze table: lines are parsed once; the formats and the error report read from it.
+    tagged = cut(ln.with_format(ln.parse(lines), names))
+    usable = tagged.filter(F.col("reason").isNull() & F.col("format").isNotNull())
+    readers = {
+        names.pi_format: pi_events,
+        names.generic_format: lambda rows: generic_events(rows, biggest),
+        names.loop_format: lambda rows: loop_events(rows, names, biggest),
+    }
+    found = [r["format"] for r in usable.select("format").distinct().collect()] or [names.generic_format]
+    staged = [readers[f](usable.filter(F.col("format") == f)) for f in found]
+    return settle(cut(reduce(lambda a, b: a.unionByName(b), staged)), tagged, _session_rows(tagged, names), scan_errors)
 
 
 def settle(staged: DataFrame, parsed: DataFrame, sessions: DataFrame, scan_errors: DataFrame | None = None) -> Ingested:
