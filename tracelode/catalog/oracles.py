@@ -318,7 +318,7 @@ def _ingest_sql() -> dict[str, str]:
         "ingest_pi": _with(pi_parts, select=f"""SELECT session_id, CAST(ordinal * 1048576 AS BIGINT) AS seq, mid AS id,
               CASE WHEN turn > 0 THEN 'm' || conv_id || '-' || (turn - 1) END AS parent_id, 'message' AS kind, role, NULL AS name,
               {_finger("'message'", 'role', "'null'", _canonical('text'))} AS signature, false AS is_error,
-              sha256({_redacted('text')}) AS text_sha, array_to_string({_labels('text')}, ',') AS redactions,
+              sha256({_redacted('text')} || CASE WHEN answer THEN chr(10) ELSE '' END) AS text_sha, array_to_string({_labels('text')}, ',') AS redactions,
               CASE WHEN answer THEN CAST(turn AS DOUBLE) ELSE 0.0 END AS usage_sum FROM placed
             UNION ALL SELECT session_id, CAST(ordinal * 1048576 + 1 AS BIGINT), 't' || conv_id || '-' || turn, mid, 'tool_call', 'assistant', 'lookup',
               {_finger("'tool_call'", "'lookup'", "'{\"n\":\"' || turn || '\",\"token\":\"<redacted:token>\"}'")}, false,
@@ -331,11 +331,13 @@ def _ingest_sql() -> dict[str, str]:
               {_finger("'loop'", 'event', "coalesce(adapter, 'null')", "coalesce(action, 'null')", "coalesce(status, 'null')", "coalesce(failure, 'null')")} AS signature,
               not_ok OR coalesce(status = 'stopped', false) AS is_error, sha256('') AS text_sha, '' AS redactions, 0.0 AS usage_sum FROM named"""),
         "quarantine": """WITH rows AS (SELECT doc_id, 'docs/' || source || '-' || (doc_id % 40) || '.jsonl' AS source, doc_id % 53 AS k FROM documents),
+          headless AS (SELECT source FROM rows GROUP BY 1 HAVING arg_min(k, doc_id) IN (0, 1)),
           errors AS (
             SELECT source, CASE k WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'usage_not_finite'
-              ELSE 'malformed_parent_ids' END AS reason, count(*) AS rows FROM rows WHERE k < 4 GROUP BY 1, 2
+              ELSE 'malformed_parent_ids' END AS reason, count(*) AS rows FROM rows
+            WHERE k < 2 OR (k < 4 AND source NOT IN (SELECT source FROM headless)) GROUP BY 1, 2
             UNION ALL SELECT source, 'duplicate_event_id', 1 FROM (
-              SELECT source, k FROM rows WHERE k IN (2, 3, 4) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY source)
+              SELECT source, k FROM rows WHERE k IN (2, 3, 4) AND source NOT IN (SELECT source FROM headless) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY source)
           SELECT * FROM errors UNION ALL SELECT source, 'clean', count(*) FROM rows
           WHERE source NOT IN (SELECT source FROM errors) GROUP BY source""",
         "session_formats": """SELECT 'generic-jsonl' AS format, count(DISTINCT user_id) AS sessions, count(*) AS lines FROM events
