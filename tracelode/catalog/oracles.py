@@ -543,7 +543,7 @@ turns AS (
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 host AS (
   SELECT *, turn * 8 + k AS seq, s || '-' || (turn * 8 + k) AS event_id, s || ':r' || n AS request_id,
-    'w' || lpad(CAST(turn * 8 + k AS VARCHAR), 6, '0') AS wall_time
+    strftime(TIMESTAMP '2026-01-01 00:00:00' + (turn * 8 + k) * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS wall_time
   FROM (
     SELECT *, 0 AS k, 'system_prompt' AS type FROM turns WHERE role = 'system'
     UNION ALL SELECT *, 0, 'prompt' FROM turns WHERE role = 'user'

@@ -697,9 +697,9 @@ def stream_gaps_batch(spark, sf):
 
 
 def stream_sources(spark, sf):
-    marks = tail.read_log(spark, _log_folder(spark, sf)).filter(
+    marks = tail.with_time(tail.read_log(spark, _log_folder(spark, sf))).filter(
         "source_category in ('user_input', 'system_input') or observation in ('payload', 'dispatch')"
-    ).select("session_id", "request_id", "producer_seq", "event_id", F.expr("observation = 'load'").alias("is_source"))
+    ).select("session_id", "request_id", "producer_seq", "event_id", "event_time", F.expr("observation = 'load'").alias("is_source"))
     return _drained(spark, tail.recent_sources(marks))
 
 
@@ -717,7 +717,7 @@ def stream_drops(spark, sf):
 
 def stream_unique(spark, sf):
     """Repeated event ids are dropped within the watermark."""
-    events = st.context(spark, sf).withColumn("wall_time", F.lit("2026-01-01T00:00:00Z"))
+    events = st.context(spark, sf)
     folder = work_path(spark, "log")
     context.to_log(events.unionByName(events.filter("producer_seq % 3 = 0"))).repartition(4, "eventId").write.json(folder)
     return _drained(spark, tail.without_repeats(tail.read_log(spark, folder))).select("session_id", "event_id", "producer_seq")

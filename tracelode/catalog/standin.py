@@ -376,7 +376,7 @@ def host_records(spark: SparkSession, sf: str) -> DataFrame:
     seq = F.col("turn") * 8 + F.col("s.k")
     return rows.select(
         "session_id", seq.alias("seq"), F.concat(F.col("session_id"), F.lit("-"), seq.cast("string")).alias("event_id"),
-        F.concat(F.lit("w"), F.lpad(seq.cast("string"), 6, "0")).alias("wall_time"),
+        F.date_format(F.timestamp_seconds(F.lit(1767225600) + seq), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("wall_time"),
         F.concat(F.col("session_id"), F.lit(":r"), F.col("n").cast("string")).alias("request_id"),
         F.lit(None).cast("string").alias("attempt_id"), F.col("s.type").alias("type"), F.col("s.body").alias("body"),
     )

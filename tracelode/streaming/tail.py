@@ -16,6 +16,7 @@ from ..schemas import CONTEXT_LOG
 from ..sources import context
 
 LATENESS = "1 hour"
+IDLE_MS = 24 * 3600 * 1000
 
 
 def read_log(spark: SparkSession, folder: str, names: Names = DEFAULT, files_per_batch: int = 1000) -> DataFrame:
@@ -32,8 +33,19 @@ def append(events: DataFrame, table: str, checkpoint: str, available_now: bool =
 
 def without_repeats(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Drop repeated event ids while the watermark bounds the remembered ids."""
-    timed = events.withColumn("event_time", F.to_timestamp("wall_time")).withWatermark("event_time", lateness)
-    return timed.dropDuplicatesWithinWatermark(["event_id"])
+    return with_time(events, lateness).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def with_time(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Event time from the recorder's clock, with the watermark that bounds all state."""
+    return events.withColumn("event_time", F.try_to_timestamp("wall_time")).withWatermark("event_time", lateness)
+
+
+def _keep_until(state: GroupState, rows: pd.DataFrame) -> None:
+    """Forget a turn a day of event time after its last row."""
+    newest = rows["event_time"].max()
+    last = 0 if pd.isna(newest) else int(newest.timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MS)
 
 
 _GAP = "session_id string, request_id string, seq bigint, event_id string, boundary string"
@@ -58,7 +70,7 @@ def _turn_gaps(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
             if tools == 0:
                 found.append((*key, row.producer_seq, row.event_id, "capture_health.missing_tool_events"))
     state.update((payloads, tools))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    _keep_until(state, rows)
     if found:
         yield pd.DataFrame(found, columns=["session_id", "request_id", "seq", "event_id", "boundary"])
 
@@ -69,13 +81,14 @@ def is_tool_event():
     )
 
 
-def turn_gaps(events: DataFrame) -> DataFrame:
+def turn_gaps(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """End-of-turn gap rows as a stream; the state of a turn is two counters."""
-    narrow = events.filter(F.col("request_id").isNotNull()).filter(
+    narrow = with_time(events, lateness).filter(F.col("request_id").isNotNull()).filter(
         F.col("observation").isin("payload", "dispatch", "response") | is_tool_event()
-    ).select("session_id", "request_id", "producer_seq", "event_id", "observation", is_tool_event().alias("is_tool"))
+    ).select("session_id", "request_id", "producer_seq", "event_id", "observation", is_tool_event().alias("is_tool"),
+             "event_time")
     return narrow.groupBy("session_id", "request_id").applyInPandasWithState(
-        _turn_gaps, _GAP, _TURN, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _turn_gaps, _GAP, _TURN, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -119,15 +132,18 @@ def _recent(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
             first = pushed - len(ids) + 1
             out += [(*key, row.event_id, held, first + i) for i, held in enumerate(ids)]
     state.update((pushed, ids))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    _keep_until(state, rows)
     if out:
         yield pd.DataFrame(out, columns=["session_id", "request_id", "payload_id", "source_id", "source_no"])
 
 
 def recent_sources(marks: DataFrame) -> DataFrame:
-    """Recent-source buffer as a stream: (session_id, request_id, producer_seq, event_id, is_source) in (T4)."""
+    """Recent-source buffer as a stream: (session_id, request_id, producer_seq, event_id, event_time, is_source) in (T4).
+
+    ``event_time`` carries the watermark of ``with_time``.
+    """
     return marks.groupBy("session_id", "request_id").applyInPandasWithState(
-        _recent, _HELD, _BUFFER, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _recent, _HELD, _BUFFER, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
