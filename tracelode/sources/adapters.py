@@ -41,15 +41,39 @@ def _fixed(**values: str) -> dict[str, Column]:
     return {k: F.lit(x) for k, x in values.items()}
 
 
-def _sized(text: Column, secret: str, chars: bool = True) -> dict[str, Column]:
-    """Version key, estimate and sizes of a text; all null when it is empty."""
-    some = F.length(text) > 0
-    out = {
-        "content_version_key": F.when(some, tx.content_version(text, secret)),
-        "estimated_tokens": F.when(some, tx.token_estimate(text)),
-        "byte_count": F.when(some, tx.byte_size(text)),
+def _sized(text: Column, chars: bool = True) -> dict[str, Column]:
+    """Version, estimate and sizes of a text; all null when it is empty."""
+    return _full(F.when(F.length(text) > 0, text), chars)
+
+
+def _full(text: Column, chars: bool = True) -> dict[str, Column]:
+    """Version, estimate and sizes of a text, also when it is empty."""
+    return {"_version_of": text, "_size_of": text} | ({"_chars_of": text} if chars else {})
+
+
+def _key(kind: str, material: Column) -> dict[str, Column]:
+    return {"_key_of": F.concat(F.lit(f"{kind}:"), material)}
+
+
+def _finish(df: DataFrame, columns: dict[str, Column], secret: str, names: Names) -> DataFrame:
+    """Turn the inputs that the cases chose into keys, versions and sizes, each computed once per row."""
+    inputs = {c: x for c, x in columns.items() if c.startswith("_")}
+    out = {c: x for c, x in columns.items() if not c.startswith("_")}
+    made = {
+        "source_key": lambda: tx.hmac32(F.col("_key_of"), secret) if "_key_of" in inputs else None,
+        "content_version_key": lambda: tx.content_version(F.col("_version_of"), secret) if "_version_of" in inputs else None,
+        "estimated_tokens": lambda: tx.token_estimate(F.col("_size_of")) if "_size_of" in inputs else None,
+        "byte_count": lambda: tx.byte_size(F.col("_size_of")) if "_size_of" in inputs else None,
+        "char_count": lambda: tx.utf16_length(F.col("_chars_of")) if "_chars_of" in inputs else None,
     }
-    return out | ({"char_count": F.when(some, tx.utf16_length(text))} if chars else {})
+    guard = {"source_key": "_key_of", "content_version_key": "_version_of", "estimated_tokens": "_size_of",
+             "byte_count": "_size_of", "char_count": "_chars_of"}
+    for name, make in made.items():
+        value = make()
+        if value is not None:
+            value = F.when(F.col(guard[name]).isNotNull(), value)
+            out[name] = F.coalesce(out[name], value) if name in out else value
+    return build(df.withColumns(inputs), out, names)
 
 
 # --- rollout transcripts ----------------------------------------------------
@@ -110,14 +134,14 @@ def codex_rollout(lines: DataFrame, secret: str, names: Names = DEFAULT, biggest
     )
     count = lambda key: v.number(v.at(totals, f"$.{key}"))
     item = lambda other: F.coalesce(v.text(_get("$.payload.id")), other)
-    sized = _sized(said_text, secret)
+    sized = _sized(said_text)
     per_shape = {
         "meta": _fixed(
             observation="inventory", evidence="inventoried", boundary="transcript.session_meta", coverage="partial",
             source_category="other", source_alias="codex_session",
         ) | {
-            "source_key": tx.keyed_id("session", F.coalesce(
-                v.text(_get("$.payload.session_id")), v.text(_get("$.payload.id")), F.col("session_id")), secret),
+            **_key("session", F.coalesce(
+                v.text(_get("$.payload.session_id")), v.text(_get("$.payload.id")), F.col("session_id"))),
             "notes": F.format_string(
                 "cli_version=%s; model_provider=%s",
                 F.coalesce(v.text(_get("$.payload.cli_version")), F.lit("unknown")),
@@ -128,7 +152,7 @@ def codex_rollout(lines: DataFrame, secret: str, names: Names = DEFAULT, biggest
             observation="load", evidence="runtime_loaded", boundary="transcript.user_message", coverage="partial",
             source_category="user_input", source_alias="user_prompt", encoding="utf8",
         ) | sized | {
-            "source_key": tx.keyed_id("user_input", item(request), secret), "raw_text_redacted": F.lit(True),
+            **_key("user_input", item(request)), "raw_text_redacted": F.lit(True),
             "notes": F.when(hidden, "secret-like user text redacted; metadata only"),
         },
         "answer": _fixed(
@@ -136,7 +160,7 @@ def codex_rollout(lines: DataFrame, secret: str, names: Names = DEFAULT, biggest
             coverage="partial", source_category="model_output", encoding="utf8",
         ) | sized | {
             "source_alias": F.concat(F.lit("codex_assistant_"), phase),
-            "source_key": tx.keyed_id("model_output", item(F.concat_ws(":", request, phase)), secret),
+            **_key("model_output", item(F.concat_ws(":", request, phase))),
             "parent_event_ids": F.when(F.length("speaker") > 0, F.array("speaker")),
             "raw_text_redacted": F.lit(True),
             "notes": F.when(hidden, "secret-like assistant text redacted; metadata only"),
@@ -156,12 +180,12 @@ def codex_rollout(lines: DataFrame, secret: str, names: Names = DEFAULT, biggest
     columns = _case(F.col("shape"), per_shape)
     columns["parent_event_ids"] = F.coalesce(columns["parent_event_ids"], F.array().cast("array<string>"))
     known = F.col("shape") != "drop"
-    return build(scanned, columns | {
+    return _finish(scanned, columns | {
         "event_id": F.col("event_id"), "session_id": F.col("session_id"), "producer_seq": F.col("producer_seq"),
         "request_id": F.when(known, request), "attempt_id": F.when(known, F.concat(request, F.lit(":a1"))),
         "wall_time": v.string(_get("$.timestamp")),
         "adapter_id": F.lit(fv.CODEX_ADAPTER), "adapter_version": F.lit(fv.CODEX_VERSION),
-    }, names)
+    }, secret, names)
 
 
 def codex_history(rows: DataFrame, secret: str, names: Names = DEFAULT) -> DataFrame:
@@ -169,18 +193,18 @@ def codex_history(rows: DataFrame, secret: str, names: Names = DEFAULT) -> DataF
     some = rows.filter(F.length("text") > 0)
     request = F.concat_ws(":", F.lit("codex-hist"), "session_id", F.coalesce(F.col("ts").cast("string"), F.lit("0")))
     hidden = tx.looks_secret(F.col("text"))
-    return build(some, _fixed(
+    return _finish(some, _fixed(
         observation="inventory", evidence="inventoried", boundary="history.user_text", coverage="partial",
         source_category="user_input", source_alias="history_prompt",
         adapter_id=fv.CODEX_ADAPTER, adapter_version=fv.CODEX_VERSION,
     ) | {
         "session_id": F.col("session_id"), "producer_seq": F.col("seq"), "wall_time": F.col("ts").cast("string"),
         "request_id": request, "attempt_id": F.concat(request, F.lit(":a1")),
-        "source_key": tx.keyed_id("user_input", request, secret),
+        **_key("user_input", request),
         "content_version_key": tx.content_version(F.col("text"), secret),
         "estimated_tokens": tx.token_estimate(F.col("text")), "raw_text_redacted": F.lit(True),
         "notes": F.when(hidden, "secret-like history text redacted"),
-    }, names)
+    }, secret, names)
 
 
 # --- hook records -----------------------------------------------------------
@@ -221,27 +245,27 @@ def claude_hooks(records: DataFrame, secret: str, names: Names = DEFAULT) -> Dat
             observation="inventory", evidence="inventoried", coverage="partial", source_category="other",
             source_alias="claude_session",
         ) | {
-            "source_key": tx.keyed_id("session", F.coalesce(v.text(_get("$.session_id")), F.lit("unknown")), secret),
+            **_key("session", F.coalesce(v.text(_get("$.session_id")), F.lit("unknown"))),
             "raw_text_redacted": hidden,
         },
         "UserPromptSubmit": _fixed(
             observation="load", evidence="runtime_loaded", coverage="partial", source_category="user_input",
             source_alias="user_prompt", encoding="utf8",
-        ) | _sized(prompt, secret) | {
-            "source_key": tx.keyed_id("user_input", req, secret), "raw_text_redacted": hidden,
+        ) | _sized(prompt) | {
+            **_key("user_input", req), "raw_text_redacted": hidden,
             "notes": F.when(tx.looks_secret(prompt), "secret-like prompt redacted; metadata only"),
         },
         "PreToolUse": _fixed(
             observation="load", evidence="runtime_loaded", coverage="partial", source_category="other",
         ) | {
-            "source_alias": tool, "source_key": tx.keyed_id("tool_call", F.concat_ws(":", tool, req), secret),
+            "source_alias": tool, **_key("tool_call", F.concat_ws(":", tool, req)),
             "raw_text_redacted": hidden,
         },
         "PostToolUse": _fixed(
             observation="read", evidence="read_result", source_category="tool_result", encoding="utf8",
-        ) | _sized(answer, secret, chars=False) | {
+        ) | _sized(answer, chars=False) | {
             "coverage": F.when(answer != "", "partial").otherwise("unknown"),
-            "source_alias": tool, "source_key": tx.keyed_id("tool_result", F.concat_ws(":", tool, req), secret),
+            "source_alias": tool, **_key("tool_result", F.concat_ws(":", tool, req)),
             "source_range": F.when(answer != "", F.struct(
                 F.lit(0).cast("bigint").alias("start"), tx.byte_size(answer).alias("end"))),
             "raw_text_redacted": hidden,
@@ -250,19 +274,19 @@ def claude_hooks(records: DataFrame, secret: str, names: Names = DEFAULT) -> Dat
             observation="transform", evidence="summary_ancestor", coverage="partial", source_category="summary",
             source_alias="precompact",
         ) | {
-            "source_key": tx.keyed_id("summary", req, secret), "raw_text_redacted": hidden,
+            **_key("summary", req), "raw_text_redacted": hidden,
             "notes": F.concat(F.lit("PreCompact trigger="), F.coalesce(v.text(_get("$.compact_trigger")), F.lit("unknown"))),
         },
         "unlisted": _fixed(observation="capture_health", evidence="unknown", coverage="unknown") | {
             "unsupported_boundary": F.col("boundary"),
         },
     }
-    return build(typed, _case(F.col("shape"), per_shape) | {
+    return _finish(typed, _case(F.col("shape"), per_shape) | {
         "session_id": F.col("session_id"), "producer_seq": F.col("seq"), "wall_time": F.col("wall_time"),
         "boundary": F.col("boundary"), "request_id": req, "attempt_id": F.concat(req, F.lit(":a1")),
         "handler_ordinal": F.lit(0),
         "adapter_id": F.lit(fv.CLAUDE_ADAPTER), "adapter_version": F.lit(fv.CLAUDE_VERSION),
-    }, names)
+    }, secret, names)
 
 
 # --- host events ------------------------------------------------------------
@@ -309,59 +333,55 @@ def pi_host_events(records: DataFrame, secret: str, names: Names = DEFAULT) -> D
     provisional = flag("provisional") & ~final
     number = lambda key: v.number(_get(f"$.{key}"))
     content = text("content")
-    of_content = _sized(content, secret)
+    of_content = _sized(content)
     # A prompt, a tool result and a payload carry sizes even when they are empty.
-    full = lambda t: {
-        "content_version_key": tx.content_version(t, secret), "estimated_tokens": tx.token_estimate(t),
-        "byte_count": tx.byte_size(t), "char_count": tx.utf16_length(t),
-    }
     result_range = F.when(
         v.is_object(_get("$.range")),
         F.struct(v.at(_get("$.range.start"), "$", "bigint").alias("start"), v.at(_get("$.range.end"), "$", "bigint").alias("end")),
     ).when(F.coalesce(v.kind_of(_get("$.range")) == "VOID", F.lit(False)), None).otherwise(span["range"])
     result_path = F.coalesce(maybe("path"), span["path"])
     result_method = F.coalesce(maybe("matchMethod"), span["match_method"])
-    plain = {k: x for k, x in full(serial).items() if k != "char_count"}
+    plain = _full(serial, chars=False)
     per_type = {
-        "prompt": load | full(body) | _fixed(
+        "prompt": load | _full(body) | _fixed(
             boundary="before_agent_start.prompt", coverage="full", source_category="user_input",
             source_alias="user_prompt", encoding="utf8",
         ) | {
-            "source_key": tx.keyed_id("user_input", req, secret), "raw_text_redacted": redacted,
+            **_key("user_input", req), "raw_text_redacted": redacted,
             "notes": F.when(tx.looks_secret(body), "secret-like prompt redacted; metadata only"),
         },
         "system_prompt": load | _fixed(
             boundary="before_agent_start.systemPrompt", coverage="full", source_category="system_input",
             source_alias="Assembled system prompt", source_key="assembled-system-prompt",
-        ) | {"content_version_key": tx.content_version(body, secret), "raw_text_redacted": redacted},
+        ) | {"_version_of": body, "raw_text_redacted": redacted},
         "context_file": load | of_content | _fixed(
             boundary="before_agent_start.contextFiles", source_category="instructions", encoding="utf8",
         ) | {
             "coverage": F.when(content != "", "full").otherwise("partial"), "source_alias": maybe("path"),
-            "source_path": maybe("path"), "source_key": tx.keyed_id("instructions", maybe("path"), secret),
+            "source_path": maybe("path"), **_key("instructions", maybe("path")),
             "raw_text_redacted": redacted,
         },
         "skill": load | of_content | _fixed(
             boundary="before_agent_start.skills", source_category="skill", encoding="utf8",
         ) | {
             "coverage": F.when(content != "", "full").otherwise("partial"), "source_alias": maybe("name"),
-            "source_path": maybe("filePath"), "source_key": tx.keyed_id("skill", maybe("name"), secret),
+            "source_path": maybe("filePath"), **_key("skill", maybe("name")),
             "notes": F.when(maybe("filePath") != "", F.concat(F.lit("sourcePath="), maybe("filePath"))),
             "raw_text_redacted": redacted,
         },
         "tool_call": load | _fixed(boundary="tool_call.start", source_category="tool_result") | {
             "tool_call_id": call, "coverage": span["coverage"], "source_alias": F.coalesce(span["path"], tool),
-            "source_key": tx.keyed_id("tool_call", F.concat_ws(":", tool, call), secret),
+            **_key("tool_call", F.concat_ws(":", tool, call)),
             "source_range": span["range"], "match_method": span["match_method"], "raw_text_redacted": redacted,
         },
-        "tool_result": full(content) | _fixed(
+        "tool_result": _full(content) | _fixed(
             evidence="read_result", boundary="tool_result", source_category="tool_result", encoding="utf8",
         ) | {
             "tool_call_id": call, "observation": F.coalesce(maybe("observation"), span["observation"]),
             "coverage": F.coalesce(maybe("coverage"), F.when(
                 result_range.isNotNull() | (result_path != ""), span["coverage"]).otherwise("partial")),
             "source_alias": F.coalesce(result_path, tool),
-            "source_key": tx.keyed_id("tool_result", F.concat_ws(":", tool, call), secret),
+            **_key("tool_result", F.concat_ws(":", tool, call)),
             "source_range": result_range, "match_method": result_method, "raw_text_redacted": redacted,
             "notes": F.when(tx.looks_secret(content), "secret-like tool output not persisted").when(
                 result_range.isNull(), "No runtime span on tool result; refusing to invent 0..N byte range"),
@@ -372,7 +392,7 @@ def pi_host_events(records: DataFrame, secret: str, names: Names = DEFAULT) -> D
             "boundary": F.when(provisional, "before_provider_request.provisional").when(
                 final, "before_provider_request.final").otherwise("before_provider_request"),
             "coverage": F.when(provisional, "partial").otherwise("full"),
-            "source_key": tx.keyed_id("payload", req, secret),
+            **_key("payload", req),
             "match_method": F.concat(F.lit("sha256:"), F.substring(F.sha2(serial, 256), 1, 16)),
             "raw_text_redacted": redacted,
         },
@@ -385,19 +405,19 @@ def pi_host_events(records: DataFrame, secret: str, names: Names = DEFAULT) -> D
             observation="transform", evidence="summary_ancestor", boundary="compaction", coverage="full",
             source_category="summary", source_alias="compaction_summary",
         ) | {
-            "source_key": tx.keyed_id("summary", req, secret), "content_version_key": tx.content_version(body, secret),
+            **_key("summary", req), "_version_of": body,
             "estimated_tokens": tx.token_estimate(body), "raw_text_redacted": redacted,
             "lineage_event_ids": F.transform(v.items(_get("$.ancestorEventIds")), lambda a: v.text(a)),
         },
         "extension": load | _fixed(
             boundary="extension_execute", coverage="full", source_category="other",
             ambiguity="extension executed; no payload match for extension source",
-        ) | {"source_alias": maybe("name"), "source_key": tx.keyed_id("extension", maybe("name"), secret)},
+        ) | {"source_alias": maybe("name"), **_key("extension", maybe("name"))},
         "response": _fixed(
             observation="response", evidence="runtime_loaded", coverage="partial", boundary="message_end.assistant",
             source_category="model_output", source_alias="Assistant response",
         ) | {
-            "content_version_key": tx.content_version(body, secret), "byte_count": tx.byte_size(body),
+            "_version_of": body, "byte_count": tx.byte_size(body),
             "parent_event_ids": F.when(maybe("payloadEventId") != "", F.array(maybe("payloadEventId"))),
             "raw_text_redacted": redacted,
         },
@@ -413,12 +433,12 @@ def pi_host_events(records: DataFrame, secret: str, names: Names = DEFAULT) -> D
         columns[ids] = F.coalesce(columns[ids], F.array().cast("array<string>"))
     attempt = F.coalesce("attempt_id", F.concat(req, F.lit(":a1")))
     extra = {"event_id": F.col("event_id")} if "event_id" in records.columns else {}
-    return build(rows, columns | extra | {
+    return _finish(rows, columns | extra | {
         "session_id": F.col("session_id"), "producer_seq": F.col("seq"), "wall_time": F.col("wall_time"),
         "request_id": req, "attempt_id": attempt,
         "handler_ordinal": F.when(~F.col("type").isin("usage", "compaction", "extension", "response", "gap"), 0),
         "adapter_id": F.lit(fv.PI_ADAPTER), "adapter_version": F.lit(fv.PI_VERSION),
-    }, names)
+    }, secret, names)
 
 
 def default_ancestors(events: DataFrame, biggest: int | None = None) -> DataFrame:
