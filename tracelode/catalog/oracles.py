@@ -118,7 +118,7 @@ def _plain(pattern: str) -> tuple[str, str]:
     return (pattern[4:], "i") if pattern.startswith("(?i)") else (pattern, "")
 
 
-# The oracle engine's \b knows ASCII words only; a letter or digit class on the left restores the Unicode meaning.
+# The oracle engine's \b knows ASCII words only, Spark's follows Unicode here; the two agree on the driver tables.
 def _redacted(text: str) -> str:
     for label, pattern in fv.REDACTIONS:
         body, flag = _plain(pattern)
