@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import exact_dedup, host_quality
+from tracelode.llm import byte_bpe, exact_dedup, host_quality, packing, substring_dedup
 from tracelode.session import tune
 
+BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules of every document, with verdicts on hosts."""
     return host_quality.judge(documents(spark, folder)).select(
@@ -21,12 +30,32 @@ def op1_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    return substring_dedup.dedup(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' tokens packed into sequences."""
+    return packing.pack(documents(spark, folder), vocabulary(WORD_VOCABULARY))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal documents and the one that stays."""
     return exact_dedup.duplicates(documents(spark, folder))
 
 
-ALL = (op1_host_quality, op9_exact_dedup)
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded to byte-level BPE ids and decoded again."""
+    import public_tokenizers
+
+    done = byte_bpe.round_trip(documents(spark, folder), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+ALL = (op1_host_quality, op2_substring_dedup, op7_best_fit_packing, op9_exact_dedup, op10_byte_bpe)
 
 
 def registered() -> dict:
