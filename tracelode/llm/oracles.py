@@ -54,5 +54,22 @@ g AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g"""
 
 
+def op6(source: str = "documents", percent: int = 80) -> str:
+    """Distinct shingles, overlaps of all pairs that share one, and the closure of the links."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM {source}),
+w AS (SELECT doc_id, {WORDS} AS ws FROM d),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::bigint AS n_shingles, min(r.reached) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_host_quality": op1(), "op9_exact_dedup": op9()}
+    return {"op1_host_quality": op1(), "op6_ngram_jaccard": op6(), "op9_exact_dedup": op9()}
