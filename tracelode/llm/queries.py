@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import byte_bpe, exact_dedup, host_quality, jaccard_join, packing, substring_dedup
+from tracelode.llm import byte_bpe, exact_dedup, host_quality, jaccard_join, language_id, packing, substring_dedup, toxicity
 from tracelode.session import tune
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,17 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.classify(documents(spark, folder), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify(documents(spark, folder))
+
+
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 5-word shingles overlap by 0.8 or more."""
     return jaccard_join.groups(documents(spark, folder))
@@ -60,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-ALL = (op1_host_quality, op2_substring_dedup, op6_ngram_jaccard, op7_best_fit_packing, op9_exact_dedup, op10_byte_bpe)
+ALL = (op1_host_quality, op2_substring_dedup, op3_toxicity, op5_language_id, op6_ngram_jaccard, op7_best_fit_packing, op9_exact_dedup, op10_byte_bpe)
 
 
 def registered() -> dict:
