@@ -5,12 +5,13 @@
    n-grams of one text alone come first, then by frequency class and hash.
 3. Only a text's first `n - ceil(t n) + 1` n-grams can be the first that it shares with a partner. Texts whose
    prefix no other text has are done; for the rest the shared n-grams are stored in global order.
-4. Texts that share a prefix n-gram are tested against the first of them (the hub). Then only pairs remain whose
-   texts are not yet in one component; they pass length and positional filters and are tested too.
-5. A test puts a block of partners into a prefix tree. The probe walks it: an n-gram common to all sets below a
-   node is matched once, and a subtree is left as soon as what is left can't reach the overlap needed.
+4. Texts that share a prefix n-gram are tested against a hub of it, in a few rounds with other hubs. Then only
+   texts remain that share one and are not yet in one component. What hangs together by such n-grams is cut into
+   blocks, and blocks are tested against each other.
+5. A test puts a block into a prefix tree. A probe walks it: n-grams common to all sets below a node are matched
+   once, and a subtree is left as soon as what is left can't reach the overlap needed.
 
-So a group of near copies costs one test per copy, not one per pair, and no link between components is missed.
+So copies near to their hub cost one test each, not one per pair, and no link between components is missed.
 Hashes have 58 bits and decide alone; n-grams that differ are taken for equal about once in 10^17 comparisons.
 
 Defined cases: null or empty texts have no n-grams and link with nothing; texts shorter than the n-gram have
@@ -39,6 +40,10 @@ CHUNK_BYTES = 8 << 20
 RANGE_SIZE = 1_000_000
 #: Partners of one probe that share a prefix tree; bounds a task's memory, every block is tested.
 BLOCK = 256
+#: Token bytes of a block of texts that are tested against each other, about.
+CELL_BYTES = 1 << 20
+#: Rounds in which texts are tested against hubs before all that is left.
+HUB_ROUNDS = 2
 #: Bits of a token that hold its frequency class; the rest hold its hash.
 CLASS_BITS = 6
 NOTE = -1
@@ -143,84 +148,143 @@ def ordered(texts: pa.Table, notes: pa.Table, width: int, percent: int, bits: in
     })
 
 
-def needed(n: int, m: int, percent: int) -> int:
+def needed(n: int, m: int | np.ndarray, percent: int) -> int | np.ndarray:
     """The least overlap of sets of n and m members that link."""
     return -(-percent * (n + m) // (100 + percent))
 
 
 class Trie:
-    """A prefix tree of globally ordered sets; runs without a branch are one node."""
+    """A prefix tree of globally ordered sets, by levels; a run of tokens without a branch is one node.
+
+    Each node has its run of tokens (as places in `vocabulary`), its parent on the level above, the smallest and
+    largest set below it and the most tokens that a set below still has.
+    """
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        self.sizes = sizes
+        self.sizes = np.array(sizes, np.int64)
         order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.sets, self.order = sets, order
-        common = []
-        for i, j in zip(order[:-1], order[1:], strict=True):
-            k = min(len(sets[i]), len(sets[j]))
-            differ = np.flatnonzero(sets[i][:k] != sets[j][:k])
-            common.append(int(differ[0]) if len(differ) else k)
-        self.common = common
-        self.root = self._node(0, len(order), 0)
-
-    def _node(self, low: int, high: int, depth: int) -> tuple:
-        """(tokens, members that end here, children, smallest and largest size, most tokens left below)."""
-        end = min(self.common[low:high - 1], default=len(self.sets[self.order[low]]))
-        here, at = [], low
-        while at < high and len(self.sets[self.order[at]]) == end:
-            here.append(self.order[at])
-            at += 1
-        children = []
-        while at < high:
-            stop = at + 1
-            while stop < high and self.common[stop - 1] > end:
-                stop += 1
-            children.append(self._node(at, stop, end))
-            at = stop
-        members = [self.order[i] for i in range(low, high)]
-        sizes = [self.sizes[i] for i in members]
-        rest = max(len(self.sets[i]) for i in members) - end
-        return self.sets[self.order[low]][depth:end], here, children, min(sizes), max(sizes), rest
-
-    def probe(self, tokens: np.ndarray, size: int, percent: int) -> list[int]:
-        """Members whose Jaccard similarity with the probe is at least `percent` hundredths."""
-        found, stack = [], [(self.root, 0)]
-        while stack:
-            (run, here, children, least, most, rest), overlap = stack.pop()
-            if 100 * most < percent * size or percent * least > 100 * size:
-                continue
-            left = len(tokens)
-            if len(run):
-                at = np.searchsorted(tokens, run)
-                overlap += int((tokens[np.minimum(at, len(tokens) - 1)] == run).sum())
-                left -= int(np.searchsorted(tokens, run[-1], "right"))
-            if overlap + min(left, rest) < needed(size, least, percent):
-                continue
-            found += [i for i in here if overlap >= needed(size, self.sizes[i], percent)]
-            stack += [(child, overlap) for child in children]
-        return found
+        ranked = [sets[i] for i in order]
+        common = np.zeros(len(sets) + 1, np.int64)
+        for at in range(1, len(sets)):
+            k = min(len(ranked[at - 1]), len(ranked[at]))
+            differ = np.flatnonzero(ranked[at - 1][:k] != ranked[at][:k])
+            common[at] = differ[0] if len(differ) else k
+        lengths = np.array([len(s) for s in ranked])
+        ranked_sizes = self.sizes[order]
+        self.vocabulary = np.unique(np.concatenate(sets))
+        self.levels: list[dict[str, np.ndarray]] = []
+        # (first set, one past the last, depth, parent) of the nodes of a level.
+        wide = [(0, len(sets), 0, 0)]
+        while wide:
+            nodes: dict[str, list] = {k: [] for k in ("run", "parent", "least", "most", "rest", "member", "owner", "last")}
+            below = []
+            for me, (low, high, depth, parent) in enumerate(wide):
+                end = int(common[low + 1:high].min()) if high > low + 1 else int(lengths[low])
+                end = min(end, int(lengths[low]))
+                nodes["run"].append(np.searchsorted(self.vocabulary, ranked[low][depth:end]))
+                nodes["last"].append(ranked[low][end - 1] if end else 0)
+                nodes["parent"].append(parent)
+                nodes["least"].append(ranked_sizes[low:high].min())
+                nodes["most"].append(ranked_sizes[low:high].max())
+                nodes["rest"].append(lengths[low:high].max() - end)
+                while low < high and lengths[low] == end:
+                    nodes["member"].append(order[low])
+                    nodes["owner"].append(me)
+                    low += 1
+                if low < high:
+                    cuts = [low, *(np.flatnonzero(common[low + 1:high] == end) + low + 1).tolist(), high]
+                    below += [(x, y, end, me) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            run = nodes.pop("run")
+            level = {k: np.array(v, np.uint64 if k == "last" else np.int64) for k, v in nodes.items()}
+            level["length"] = np.array([len(r) for r in run], np.int64)
+            level["tokens"] = np.concatenate(run).astype(np.int64)
+            level["begin"] = np.cumsum(level["length"]) - level["length"]
+            self.levels.append(level)
+            wide = below
+
+    def probe(self, tokens: np.ndarray, size: int, percent: int) -> np.ndarray:
+        """Members whose Jaccard similarity with the probe is at least `percent` hundredths.
+
+        Level by level: what a node's run adds to the overlap is counted once for all sets below it, and only
+        below nodes that can still reach the overlap their smallest set needs.
+        """
+        at = np.searchsorted(self.vocabulary, tokens)
+        at[at == len(self.vocabulary)] = 0
+        has = np.zeros(len(self.vocabulary), bool)
+        has[at[self.vocabulary[at] == tokens]] = True
+        found, above, alive = [], np.zeros(1, np.int64), np.ones(1, bool)
+        for x in self.levels:
+            live = alive[x["parent"]] & (100 * x["most"] >= percent * size) & (percent * x["least"] <= 100 * size)
+            chosen = np.flatnonzero(live)
+            if not len(chosen):
+                break
+            n = x["length"][chosen]
+            ends = np.cumsum(n)
+            spots = np.repeat(x["begin"][chosen] - (ends - n), n) + np.arange(int(ends[-1]))
+            hits = np.append(0, np.cumsum(has[x["tokens"][spots]]))
+            overlap = np.zeros(len(live), np.int64)
+            overlap[chosen] = above[x["parent"][chosen]] + hits[ends] - hits[ends - n]
+            left = np.where(x["last"][chosen] > 0, len(tokens) - np.searchsorted(tokens, x["last"][chosen], "right"), len(tokens))
+            reach = overlap[chosen] + np.minimum(left, x["rest"][chosen])
+            live[chosen] = reach >= needed(size, x["least"][chosen], percent)
+            owner = x["owner"]
+            good = live[owner] & (overlap[owner] >= needed(size, self.sizes[x["member"]], percent))
+            found.append(x["member"][good])
+            above, alive = overlap, live
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def tested(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the probe of a block and the block's partners."""
-    probe, rows = None, []
-    for is_probe, node, n, tokens in zip(*(table[c].to_pylist() for c in ("probe", "node", "n", "tokens")), strict=True):
-        if is_probe:
-            probe = (node, n, np.frombuffer(tokens, np.uint64))
-        else:
-            rows.append((node, n, np.frombuffer(tokens, np.uint64)))
-    found = Trie([r[2] for r in rows], [r[1] for r in rows]).probe(probe[2], probe[1], percent) if rows else []
-    return pa.table({"a": pa.array([probe[0]] * len(found), pa.binary()), "b": pa.array([rows[i][0] for i in found], pa.binary())})
-
-
-def test_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Partners of one probe are dealt to blocks of bounded size."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = cut(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
-    members = dealt.withColumnRenamed("b", "node").join(sets, "node").select("a", "block", F.lit(False).alias("probe"), "node", "n", "tokens")
-    probes = dealt.select("a", "block").distinct().withColumn("node", F.col("a")).join(sets, "node").select(
-        "a", "block", F.lit(True).alias("probe"), "node", "n", "tokens")
-    return members.unionByName(probes).groupBy("a", "block").applyInArrow(lambda t: tested(t, percent), "a binary, b binary")
+    """Links of a cell: its probes against a prefix tree of its members, as few as join what is linked."""
+    node, size = table["node"].to_pylist(), table["n"].to_pylist()
+    label, sets = table["label"].to_pylist(), [np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()]
+    member = [i for i, x in enumerate(table["member"].to_pylist()) if x]
+    group = {x: x for x in label}
+
+    def root(x: bytes) -> bytes:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    links = []
+    if member:
+        tree = Trie([sets[i] for i in member], [size[i] for i in member])
+        for i, probes in enumerate(table["probe"].to_pylist()):
+            for j in tree.probe(sets[i], size[i], percent).tolist() if probes else ():
+                a, b = root(label[i]), root(label[member[j]])
+                if a != b:
+                    group[a] = b
+                    links.append((node[i], node[member[j]]))
+    return pa.table({k: pa.array([x[i] for x in links], pa.binary()) for i, k in enumerate("ab")})
+
+
+def test_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of texts b with their hubs a. The texts of one hub are dealt to cells of bounded size."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("i"), F.lit(0).alias("j")).alias("cell"))
+    rows = dealt.select("cell", F.col("b").alias("node"), F.lit(True).alias("member")).union(
+        dealt.select("cell", F.col("a").alias("node"), F.lit(False).alias("member")).distinct())
+    rows = rows.join(sets, "node").select("cell", "node", "n", F.col("node").alias("label"), "tokens", "member", (~F.col("member")).alias("probe"))
+    return rows.groupBy("cell").applyInArrow(lambda t: tested(t.drop_columns(["cell"]), percent), "a binary, b binary")
+
+
+def test_all(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between texts of different components that share a prefix n-gram directly or through others.
+
+    What hangs together by prefix n-grams forms a group; each pair of its blocks is one cell.
+    """
+    hubs = rows.groupBy("token").agg(F.min("node").alias("hub"))
+    edges = rows.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = components(edges).withColumnRenamed("label", "a")
+    members = cut(rows.select("node", "label").distinct().join(groups, "node").join(sets, "node"))
+    parts = members.groupBy("a").agg(F.ceil(F.sum(F.octet_length("tokens")) / CELL_BYTES).alias("parts"))
+    dealt = members.join(parts, "a").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = dealt.select(
+        F.struct("a", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).alias("cell"), "node", "n", "label", "tokens",
+        (F.col("i") <= F.col("j")).alias("member"), (F.col("i") >= F.col("j")).alias("probe"))
+    return cells.groupBy("cell").applyInArrow(lambda t: tested(t.drop_columns(["cell"]), percent), "a binary, b binary")
 
 
 def near(n: str, m: str, percent: int):
@@ -228,29 +292,37 @@ def near(n: str, m: str, percent: int):
     return (100 * F.col(m) >= percent * F.col(n)) & (100 * F.col(n) >= percent * F.col(m))
 
 
+def marked(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """Prefix rows with their component so far, of n-grams that are in more than one component."""
+    rows = prefix.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return cut(rows.join(mixed.select("token"), "token"))
+
+
+def hub_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Each text with the hub of each of its prefix n-grams, unless they are in one component or lengths forbid it.
+
+    The hub is the least text by a hash of the seed, so each round has others.
+    """
+    hubs = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "n", "label")).alias("hub"))
+    starred = rows.join(hubs.select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "label")]), "token")
+    kept = starred.where((F.col("label") != F.col("hub_label")) & near("n", "hub_n", percent))
+    return kept.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def labels_of(sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of texts in a component of two or more."""
     sets = sets.where(F.col("tokens").isNotNull())
-    prefix = cut(sets.select("node", "n", F.posexplode("prefix").alias("at", "token"), "first").withColumn("at", F.col("at") + F.col("first")).drop("first"))
-    hubs = prefix.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    starred = prefix.join(hubs.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m")), "token")
-    stars = starred.where(F.col("node") != F.col("a")).where(near("n", "m", percent)).select("a", F.col("node").alias("b")).distinct()
     tokens = sets.select("node", "n", "tokens")
-    links = cut(test_pairs(stars, tokens, percent))
-    labels = cut(components(links))
-    # What is left: pairs of one n-gram that are in different components so far, but for those with the hub.
-    marked = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("hub")).where("low <> high")
-    left = cut(marked.join(mixed.select("token", "hub"), "token").where("node <> hub").drop("hub"))
-    one = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "label")])
-    two = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "label")])
-    overlap = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    rest = one.join(two, "token").where(
-        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near("n_a", "n_b", percent)
-        & ((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b")))
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = test_pairs(rest, tokens, percent)
-    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
+    prefix = sets.select("node", "n", F.posexplode("prefix").alias("at", "token"), "first").withColumn("at", F.col("at") + F.col("first")).drop("first")
+    labels = sets.select("node", F.col("node").alias("label")).limit(0)
+    rows = marked(prefix, labels)
+    for seed in range(HUB_ROUNDS):
+        links = test_hubs(hub_pairs(rows, seed, percent), tokens, percent)
+        labels = cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)))
+        rows = marked(rows, labels)
+    links = test_all(rows, tokens, percent)
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
