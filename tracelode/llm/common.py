@@ -32,6 +32,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
 
 
+def content_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """One number for rows of equal id and text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 @dataclass(frozen=True)
 class Size:
     """Rows and text bytes of a table, and its smallest and largest id."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm import exchange
-from tracelode.llm.common import SPACE_RUN, measure, pieces, row_key, whole
+from tracelode.llm.common import SPACE_RUN, content_key, measure, pieces, row_key, whole
 from tracelode.session import cut
 
 #: Rows of a chunk, and fingerprints of an owner's range, about; both bound a task's memory.
@@ -44,7 +44,7 @@ def flagged(table: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     """The chunk's rows, under suspicion where the chunk itself or another has the fingerprint again."""
     prints, inverse, count = np.unique(table["fp"].to_numpy().view(np.uint64), return_inverse=True, return_counts=True)
     other = exchange.unpack(exchange.replies(answers), prints, bits, exchange.read_bits).astype(bool)
-    return table.select(["doc_id", "row_key", "sha"]).append_column("suspect", pa.array(((count > 1) | other)[inverse]))
+    return table.select(["doc_id", "row_key", "content_key", "sha"]).append_column("suspect", pa.array(((count > 1) | other)[inverse]))
 
 
 def suspects(docs: DataFrame) -> DataFrame:
@@ -52,15 +52,15 @@ def suspects(docs: DataFrame) -> DataFrame:
     size = measure(docs)
     chunks, bits = pieces(size.rows, CHUNK_ROWS, 8), exchange.shard_bits(size.rows, RANGE_SIZE)
     prints = cut(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
+        F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), content_key().alias("content_key"),
         F.unhex(F.sha2(normalised(), 256)).alias("sha"),
     )).withColumn("fp", F.xxhash64("sha")).withColumn("chunk", F.pmod(F.xxhash64("row_key"), F.lit(chunks)))
     messages = prints.select("chunk", "fp").groupBy("chunk").applyInArrow(lambda t: sent(t, bits), exchange.MESSAGE)
     answers = exchange.own(messages, elsewhere, exchange.bitmap)
-    schema = "doc_id long, row_key long, sha binary, suspect boolean"
+    schema = "doc_id long, row_key long, content_key long, sha binary, suspect boolean"
     return cut(prints.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda left, right: flagged(left, right, bits) if left.num_rows else pa.table({
-            "doc_id": pa.array([], pa.int64()), "row_key": pa.array([], pa.int64()), "sha": pa.array([], pa.binary()),
+            "doc_id": pa.array([], pa.int64()), "row_key": pa.array([], pa.int64()), "content_key": pa.array([], pa.int64()), "sha": pa.array([], pa.binary()),
             "suspect": pa.array([], pa.bool_()),
         }), schema))
 
@@ -70,19 +70,19 @@ def duplicates(docs: DataFrame) -> DataFrame:
     marked = suspects(docs)
     alone = marked.where(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"), "content_key",
     )
     keys = marked.where("suspect").select("row_key").distinct()
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").join(
-        keys, "row_key", "left_semi").select("doc_id", normalised().alias("body"))
+        keys, "row_key", "left_semi").select("doc_id", content_key().alias("content_key"), normalised().alias("body"))
     # Copies collapse before the shuffle, so a group that holds a third of all rows is sent once per task.
     groups = again.groupBy("body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     joined = again.join(groups, "body").select(
-        "doc_id", "keep_id", "group_size", F.sha2("body", 256).alias("text_sha256"),
+        "doc_id", "keep_id", "group_size", F.sha2("body", 256).alias("text_sha256"), "content_key",
     )
     same = Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")
     copies = joined.select(
         "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)).alias("kept"), "text_sha256",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)).alias("kept"), "text_sha256", "content_key",
     )
     return alone.unionByName(copies)

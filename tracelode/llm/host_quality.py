@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import SPACES, let, whole, words
+from tracelode.llm.common import SPACES, content_key, let, whole, words
 from tracelode.session import cut
 
 MIN_WORDS = 50
@@ -62,11 +62,11 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ))
     facts = docs.select(
-        F.col("doc_id"), F.col(host).alias("host"), row.alias("w"), line_row.alias("x"),
+        F.col("doc_id"), content_key().alias("content_key"), F.col(host).alias("host"), row.alias("w"), line_row.alias("x"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-    ).select("doc_id", "host", "w.*", "x.*", "n_symbols")
+    ).select("doc_id", "content_key", "host", "w.*", "x.*", "n_symbols")
     return facts.select(
-        "doc_id", "host", *MEASURES,
+        "doc_id", "content_key", "host", *MEASURES,
         (F.col("n_words") < MIN_WORDS).alias("short"),
         (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")).alias("repeats"),
         (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words")).alias("symbols"),
@@ -113,5 +113,5 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     base = F.col("short") | F.col("repeats")
     return facts.join(bad, "host", "left").select(
         "doc_id", *MEASURES, base.alias("base_failed"), F.coalesce("bad_host", F.lit(False)).alias("host_condemned"),
-        (~base & F.col("bad_host").isNull()).alias("kept"),
+        (~base & F.col("bad_host").isNull()).alias("kept"), "content_key",
     )

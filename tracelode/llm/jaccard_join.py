@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm import exchange, rolling
-from tracelode.llm.common import measure, pieces, row_key
+from tracelode.llm.common import content_key, measure, pieces, row_key
 from tracelode.llm.components import components
 from tracelode.session import cut
 
@@ -47,7 +47,7 @@ HUB_ROUNDS = 2
 #: Bits of a token that hold its frequency class; the rest hold its hash.
 CLASS_BITS = 6
 NOTE = -1
-PRINTS = "row_key long, doc_id long, n_words long, node binary"
+PRINTS = "row_key long, doc_id long, content_key long, n_words long, node binary"
 SETS = "node binary, n long, first long, tokens binary, prefix array<long>"
 
 
@@ -59,10 +59,10 @@ def text_print(text: str | None) -> tuple[bytes, int]:
 
 def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = [text_print(x.as_py()) for x in batch.column(2)]
+        done = [text_print(x.as_py()) for x in batch.column(3)]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([n for _, n in done], pa.int64()), pa.array([p for p, _ in done], pa.binary()),
-        ], ["row_key", "doc_id", "n_words", "node"])
+            *batch.columns[:3], pa.array([n for _, n in done], pa.int64()), pa.array([p for p, _ in done], pa.binary()),
+        ], ["row_key", "doc_id", "content_key", "n_words", "node"])
 
 
 class Sets:
@@ -326,12 +326,12 @@ def labels_of(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id."""
+    """One row per document: doc_id, n_shingles, component_id, and whether it is the one of its component that stays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", row_key())
     size = measure(docs)
     chunks, bits = pieces(size.text_bytes, CHUNK_BYTES), exchange.shard_bits(size.text_bytes // 6, RANGE_SIZE)
     place = F.pmod(F.xxhash64("row_key"), F.lit(chunks)).alias("chunk")
-    rows = cut(docs.select("row_key", "doc_id", "text").mapInArrow(prints, PRINTS))
+    rows = cut(docs.select("row_key", "doc_id", content_key().alias("content_key"), "text").mapInArrow(prints, PRINTS))
     some = rows.where("n_words > 0").groupBy("node").agg(
         F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.first("n_words").alias("n_words"))
     notes = some.where(F.col("n_words") >= width).select(
@@ -344,10 +344,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     sets = cut(texts.groupBy("chunk").cogroup(notes.unionByName(answers).groupBy("chunk")).applyInArrow(
         lambda t, k: ordered(t, k, width, percent, bits), SETS))
     labels = labels_of(sets, percent)
-    texts_of = cut(some.select("node", "least").join(sets.select("node", "n"), "node", "left").join(labels, "node", "left").select(
-        "node", "least", F.coalesce("n", F.lit(1)).alias("n_shingles"), F.coalesce("label", "node").alias("label")))
-    least = texts_of.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = texts_of.join(least, "label").select("node", "n_shingles", "component_id")
-    linked = rows.where("n_words > 0").select("doc_id", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    empty = rows.where("n_words = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    texts_of = cut(some.select("node", "least", "row_key").join(sets.select("node", "n"), "node", "left").join(labels, "node", "left").select(
+        "node", "least", "row_key", F.coalesce("n", F.lit(1)).alias("n_shingles"), F.coalesce("label", "node").alias("label")))
+    least = texts_of.groupBy("label").agg(F.min("least").alias("component_id"), F.min("row_key").alias("least_key"))
+    named = texts_of.join(least, "label").select("node", "n_shingles", "component_id", "least_key")
+    stays = F.when(F.col("component_id").isNull(), F.col("row_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = rows.where("n_words > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", stays.alias("kept"), "content_key")
+    empty = rows.where("n_words = 0").select(
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "content_key")
     return linked.unionByName(empty)

@@ -2,7 +2,7 @@ r"""The same results as DuckDB SQL, where SQL can express an operator."""
 
 from __future__ import annotations
 
-from tracelode.llm import host_quality
+from tracelode.llm import host_quality, license_scan
 
 WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -54,6 +54,37 @@ g AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g"""
 
 
+def op4(source: str = "documents", percent: int = license_scan.THRESHOLD_PERCENT) -> str:
+    """Phrases at every word, and containment of every template in every block."""
+    tests, width = [], license_scan.BLOCK
+    for phrase, label in license_scan.PHRASES.items():
+        same = " AND ".join(f"ws[i + {k}] = '{token}'" for k, token in enumerate(phrase.split()))
+        tests.append(f"SELECT row_id, i - 1 AS start, '{label}' AS label FROM i WHERE {same}")
+    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id,
+  translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}') AS t FROM {source}),
+w AS (SELECT row_id, doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
+i AS (SELECT row_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+p AS ({" UNION ALL ".join(tests)}),
+b AS (SELECT row_id, count(*) AS n, min(start) AS lo, max(start) AS hi FROM p GROUP BY row_id),
+t AS (SELECT label, list_distinct(string_split(words, ' ')) AS tokens FROM (VALUES {templates}) v(k, label, words)),
+k AS (SELECT row_id, list_distinct(ws[j + 1:j + {width}]) AS block
+  FROM (SELECT row_id, ws, unnest(range(0, greatest(len(ws), 1), {width // 2})) AS j FROM w)),
+h AS (SELECT row_id, label, len(list_intersect(block, tokens)) AS c, len(tokens) AS n FROM k, t
+  WHERE list_has_any(block, tokens)),
+m AS (SELECT row_id, label, c / n AS share FROM h WHERE 100 * c >= {percent} * n),
+s AS (SELECT row_id, max(share) AS best FROM m GROUP BY row_id),
+o AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY row_id),
+u AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT row_id, label FROM p UNION SELECT row_id, label FROM m) GROUP BY row_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(b.n, 0)::bigint AS n_base, lo::bigint AS first_word, hi::bigint AS last_word,
+  coalesce(o.labels, '') AS base_labels, coalesce(u.labels, '') AS labels,
+  greatest(coalesce(s.best, 0), CASE WHEN b.n > 0 THEN 1 ELSE 0 END)::double AS score
+FROM w LEFT JOIN b ON w.row_id = b.row_id LEFT JOIN o ON w.row_id = o.row_id
+  LEFT JOIN u ON w.row_id = u.row_id LEFT JOIN s ON w.row_id = s.row_id"""
+
+
 def op6(source: str = "documents", percent: int = 80) -> str:
     """Distinct shingles, overlaps of all pairs that share one, and the closure of the links."""
     return rf"""
@@ -72,4 +103,4 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
 
 def sql() -> dict[str, str]:
-    return {"op1_host_quality": op1(), "op6_ngram_jaccard": op6(), "op9_exact_dedup": op9()}
+    return {"op1_host_quality": op1(), "op4_license_scan": op4(), "op6_ngram_jaccard": op6(), "op9_exact_dedup": op9()}

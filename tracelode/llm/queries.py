@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import byte_bpe, exact_dedup, host_quality, jaccard_join, language_id, packing, substring_dedup, toxicity
+from tracelode.llm import byte_bpe, exact_dedup, host_quality, jaccard_join, language_id, license_scan, packing, pii, substring_dedup, toxicity
 from tracelode.session import tune
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,12 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(documents(spark, folder), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document."""
     return language_id.identify(documents(spark, folder))
@@ -49,7 +55,7 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 5-word shingles overlap by 0.8 or more."""
-    return jaccard_join.groups(documents(spark, folder))
+    return jaccard_join.groups(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,9 +63,14 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary(WORD_VOCABULARY))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(documents(spark, folder))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal documents and the one that stays."""
-    return exact_dedup.duplicates(documents(spark, folder))
+    return exact_dedup.duplicates(documents(spark, folder)).drop("content_key")
 
 
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +82,17 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-ALL = (op1_host_quality, op2_substring_dedup, op3_toxicity, op5_language_id, op6_ngram_jaccard, op7_best_fit_packing, op9_exact_dedup, op10_byte_bpe)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+ALL = (
+    op1_host_quality, op2_substring_dedup, op3_toxicity, op4_license_scan, op5_language_id, op6_ngram_jaccard,
+    op7_best_fit_packing, op8_personal_data, op9_exact_dedup, op10_byte_bpe, pipeline,
+)
 
 
 def registered() -> dict:
