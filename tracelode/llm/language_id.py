@@ -34,7 +34,7 @@ WIDTHS = (1, 2, 3, 4)
 #: Documents of each language to learn from, at most about; and how many languages there can be.
 SAMPLE = 600
 MAX_LANGUAGES = 500
-EPOCHS = 30
+STEPS = 2500
 BATCH = 32
 RATE = 20.0
 #: A prediction is rejected below the score that keeps this precision on the calibration part.
@@ -104,13 +104,12 @@ def descend(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 11) -> tuple
     out = np.zeros((DIMENSIONS, classes), np.float32)
     out[:] = rng.normal(0, 0.1, out.shape)
     bias = np.zeros(classes, np.float32)
-    steps = EPOCHS * -(-len(x) // BATCH)
     done = 0
-    for _ in range(EPOCHS):
+    while done < STEPS:
         order = rng.permutation(len(x))
         for a in range(0, len(x), BATCH):
             some = order[a:a + BATCH]
-            rate = RATE * (1 - done / steps)
+            rate = RATE * max(0.0, 1 - done / STEPS)
             hidden = x[some] @ emb
             error = softmax(hidden @ out + bias)
             error[np.arange(len(some)), y[some]] -= 1

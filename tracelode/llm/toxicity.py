@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Bigram models of toxic and of ordinary text are counted over all labelled documents that may be learned from.
-Both back off to the same continuation counts, pooled over the classes, so that an expression rare in one class
-gets its shared share there and not nothing. A text's score compares its two log-likelihoods, normalised by
+Both back off, by way of the words of their class, to the same continuation counts, pooled over the classes, so
+that an expression rare in one class gets its shared share there and not nothing. A text's score compares its two log-likelihoods, normalised by
 length; a logistic curve, fitted on labelled documents that the counts behind it have not seen, turns it to a
 probability.
 
@@ -129,15 +129,22 @@ def bigram_counts(batches: Iterable[pa.RecordBatch], known: list[bytes]) -> Iter
             pa.array(keys // index.size**2, pa.int64()), pa.array(keys % index.size**2, pa.int64()), pa.array(n, pa.int64())], ["g", "pair", "n"])
 
 
+def _discounted(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted shares along the last axis, and what the discount frees spread like the lower order."""
+    totals = counts.sum(-1, keepdims=True)
+    kinds = (counts > 0).sum(-1, keepdims=True)
+    weight = np.where(totals > 0, DISCOUNT * kinds / np.maximum(totals, 1), 1.0)
+    return np.maximum(counts - DISCOUNT, 0) / np.maximum(totals, 1) + weight * lower
+
+
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log P(word | before) of each class, from counts [class, before, word]; the lower order is shared."""
+    """log P(word | before) of each class, from counts [class, before, word].
+
+    Bigrams back off to the words of their class, and these to the continuation counts of both classes.
+    """
     types = (counts.sum(0) > 0).sum(0) + 0.5
-    shared = types / types.sum()
-    totals = counts.sum(2, keepdims=True)
-    kinds = (counts > 0).sum(2, keepdims=True)
-    own = np.maximum(counts - DISCOUNT, 0) / np.maximum(totals, 1)
-    weight = np.where(totals > 0, DISCOUNT * kinds / np.maximum(totals, 1), 1.0)
-    return np.log(own + weight * shared)
+    words = _discounted(counts.sum(1), types / types.sum())
+    return np.log(_discounted(counts, words[:, None, :]))
 
 
 @dataclass
@@ -160,7 +167,7 @@ def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
 def ratios(texts: list[str | None], index: Indexer, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' log-likelihood ratios and their words."""
     pairs, text = index.pairs(texts)
-    return np.bincount(text, weights=ratio[pairs], minlength=len(texts)), np.bincount(text, minlength=len(texts))
+    return np.bincount(text, weights=ratio[pairs], minlength=len(texts)).astype(float), np.bincount(text, minlength=len(texts))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
