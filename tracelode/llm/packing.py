@@ -14,6 +14,7 @@ length; equal rows are packed one by one; an empty table gives an empty plan.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -64,34 +65,31 @@ class WordIds:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.characters = byte_characters()
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def part(self, pre: str) -> list[int]:
+    def part(self, pre: str) -> bytes:
         found = self.parts.get(pre)
         if found is None:
             text = pre if pre.isascii() else "".join([self.characters[b] for b in pre.encode()])
-            found = self.parts[pre] = [token.id for token in self.model.tokenize(text)]
+            found = self.parts[pre] = array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
         return found
 
     def ids(self, word: bytes) -> bytes:
         text = word.decode()
         if self.plain(text) and "<|" not in text and "İ" not in text:
-            found = [i for pre in self.split(text.lower()) for i in self.part(pre)]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(found, np.uint32).tobytes()
+            text = text.lower()
+            return self.part(text) if text.isalpha() else b"".join([self.part(pre) for pre in self.split(text)])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and how many each has."""
         if len(self.known) > CACHE_SIZE or len(self.parts) > CACHE_SIZE:
             self.known, self.parts = {}, {}
-        known, out = self.known, []
-        for word in vocabulary:
-            ids = known.get(word)
+        out = list(map(self.known.get, vocabulary))
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = known[word] = self.ids(word)
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.uint32), np.array([len(x) // 4 for x in out], np.int64)
+                out[i] = self.known[vocabulary[i]] = self.ids(vocabulary[i])
+        return np.frombuffer(b"".join(out), np.uint32), np.array(list(map(len, out)), np.int64) // 4
 
 
 def token_ids(texts: list[str], words: WordIds) -> list[np.ndarray]:
@@ -111,7 +109,7 @@ def piece_batches(batches: Iterable[pa.RecordBatch], path: str, capacity: int) -
     words = WordIds(path)
     for batch in batches:
         texts = [t or "" for t in batch.column(2).to_pylist()]
-        for a, b in slices([len(t) for t in texts]):
+        for a, b in slices([len(t) for t in texts], 4 << 20):
             rows = []
             for key, doc, ids in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), token_ids(texts[a:b], words), strict=True):
                 rows += [
