@@ -1,5 +1,6 @@
 """Ordered scans under skew, matching, provenance, reports, plans and sinks on small known inputs."""
 
+import dataclasses
 import json
 
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from tracelode.functions import text as tx
 from tracelode.functions import variants as v
+from tracelode.names import DEFAULT
 from tracelode.operators import compare, detectors, graph, matching, ordered, provenance, services
-from tracelode.plans import topology
+from tracelode.plans import analysis, topology
 from tracelode.session import cut
 from tracelode.sources import adapters, context, lines, reports
 from tracelode.sources import trace_formats as tf
@@ -70,38 +72,46 @@ def docs_of(spark, bodies):
 
 
 def test_contract_reports(spark):
-    failed, bare, wrong, order = fx.contract(), fx.contract(), fx.contract(), fx.contract()
-    failed["stages"][0]["checks"][0]["passed"] = False
-    bare["stages"][0]["checks"] = []
+    failed, wrong, order = fx.contract(), fx.contract(), fx.contract()
+    failed["stages"][1]["checks"][0]["passed"] = False
     wrong["fixture_sha256"] = "A" * 64
     order["stages"].reverse()
     out = reports.ingest_contract(docs_of(spark, {
-        "ok": fx.contract(), "failed": failed, "bare": bare, "wrong": wrong, "order": order}))
+        "ok": fx.contract(), "failed": failed, "bare": fx.contract("uploaded"), "wrong": wrong, "order": order}))
     m = by_key(out.sessions)
-    assert (m["ok"]["pipeline_success"], m["ok"]["pipeline_checks_passed"], m["ok"]["pipeline_duration_ms"]) == (1, 2, 30)
+    assert (m["ok"]["pipeline_success"], m["ok"]["pipeline_checks_passed"], m["ok"]["pipeline_duration_ms"]) == (1, 3, 24)
     assert (m["failed"]["pipeline_success"], m["failed"]["pipeline_checks_failed"]) == (0, 1)
-    assert (m["bare"]["pipeline_checks_required"], m["bare"]["pipeline_checks_missing"]) == (2, 1)
+    assert (m["bare"]["pipeline_checks_required"], m["bare"]["pipeline_checks_missing"]) == (3, 1)
     assert {r["source"]: r["reason"] for r in out.errors.collect()} == {"wrong": "malformed_digest", "order": "stage_order"}
     found = by_key(services.contract_findings(out.sessions, out.events))
-    assert set(found) == {"failed", "bare"} and found["failed"]["evidence"] == ["check-1", "result"]
-    assert out.events.filter("session_id='ok'").count() == 6
+    assert set(found) == {"failed", "bare"} and found["failed"]["evidence"][-1] == "result"
+    assert out.events.filter("session_id='ok'").count() == 8
 
 
 def test_retrieval_and_memory_reports(spark):
     out = reports.ingest_retrieval(docs_of(spark, {"good": fx.retrieval(), "bad": fx.retrieval(False)}))
     m = by_key(out.sessions)
-    assert (m["good"]["retrieval_attempts"], m["good"]["retrieval_unsuccessful_attempts"], m["good"]["retrieval_elapsed_s"]) == (2, 1, 3)
+    assert (m["good"]["retrieval_attempts"], m["good"]["retrieval_unsuccessful_attempts"], m["good"]["retrieval_elapsed_s"]) == (3, 2, 5.5)
     assert [r["session_id"] for r in services.escalation_deferred(out.sessions).collect()] == ["bad"]
-    assert out.events.filter("session_id='good'").count() == 4
-    empty = fx.memory()
-    empty["audit"]["turn_total"], empty["store"]["accepted_total"] = 25, 0
-    mem = reports.ingest_memory(docs_of(spark, {"base": fx.memory(), "empty": empty}))
+    assert out.events.filter("session_id='good'").count() == 5
+    mem = reports.ingest_memory(docs_of(spark, {"base": fx.memory(), "empty": fx.memory(40, 4, 0)}))
     codes = {(r["session_id"], r["code"]) for r in services.memory_findings(mem.sessions).collect()}
     assert codes == {("base", "high_abstain_rate"), ("empty", "empty_memory_catalog")}
     assert by_key(mem.sessions)["base"]["turn_abstain_rate"] == 0.5
     assert mem.events.filter("session_id='base'").count() == 4
 
 
+def test_health_of_report_formats(spark):
+    broken = fx.contract()
+    broken["stages"][2]["checks"][0]["passed"] = False
+    rows = by_key(analysis.format_health(
+        contract=reports.ingest_contract(docs_of(spark, {"c-good": fx.contract(), "c-bad": broken})),
+        retrieval=reports.ingest_retrieval(docs_of(spark, {"r-good": fx.retrieval(), "r-bad": fx.retrieval(False)})),
+        memory=reports.ingest_memory(docs_of(spark, {"m": fx.memory()}))))
+    assert {k: r["workflow_health"] for k, r in rows.items()}["c-bad"] == 28
+    assert (rows["r-bad"]["workflow_health"], rows["m"]["workflow_health"], rows["c-good"]["workflow_health"]) == (46, 88, 100)
+
+
 @pytest.mark.parametrize("found,primary,guards,phases,nodes", [
     ([("pipeline_contract", "critical"), ("dead_end", "warning"), ("agent_timeout", "warning"), ("repeated_action", "warning")],
      "pipeline_contract", ["dead_end", "repeated_action"],
@@ -132,6 +142,67 @@ def test_scorecard_gates(spark):
     assert out["b"]["failed_gates"] == ["workflow_health_delta", "finding_delta", "no_new_critical_findings"]
 
 
+def test_incomparable_pair_never_passes(spark):
+    m = spark.createDataFrame(
+        [("a", "contract", "1", 3, 46), ("b", "contract", "2", 0, 99)], "session_id string, format string, d string, findings int, workflow_health int"
+    ).select("*", F.col("d").alias("fixture_sha256"), F.lit("v").alias("verifier_sha256"), F.lit("c").alias("contract_sha256"))
+    names = dataclasses.replace(DEFAULT, contract_format="contract")
+    f = spark.createDataFrame([], "session_id string, code string, severity string")
+    row = compare.scorecard(m, f, spark.createDataFrame([("a", "b")], "before string, after string"), names=names).first()
+    assert (row["refused"], row["ok"], row["failed_gates"]) == ("fixture_sha256_mismatch", False, [])
+
+
+def test_rows_without_position_stay(spark):
+    rows = spark.createDataFrame([("s", 1, 1), ("s", 7, 1), ("s", None, 1), (None, 2, 1)], "session_id string, seq long, x int")
+    for segment in (None, ordered.seq_segment("seq", None, 3)):
+        got = ordered.running(rows, ["session_id"], ["seq"], [ordered.Running("n", "count"), ordered.Running("t", "sum", F.col("x"))], segment)
+        assert sorted((r.seq or 0, r.n, r.t) for r in got.collect()) == [(0, 1, 1), (1, 2, 2), (2, 1, 1), (7, 3, 3)]
+    haloed = ordered.with_halo(rows, "seq", 1, None, 2)
+    assert haloed.filter("not _halo").count() == 4
+
+
+def test_nothing_is_capped(spark):
+    turn = "session_id string, request_id string, seq long, event_id string, "
+    long_text = "x" * 140_000
+    sources = spark.createDataFrame([("s", "r", 1, "a", "ab"), ("s", "r", 2, "b", long_text)], turn + "text string")
+    parts = [{"type": "text", "text": "ab " * 10} for _ in range(20)] + [{"type": "text", "text": long_text}]
+    body = json.dumps({"messages": [{"role": "user", "content": parts}]})
+    payloads = spark.createDataFrame([("s", "r", 3, "p", body)], turn + "payload string")
+    got = matching.text_matches(sources, payloads).groupBy("source_id").count().collect()
+    assert {r["source_id"]: r["count"] for r in got} == {"a": 200, "b": 1}
+    assert matching.source_health(sources).isEmpty() and matching.payload_health(payloads).isEmpty()
+
+
+def test_long_rollout_is_read_whole(spark):
+    line = json.dumps({"type": "turn_context", "payload": {}})
+    said = json.dumps({"type": "response_item", "payload": {"role": "user", "content": "hi"}})
+    rows = spark.range(60_001).select(
+        F.lit("s").alias("session_id"), F.col("id").alias("ordinal"), F.when(F.col("id") == 60_000, said).otherwise(line).alias("line"))
+    got = adapters.codex_rollout(rows, "key").filter("observation = 'prompt' or boundary like '%user%' or source_category = 'user_input'")
+    assert got.count() == 1
+
+
+def test_scan_of_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.jsonl").write_text('{"id": 1}\n\n  \n{"id": 2}\r\n{"id": 3}')
+    (tmp_path / "two.jsonl").write_bytes(b'{"id": "\xff"}\n{"id": 2}\n')
+    (tmp_path / "empty.jsonl").write_text("")
+    (tmp_path / "blank.jsonl").write_text("\n \n")
+    (tmp_path / "big.jsonl").write_text("".join(f'{{"id": {i}}}\n' for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found, errors = lines.scan_files(spark, str(tmp_path))
+        rows = found.select(F.element_at(F.split("source", "/"), -1).alias("f"), "line_no", "ordinal", F.trim("line").alias("line")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line_no, r.ordinal) for r in rows if r.f == "one.jsonl") == [(1, 0), (4, 1), (5, 2)]
+    big = sorted((r.line_no, r.ordinal, r.line) for r in rows if r.f == "big.jsonl")
+    assert big == [(i + 1, i, f'{{"id": {i}}}') for i in range(40_000)]
+    assert sorted((r.source.split("/")[-1], r.reason) for r in errors.collect()) == [
+        ("blank.jsonl", "empty_session"), ("empty.jsonl", "empty_session"), ("two.jsonl", "invalid_utf8")]
+
+
 def test_exact_spans_and_containment(spark):
     row = spark.createDataFrame([("é café", "café"), ("a.b.a", "."), ("aaaa", "aa")], "t string, s string")
     spans = [[(x["start"], x["end"]) for x in r["spans"]] for r in row.select(matching.byte_spans(F.col("t"), F.col("s")).alias("spans")).collect()]

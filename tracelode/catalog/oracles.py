@@ -690,7 +690,7 @@ def _context_sql() -> dict[str, str]:
       asked AS (SELECT *, 'claude:' || session_id || ':' || b || ':' || seq AS req, 'prompt ' || value AS prompt FROM hooks)"""
     tool = "CASE WHEN l_linenumber IN (1, 2) THEN 'Read' WHEN l_linenumber = 3 THEN 'edit' WHEN l_linenumber IN (4, 5) THEN 'grep' ELSE 'bash' END"
     docs = """d AS (SELECT source AS session_id, lang AS request_id, doc_id AS seq, text, strlen(text) AS b FROM documents),
-      kept AS (SELECT *, row_number() OVER (PARTITION BY session_id, request_id ORDER BY seq) AS no FROM d WHERE text <> '' AND b <= 131072),
+      kept AS (SELECT *, row_number() OVER (PARTITION BY session_id, request_id ORDER BY seq) AS no FROM d WHERE text <> ''),
       sized AS (SELECT *, strlen('{"' || CASE WHEN seq % 2 = 0 THEN 'input' ELSE 'other' END || '":' || CAST(to_json(text) AS VARCHAR) || '}') AS pb FROM d)"""
     out = {
         "context_events": _with(ctx, select=f"""SELECT {shown}, coalesce(parent, '') AS parents, coalesce(lineage, '') AS lineage,
@@ -759,12 +759,10 @@ def _context_sql() -> dict[str, str]:
         "recent_sources": """WITH s AS (
             SELECT conv_id, turn, role, count(*) FILTER (role <> 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations)
           SELECT p.conv_id || '-' || p.turn AS payload_id, q.conv_id || '-' || q.turn AS source_id, CAST(q.no AS BIGINT) AS source_no
-          FROM s p JOIN s q ON q.conv_id = p.conv_id AND q.role <> 'assistant' AND q.no BETWEEN p.no - 1 AND p.no WHERE p.role = 'assistant'""",
-        "match_health": _with(docs, select="""SELECT session_id, request_id, 'source_matching.source_limit' AS boundary, count(*) AS rows FROM d WHERE b > 131072 GROUP BY 1, 2
-            UNION ALL SELECT session_id, request_id, 'source_matching.eviction', count(*) FROM kept WHERE no > 8 GROUP BY 1, 2
-            UNION ALL SELECT session_id, request_id, 'source_matching.payload_limit', count(*) FROM sized WHERE pb > 131072 GROUP BY 1, 2
+          FROM s p JOIN s q ON q.conv_id = p.conv_id AND q.role <> 'assistant' AND q.no BETWEEN p.no - 7 AND p.no WHERE p.role = 'assistant'""",
+        "match_health": _with(docs, select="""SELECT session_id, request_id, 'source_matching.eviction' AS boundary, count(*) AS rows FROM kept WHERE no > 8 GROUP BY 1, 2
             UNION ALL SELECT session_id, request_id, 'source_matching.unsupported_text_layout', count(*) FROM sized
-              WHERE pb <= 131072 AND seq % 2 = 1 GROUP BY 1, 2"""),
+              WHERE seq % 2 = 1 GROUP BY 1, 2"""),
         "prov_nodes": _with(ctx, select="""SELECT event_id AS id, CASE observation WHEN 'response' THEN 'response' WHEN 'payload' THEN 'request'
                 WHEN 'dispatch' THEN 'request' WHEN 'transform' THEN 'transform' WHEN 'usage' THEN 'telemetry' ELSE 'source' END AS kind,
               CASE source_category WHEN 'system_input' THEN 'System input' WHEN 'user_input' THEN 'User input' WHEN 'unattributed' THEN 'Unattributed'

@@ -290,6 +290,16 @@ def memory_findings(spark, sf):
     return _evidence(services.memory_findings(sessions), "code", "severity")
 
 
+def format_health(spark, sf):
+    """Health of delivery contracts, retrieval reports and memory exports together, each with its own findings."""
+    own = lambda docs, kind: docs.withColumn("session_id", F.concat_ws("-", F.lit(kind), "session_id"))
+    return analysis.format_health(
+        contract=reports.ingest_contract(own(st.contract_docs(spark, sf), "contract")),
+        retrieval=reports.ingest_retrieval(own(st.retrieval_docs(spark, sf), "retrieval")),
+        memory=reports.ingest_memory(own(st.memory_docs(spark, sf), "memory")),
+    )
+
+
 # --- comparison and planning ------------------------------------------------
 
 
@@ -311,11 +321,11 @@ def compare_sessions(spark, sf):
 
 def compare_contracts(spark, sf):
     """Delivery contracts compare only with equal digests."""
-    s = reports.ingest_contract(st.contract_docs(spark, sf)).sessions
-    m = s.withColumns({
-        "fixture_sha256": F.when(F.col("session_id").cast("bigint") % 7 == 0, F.repeat(F.lit("f"), 64)).otherwise(F.col("fixture_sha256")),
-        "events": F.lit(6), "tool_calls": F.lit(0), "branches": F.lit(0), "workflow_health": F.lit(100), "findings": F.lit(0),
-    })
+    got = reports.ingest_contract(st.contract_docs(spark, sf))
+    s = got.sessions
+    m = s.withColumn(
+        "fixture_sha256", F.when(F.col("session_id").cast("bigint") % 7 == 0, F.repeat(F.lit("f"), 64)).otherwise(F.col("fixture_sha256"))
+    ).join(analysis.format_health(contract=got), "session_id")
     pairs = s.select(F.col("session_id").alias("before"), (F.col("session_id").cast("bigint") + 1).cast("string").alias("after"))
     out = compare.compare(m, pairs)
     return out.filter("refused is not null or metric in ('pipeline_success', 'pipeline_checks_passed', 'pipeline_duration_ms')")
@@ -542,7 +552,7 @@ def recent_sources(spark, sf):
         F.col("conv_id").cast("string").alias("session_id"), F.lit("all").alias("request_id"), F.col("turn").alias("seq"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"), "role",
     )
-    found = matching.recent_sources(c.filter("role <> 'assistant'"), c.filter("role = 'assistant'"), keep=2)
+    found = matching.recent_sources(c.filter("role <> 'assistant'"), c.filter("role = 'assistant'"))
     return found.select("payload_id", "source_id", "source_no")
 
 
@@ -732,7 +742,7 @@ ALL: tuple[Query, ...] = (
     loop_metrics, loop_stage_durations, loop_bottleneck, loop_gaps, loop_sessions, loop_adapters,
     retrieval_metrics, retrieval_events, retrieval_findings, contract_metrics, contract_events, contract_findings,
     contract_checks, memory_metrics, memory_events, memory_findings,
-    compare_sessions, compare_contracts, scorecard, topology_rank, topology_plan,
+    format_health, compare_sessions, compare_contracts, scorecard, topology_rank, topology_plan,
     edge_list, relation_counts, roots_leaves, implicit_nodes, graph_issues, artifact_coverage, request_outputs, components,
     graph_depth, lineage_depth, cycle_nodes,
     context_events, event_query, event_index, event_index_digest, default_ancestors, codex_ingest, turn_assignment,

@@ -5,21 +5,11 @@ right; the logic that uses it lives elsewhere.
 """
 
 # --- input limits -----------------------------------------------------------
-MAX_LINE_BYTES = 2 * 1024 * 1024
-MAX_FILE_BYTES = 64 * 1024 * 1024
-MAX_EVENTS = 100_000
-MAX_PARENTS = 1024
 MAX_RELATION_CHARS = 64
-MAX_CODEX_LINES = 50_000
-MAX_MEMORY_BYTES = 8 * 1024 * 1024
-MATCH_SOURCE_BYTES = 1024 * 1024
-MATCH_FIELD_BYTES = 2 * 1024 * 1024
-MATCH_SPANS = 128
-CAPTURE_SOURCE_BYTES = 128 * 1024
 RECENT_SOURCES = 8
-CAPTURE_FIELDS = 16
 
 # --- redaction patterns, applied in this order ------------------------------
+PLACEHOLDER = "<redacted:{}>"
 REDACTIONS = (
     ("secret", r"(?i)\b(?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*['\"]?[^\s'\"]+"),
     ("bearer", r"(?i)\bbearer\s+[a-z0-9._~+/-]+=*"),

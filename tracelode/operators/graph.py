@@ -169,6 +169,8 @@ def contract(edge_rows: DataFrame, node_rows: DataFrame, names: Names = DEFAULT)
         if now[0] == 0 or now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError("chains did not settle")
     several = indegree.filter("n > 1").select(S, F.col("id").alias("dst"))
     by_source = state.select(S, F.col("id").alias("src"), "anchor", "steps", "hit", "open")
     merges = cut(
@@ -201,6 +203,8 @@ def _anchor_depths(g: Contracted) -> tuple[DataFrame, DataFrame]:
             break
         solved = cut(solved.unionByName(fresh))
         pending = cut(pending.join(fresh, [S, "id"], "left_anti"))
+    else:
+        raise RuntimeError("depths did not settle")
     return solved, pending
 
 
@@ -284,6 +288,8 @@ def components(g: Contracted) -> DataFrame:
         label = jumped.select(S, "id", "label")
         if _none(jumped.filter(F.col("label") != F.col("old"))):
             break
+    else:
+        raise RuntimeError("components did not settle")
     named = label.withColumnRenamed("id", "anchor")
     placed = g.pointers.withColumn("anchor", F.when(F.col("open"), F.col("id")).otherwise(F.col("anchor")))
     member = placed.join(named, [S, "anchor"], "left").select(S, "id", F.coalesce("label", "anchor").alias("label"))

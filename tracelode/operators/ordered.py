@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one session a single task may hold at once.
 SEGMENT_ROWS = 250_000
+# Segment of rows whose position is null.
+NO_POSITION = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,8 @@ def running(
     """Add running values per ``keys`` in ``order``."""
     keys, order = list(keys), list(order)
     parts = keys if segment is None else keys + ["_segment"]
-    rows = df if segment is None else df.withColumn("_segment", segment)
+    # Rows without a position come first, as in an ascending window; they have a segment of their own.
+    rows = df if segment is None else df.withColumn("_segment", F.coalesce(segment.cast("long"), F.lit(NO_POSITION)))
     base = Window.partitionBy(*parts).orderBy(*order)
     frames = {
         True: base.rowsBetween(Window.unboundedPreceding, 0),
@@ -96,7 +100,9 @@ def running(
 
     summaries = rows.groupBy(*parts).agg(*[summary(v).alias("_s_" + v.name) for v in values])
     carries = summaries.select(*parts, *[carry(v).alias("_c_" + v.name) for v in values])
-    joined = scanned.join(carries, parts, "inner")
+    held = carries.select(*[F.col(p).alias("_k_" + p) for p in parts], *["_c_" + v.name for v in values])
+    same = [F.col(p).eqNullSafe(F.col("_k_" + p)) for p in parts]
+    joined = scanned.join(held, reduce(lambda x, y: x & y, same), "inner")
 
     def merged(v: Running) -> Column:
         own, prior = F.col(v.name), F.col("_c_" + v.name)
@@ -116,8 +122,8 @@ def with_halo(df: DataFrame, position: str, reach: int, biggest: int | None, row
     """
     if biggest is not None and biggest <= rows:
         return df.select("*", F.lit(0).cast("bigint").alias("_segment"), F.lit(False).alias("_halo"))
-    own = F.floor((F.col(position) - 1) / rows)
-    tail = (F.col(position) - 1) % rows >= rows - reach
+    own = F.coalesce(F.floor((F.col(position) - 1) / rows), F.lit(NO_POSITION))
+    tail = F.coalesce((F.col(position) - 1) % rows >= rows - reach, F.lit(False))
     targets = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
     return df.select("*", F.posexplode(targets).alias("_copy", "_segment")).select(
         *df.columns, "_segment", (F.col("_copy") > 0).alias("_halo")

@@ -33,11 +33,10 @@ def unusable(events: DataFrame) -> DataFrame:
     ids = F.concat("parent_event_ids", "lineage_event_ids")
     bad = (
         ~F.coalesce(F.col("observation").isin(*fv.OBSERVATIONS), F.lit(False)) | (F.length("event_id") == 0)
-        | (F.size(ids) > fv.MAX_PARENTS) | F.exists(ids, lambda i: i.isNull() | (i == ""))
+        | F.exists(ids, lambda i: i.isNull() | (i == ""))
     )
-    repeated = events.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set("session_id").alias("sessions")
-    ).filter("n > 1").select(F.explode("sessions").alias("session_id"))
+    twice = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("event_id")
+    repeated = events.join(twice, "event_id", "left_semi").select("session_id")
     return events.filter(F.coalesce(bad, F.lit(True))).select("session_id").unionByName(repeated).distinct()
 
 

@@ -85,7 +85,7 @@ def codex_rollout(lines: DataFrame, secret: str, names: Names = DEFAULT, biggest
     One ordered scan yields the turn number, the latest user message of the
     turn, the producer sequence and the cumulative drop count.
     """
-    parsed = lines.filter(F.col("ordinal") < fv.MAX_CODEX_LINES).withColumn("value", F.try_parse_json("line"))
+    parsed = lines.withColumn("value", F.try_parse_json("line"))
     role = v.string(_get("$.payload.role"))
     content = _get("$.payload.content")
     objects = F.filter(v.items(content), v.is_object)

@@ -13,28 +13,35 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import variants as v
 from ..names import DEFAULT, Names
+from ..operators.ordered import Running, running
+from ..session import cut
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Lines and errors of every session file below ``root``.
 
-    Oversized files are rejected from the listing alone: the length filter is
-    pushed into the file source, so their bytes are never read.
+    Files are read as text splits, so one of any size is read by many tasks. A line's number follows from the
+    count of lines in the splits before its own. The listing names files without a usable line: they are errors.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    listed = spark.read.format("binaryFile").options(**options).load(root).select(F.col("path").alias("source"))
+    text = spark.read.options(**options, lineSep="\n").text(root)
+    raw = cut(text.select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+    ))
+    kept = ~F.col("line").rlike(r"^\s*$")
+    numbered = running(
+        raw, ["source"], ["block", "place"],
+        [Running("line_no", "count"), Running("usable", "sum", kept.cast("long"))], F.col("block"),
     )
-    too_big = files.filter(F.col("length") > fv.MAX_FILE_BYTES).select(
-        F.col("path").alias("source"), F.lit(None).cast("bigint").alias("line_no"), F.lit("file_too_large").alias("reason")
-    )
-    body = F.col("content").cast("string")
-    read = files.filter(F.col("length") <= fv.MAX_FILE_BYTES).select(
-        F.col("path").alias("source"), F.is_valid_utf8(body).alias("utf8"), body.alias("body")
-    )
-    broken = read.filter(~F.col("utf8")).select(
-        "source", F.lit(None).cast("bigint").alias("line_no"), F.lit("invalid_utf8").alias("reason")
-    )
-    return split_lines(read.filter("utf8").select("source", "body")), too_big.unionByName(broken)
+    broken = raw.filter(~F.is_valid_utf8("line")).select("source").distinct()
+    lines = numbered.filter(kept).join(broken, "source", "left_anti").select(
+        "source", "line_no", (F.col("usable") - 1).alias("ordinal"), "line")
+    null_line = F.lit(None).cast("bigint").alias("line_no")
+    empty = listed.join(raw.filter(kept).select("source").distinct(), "source", "left_anti")
+    return lines, broken.select("source", null_line, F.lit("invalid_utf8").alias("reason")).unionByName(
+        empty.select("source", null_line, F.lit("empty_session").alias("reason")))
 
 
 def split_lines(bodies: DataFrame) -> DataFrame:
@@ -52,9 +59,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """Lines with the parsed ``value`` and, where a line is unusable, the ``reason``."""
     value = F.try_parse_json("line")
     reason = (
-        F.when(F.octet_length("line") >= fv.MAX_LINE_BYTES, "line_too_long")
-        .when(F.col("ordinal") >= fv.MAX_EVENTS, "too_many_events")
-        .when(F.col("value").isNull(), "invalid_json")
+        F.when(F.col("value").isNull(), "invalid_json")
         .when(~v.is_object(F.col("value")), "not_an_object")
     )
     return lines.withColumn("value", value).withColumn("reason", reason).drop("line")

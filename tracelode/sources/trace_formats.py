@@ -180,8 +180,7 @@ def generic_events(tagged: DataFrame, biggest: int | None = None) -> DataFrame:
         F.length("parent_id") > 0, F.array("parent_id")
     ).otherwise(_no_ids())
     bad_ids = _has("parent_ids") & (
-        ~F.col("ids_ok") | (F.size(listed) > fv.MAX_PARENTS)
-        | F.exists(listed, lambda p: p.isNull() | (p == "")) | (F.size(F.array_distinct(listed)) != F.size(listed))
+        ~F.col("ids_ok") | F.exists(listed, lambda p: p.isNull() | (p == "")) | (F.size(F.array_distinct(listed)) != F.size(listed))
     )
     mismatch = _has("parent_ids") & F.col("one").isNotNull() & ~F.col("one").eqNullSafe(F.get(listed, F.lit(0)))
     bad_relations = _has("parent_relations") & (
@@ -302,14 +301,10 @@ def settle(staged: DataFrame, parsed: DataFrame, sessions: DataFrame, scan_error
     null_line = F.lit(None).cast("bigint").alias("line_no")
     counts = staged.groupBy("source", "id").agg(F.count(F.lit(1)).alias("n"))
     repeated = counts.filter("n > 1").select("source", null_line, F.lit("duplicate_event_id").alias("reason")).distinct()
-    crowded = (
-        staged.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fv.MAX_EVENTS)
-        .select("source", null_line, F.lit("too_many_events").alias("reason"))
-    )
     errors = (
         parsed.filter(F.col("reason").isNotNull()).select("source", "line_no", "reason")
         .unionByName(staged.filter(F.col("reason").isNotNull()).select("source", "line_no", "reason"))
-        .unionByName(repeated).unionByName(crowded)
+        .unionByName(repeated)
     )
     if scan_errors is not None:
         errors = errors.unionByName(scan_errors)
