@@ -101,10 +101,10 @@ def test_loop_golden(ingested, found, health):
     stages = services.loop_stages(ingested.events.filter("session_id='run-7'"))
     m = services.loop_metrics(stages).first()
     assert (m["loop_iterations"], m["loop_retries"], m["loop_status"]) == (3, 2, "failed")
-    assert m["loop_duration_ms"] == 10_000 and m["loop_terminal_recorded"]
+    assert m["loop_duration_ms"] == 100_000 and m["loop_terminal_recorded"]
     assert m["loop_failure_classification_missing"] == 0
     per_stage = {r["stage"]: r["duration_ms"] for r in services.stage_durations(stages).collect()}
-    assert per_stage == {"generate": 9000.0, "evaluate": 1000.0}
+    assert per_stage == {"generate": 90000.0, "evaluate": 10000.0}
     session = by_key(tf.loop_sessions(ingested.events.filter("session_id='run-7'")))["run-7"]
     assert (session["iterations"], session["status"]) == (3, "failed")
     adapters = sorted(r["adapter"] for r in tf.loop_adapters(ingested.events.filter("session_id='run-7'")).collect())
