@@ -33,6 +33,9 @@ VOCABULARY = 2047
 MIN_DOCUMENTS = 3
 #: A word is known when its log-likelihood ratio (chi-squared by 2) says that chance hardly made the difference.
 MIN_RATIO = 10.0
+#: A word must also tell this much of the class per document (nats), so that small differences of common words,
+#: which only a larger corpus makes significant, do not fill the models.
+MIN_INFORMATION = 5e-4
 DISCOUNT = 0.75
 #: The calibration curve is fitted on at most about this many labelled documents.
 CALIBRATION_ROWS = 100_000
@@ -88,7 +91,8 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     part = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (share * n))).otherwise(0.0)
     rest = lambda k, n: F.when(F.col(k) < n, (n - F.col(k)) * F.log((n - F.col(k)) / ((1 - share) * n))).otherwise(0.0)
     ratio = part("o", n0) + part("t", n1) + rest("o", n0) + rest("t", n1)
-    rows = counts.select("word", F.round(ratio, 9).alias("ratio")).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "word").limit(size).collect()
+    rows = counts.select("word", F.round(ratio, 9).alias("ratio")).where(
+        F.col("ratio") >= max(MIN_RATIO, MIN_INFORMATION * (n0 + n1))).orderBy(F.desc("ratio"), "word").limit(size).collect()
     return [bytes(r["word"]) for r in rows]
 
 
@@ -187,7 +191,8 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Count and calibrate on the labelled documents that are not held out."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
-    train = cut(docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id").select(
+    # One plan at every size: labels grow with the corpus, so they are never broadcast.
+    train = cut(docs.where(~held_out()).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select(
         "toxic", "text", (F.coalesce(remainder(), F.lit(0)) == 3).cast("int").alias("late"), row_key().alias("row_key")))
     known = vocabulary(train)
     rate = train.agg(F.avg("toxic")).first()[0] or 0.0
