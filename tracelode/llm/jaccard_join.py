@@ -43,7 +43,7 @@ BLOCK = 256
 #: Token bytes of a block of texts that are tested against each other, about.
 CELL_BYTES = 1 << 20
 #: Rounds in which texts are tested against hubs before all that is left.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Bits of a token that hold its frequency class; the rest hold its hash.
 CLASS_BITS = 6
 NOTE = -1
