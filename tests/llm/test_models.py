@@ -164,3 +164,26 @@ def test_masking(spark):
 def test_labels_table_is_read(spark):
     got = by_id(toxicity.classify(given(spark), spark.read.parquet(f"{SF}/labels.parquet")))
     assert len(got) == 200
+
+
+def test_toxicity_counts_rare_words_and_every_word(spark):
+    rng = random.Random(9)
+    texts, marks = [], []
+    for i in range(900):
+        w = [f"w{rng.randrange(300)}" for _ in range(30)]
+        toxic = i % 4 == 0
+        # Each toxic word stands in about four labelled texts only; there are more such words than any short list holds.
+        w += [f"bad{i // 16}x{k}" for k in range(60)] if toxic else [f"good{i // 16}x{k}" for k in range(60)]
+        texts.append(" ".join(w))
+        marks.append((i, 1, int(toxic)))
+    got = by_id(toxicity.classify(docs(spark, texts), labels(spark, marks)))
+    held = [i for i in got if is_held_out(i)]
+    assert np.mean([got[i]["predicted"] == marks[i][2] for i in held]) >= 0.95
+
+
+def test_toxicity_scores_repeated_rows_alike(spark):
+    texts = [("vile " if i % 3 == 0 else "fine ") + " ".join(f"w{(i * 7 + k) % 50}" for k in range(20)) for i in range(200)]
+    marks = labels(spark, [(i, 1, int(i % 3 == 0)) for i in range(200)])
+    once = by_id(toxicity.classify(docs(spark, texts), marks))
+    rows = toxicity.classify(docs(spark, texts + texts[:1] * 2, [*range(200), 900, 900]), marks).where("doc_id in (0, 900)").collect()
+    assert len(rows) == 3 and all(r["score"] == pytest.approx(once[0]["score"]) for r in rows)

@@ -1,13 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Bigram models of toxic and of ordinary text are counted over all labelled documents that may be learned from.
-Both back off, by way of the words of their class, to the same continuation counts, pooled over the classes, so
-that an expression rare in one class gets its shared share there and not nothing. A text's score compares its two log-likelihoods, normalised by
-length; a logistic curve, fitted on labelled documents that the counts behind it have not seen, turns it to a
-probability.
+Bigram models of toxic and of ordinary text are counted over all labelled documents that may be learned from, with
+every word and every bigram they have; a document counts each of its bigrams once. Both back off, by way of the
+words of their class, to the same continuation counts, pooled over the classes. How far a word or bigram may part
+the classes is weighed by its own evidence: the odds that its counts differ by more than chance, from their
+likelihood ratio, against fixed prior odds. So a rare expression gets its small share and not nothing, and the many
+rare words that chance has put into one class do not add up. Where a bigram has no evidence of its own, both classes
+back off with the same weight.
 
-The models know the words that tell the classes apart best (by likelihood ratio, counted over all labelled
-documents); all others are one word, `other`. So a model has a fixed size however large the corpus is.
+Counts and log-ratios are tables that grow with the corpus. A text's distinct bigrams are joined with them and
+summed; the sum, normalised by length, is turned to a probability by a logistic curve, fitted on labelled documents
+that the counts behind it have not seen. Only that curve is of bounded size.
+
+Words are taken as equal by 64 bits of hash.
 
 Defined cases: null and empty texts have no words and get the score of no evidence; a table without labels, or
 with one class only, gives everything the share of toxic labels; each row is scored by itself.
@@ -15,7 +20,7 @@ with one class only, gives everything the share of toxic labels; each row is sco
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,23 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.byte_bpe import slices
-from tracelode.llm.common import row_key
+from tracelode.llm.common import content_key, row_key
 from tracelode.session import cut
 
-#: Words of the models besides `other`, and how many labelled documents must have a word.
-VOCABULARY = 2047
-MIN_DOCUMENTS = 3
-#: A word is known when its log-likelihood ratio (chi-squared by 2) says that chance hardly made the difference.
-MIN_RATIO = 10.0
-#: A word must also tell this much of the class per document (nats), so that small differences of common words,
-#: which only a larger corpus makes significant, do not fill the models.
-MIN_INFORMATION = 5e-4
+#: Prior odds, as a logarithm, against a word or bigram that tells the classes apart: about one in a thousand does.
+PRIOR = 7.0
 DISCOUNT = 0.75
 #: The calibration curve is fitted on at most about this many labelled documents.
 CALIBRATION_ROWS = 100_000
 LIMIT = 0.3
-#: Words counted by a task before it hands them on.
-FLUSH = 200_000
+#: What stands before a text's first word, and where a word counts by itself.
+FIRST, ALONE = 1, 0
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 CLEAN = bytes.maketrans(bytes(range(65, 91)) + SIGNS, bytes(range(97, 123)) + b" " * len(SIGNS))
 
@@ -59,78 +58,50 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(CLEAN).split()
 
 
-def word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that have a word."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def out() -> pa.RecordBatch:
-        names = list(seen[0].keys() | seen[1].keys())
-        batch = pa.RecordBatch.from_arrays([
-            pa.array(names, pa.binary()), *[pa.array([c[w] for w in names], pa.int64()) for c in seen]], ["word", "ordinary", "toxic"])
-        for c in seen:
-            c.clear()
-        return batch
-
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word before, word and count of each text's distinct bigrams, and of its words by how many bigrams end in them."""
+    seen: dict[bytes, int] = {}
+    flat, counts = [], []
+    for text in texts:
+        found = words_of(text)
+        counts.append(len(found))
+        flat += [seen.setdefault(w, len(seen) + 1) for w in found]
+    hashes = np.array([FIRST, *[int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in seen]], np.int64)
+    index, size = np.array(flat, np.int64), len(seen) + 1
+    before = np.zeros_like(index)
+    before[1:] = index[:-1]
+    ends, counts = np.cumsum(counts), np.array(counts, np.int64)
+    before[(ends - counts)[counts > 0]] = 0
+    pairs = np.unique((np.repeat(np.arange(len(counts)), counts) * size + index) * size + before)
+    single, n = np.unique(pairs // size, return_counts=True)
+    return (
+        np.concatenate([pairs // (size * size), single // size]), np.concatenate([hashes[pairs % size], np.full(len(single), ALONE)]),
+        np.concatenate([hashes[pairs // size % size], hashes[single % size]]), np.concatenate([np.ones(len(pairs), np.int64), n]))
+
+
+def gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each group (toxic + 2 * late) that have a bigram or, with ALONE before it, a word."""
     for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            seen[toxic].update(set(words_of(text.as_py())))
-            if len(seen[0]) + len(seen[1]) > FLUSH:
-                yield out()
-    yield out()
-
-
-def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The words with the largest likelihood ratio between the classes."""
-    totals = {bool(r["toxic"]): r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = float(totals.get(False, 0)), float(totals.get(True, 0))
-    if not n0 or not n1:
-        return []
-    counts = train.select("toxic", "text").mapInArrow(word_counts, "word binary, ordinary long, toxic long")
-    counts = counts.groupBy("word").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).where(F.col("o") + F.col("t") >= MIN_DOCUMENTS)
-    share = (F.col("o") + F.col("t")) / (n0 + n1)
-    part = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (share * n))).otherwise(0.0)
-    rest = lambda k, n: F.when(F.col(k) < n, (n - F.col(k)) * F.log((n - F.col(k)) / ((1 - share) * n))).otherwise(0.0)
-    ratio = part("o", n0) + part("t", n1) + rest("o", n0) + rest("t", n1)
-    rows = counts.select("word", F.round(ratio, 9).alias("ratio")).where(
-        F.col("ratio") >= max(MIN_RATIO, MIN_INFORMATION * (n0 + n1))).orderBy(F.desc("ratio"), "word").limit(size).collect()
-    return [bytes(r["word"]) for r in rows]
-
-
-class Indexer:
-    """Words to 1, 2, ...; every other word is 0."""
-
-    def __init__(self, known: list[bytes]):
-        self.known = {w: i + 1 for i, w in enumerate(known)}
-        self.size = len(known) + 1
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of all words, and words per text."""
-        get, parts, counts = self.known.get, [], []
-        for text in texts:
-            found = words_of(text)
-            counts.append(len(found))
-            parts += [get(w, 0) for w in found]
-        return np.array(parts, np.int64), np.array(counts, np.int64)
-
-    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Every word with the one before it, as one number (a text's first word follows `other`), and its text."""
-        index, counts = self(texts)
-        before = np.zeros_like(index)
-        before[1:] = index[:-1]
-        ends = np.cumsum(counts)
-        before[(ends - counts)[counts > 0]] = 0
-        return before * self.size + index, np.repeat(np.arange(len(counts)), counts)
-
-
-def bigram_counts(batches: Iterable[pa.RecordBatch], known: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Counts of bigrams by class and by whether the row is kept for calibration."""
-    index = Indexer(known)
-    for batch in batches:
-        group = batch.column(0).to_numpy(zero_copy_only=False)
-        pairs, text = index.pairs(batch.column(1).to_pylist())
-        keys, n = np.unique(group[text] * index.size**2 + pairs, return_counts=True)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(keys // index.size**2, pa.int64()), pa.array(keys % index.size**2, pa.int64()), pa.array(n, pa.int64())], ["g", "pair", "n"])
+        group, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for a, b in slices([len(t or "") for t in texts]):
+            text, before, word, _ = grams(texts[a:b])
+            order = np.lexsort((word, before))
+            before, word, text = before[order], word[order], text[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+            place, of = np.cumsum(new) - 1, group[a:b][text]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(before[new]), pa.array(word[new]), *[pa.array(np.bincount(place[of == g], minlength=new.sum())) for g in range(4)]],
+                ["before", "word", "c0", "c1", "c2", "c3"])
+
+
+def counted(train: DataFrame) -> DataFrame:
+    """before, word, and the early and all documents of either class that have them: e0, e1, a0, a1; stored."""
+    rows = train.select((F.col("toxic") + 2 * F.col("late")).cast("int").alias("g"), "text").mapInArrow(
+        gram_counts, "before long, word long, c0 long, c1 long, c2 long, c3 long")
+    c = [F.sum(f"c{g}") for g in range(4)]
+    return cut(rows.groupBy("before", "word").agg(
+        c[0].alias("e0"), c[1].alias("e1"), (c[0] + c[2]).alias("a0"), (c[1] + c[3]).alias("a1")))
 
 
 def _discounted(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -142,7 +113,7 @@ def _discounted(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log P(word | before) of each class, from counts [class, before, word].
+    """log P(word | before) of each class, from counts [class, before, word]: the same formula over a dense array, without weights of evidence.
 
     Bigrams back off to the words of their class, and these to the continuation counts of both classes.
     """
@@ -151,12 +122,94 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(_discounted(counts, words[:, None, :]))
 
 
+def surprise(n: Column, expected: Column) -> Column:
+    """n log(n / expected), a summand of the likelihood ratio."""
+    return F.when((n > 0) & (expected > 0), n * F.log(n / expected)).otherwise(0.0)
+
+
+def weight(ratio: Column) -> Column:
+    """The probability that counts of this likelihood ratio differ by more than chance."""
+    return 1 / (1 + F.exp(PRIOR - F.least(ratio, F.lit(100.0))))
+
+
+def log_ratios(counts: DataFrame, kinds: dict[str, tuple[float, float]]) -> DataFrame:
+    """key and, for each kind of counts (e, a), what a word or a bigram besides its word adds to a text's log-ratio; stored.
+
+    kinds has the documents of either class.
+    """
+    pair = F.col("before") != ALONE
+    one = lambda c: F.when(pair, F.col(c))
+    names = [f"{k}{c}" for k in kinds for c in (0, 1)]
+    words = cut(counts.groupBy("word").agg(
+        *[F.sum(F.when(~pair, F.col(n))).alias(f"d{n}") for n in names], *[F.sum(one(n)).alias(f"w{n}") for n in names],
+        *[F.count(F.when(pair & (F.col(f"{k}0") + F.col(f"{k}1") > 0), 1)).alias(f"t{k}") for k in kinds]))
+    contexts = counts.where(pair).groupBy("before").agg(
+        *[F.sum(n).alias(f"n{n}") for n in names], *[F.count(F.when(F.col(n) > 0, 1)).alias(f"k{n}") for n in names])
+    sums = words.agg(
+        F.count(F.lit(1)).alias("v"), *[F.sum(f"w{n}").alias(f"w{n}") for n in names], *[F.count(F.when(F.col(f"w{n}") > 0, 1)).alias(f"k{n}") for n in names],
+        *[F.sum(f"t{k}").alias(f"t{k}") for k in kinds]).first()
+    made, bigram = [], []
+    for k, documents in kinds.items():
+        total = sum(documents)
+        rate = [n / total for n in documents]
+        shared = (F.col(f"t{k}") + 0.5) / F.lit(float((sums[f"t{k}"] or 0) + 0.5 * (sums["v"] + 1)))
+        p = []
+        for c in (0, 1):
+            of = float(max(1, sums[f"w{k}{c}"] or 0))
+            p.append(F.greatest(F.col(f"w{k}{c}") - DISCOUNT, F.lit(0.0)) / of + DISCOUNT * max(1, sums[f"k{k}{c}"]) / of * shared)
+        d = [F.col(f"d{k}{c}") for c in (0, 1)]
+        both = d[0] + d[1]
+        evidence = sum((surprise(d[c], both * rate[c]) + surprise(documents[c] - d[c], (total - both) * rate[c]) for c in (0, 1)), F.lit(0.0))
+        made += [p[0].alias(f"p{k}"), (weight(evidence) * F.log(p[1] / p[0])).alias(f"r{k}")]
+        # The bigram's class probabilities over those of its word, where the bigram's own counts are evidence.
+        lower = [F.col(f"p{k}"), F.col(f"p{k}") * F.exp(f"r{k}")]
+        q = []
+        for c in (0, 1):
+            n, of = F.col(f"{k}{c}"), F.col(f"n{k}{c}")
+            q.append(F.when(of > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / of + DISCOUNT * F.col(f"k{k}{c}") / of * lower[c]).otherwise(lower[c]))
+        odds = F.exp(f"r{k}") * (rate[1] / max(rate[0], 1e-9))
+        n = F.col(f"{k}0") + F.col(f"{k}1")
+        own = surprise(F.col(f"{k}0"), n / (1 + odds)) + surprise(F.col(f"{k}1"), n * odds / (1 + odds))
+        bigram.append(F.when(n > 0, weight(own) * (F.log(q[1] / q[0]) - F.col(f"r{k}"))).otherwise(0.0).cast("float").alias(k))
+    words = words.select("word", *made)
+    pairs = counts.where(pair).join(words.hint("merge"), "word").join(contexts.hint("merge"), "before").select(key_of(), *bigram)
+    return cut(pairs.unionByName(words.select(key_of(F.lit(ALONE)), *[F.col(f"r{k}").cast("float").alias(k) for k in kinds])))
+
+
+def key_of(before: Column | None = None) -> Column:
+    return F.xxhash64(F.col("before") if before is None else before.cast("long"), "word").alias("key")
+
+
+def summed(texts: DataFrame, ratios: DataFrame, kind: str) -> DataFrame:
+    """Of texts (id, text): id, total log-ratio, distinct bigrams n, and rows of the id, over which both are averaged."""
+
+    def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for a, b in slices([len(t or "") for t in found]):
+                text, before, word, n = grams(found[a:b])
+                # One more row for each text: minus one and the number of its bigrams.
+                size = np.bincount(text[before != ALONE], minlength=b - a)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([ids[a:b][text], ids[a:b]])), pa.array(np.concatenate([before, ids[a:b]])),
+                    pa.array(np.concatenate([word, size])), pa.array(np.concatenate([n, np.full(b - a, -1)]).astype(np.int32))], ["id", "before", "word", "n"])
+
+    rows = texts.mapInArrow(terms, "id long, before long, word long, n int")
+    rows = rows.select("id", F.when(F.col("n") > 0, F.xxhash64("before", "word")).otherwise(F.xxhash64("before")).alias("key"), F.when(
+        F.col("n") > 0, F.col("n")).otherwise(-1 - F.col("word").cast("int")).alias("n"))
+    # One plan at every size: the ratios grow with the corpus, so they are never broadcast.
+    joined = rows.join(ratios.select("key", F.col(kind).alias("ratio")).hint("merge"), "key", "left")
+    copies = F.count(F.when(F.col("n") < 0, 1))
+    return joined.groupBy("id").agg(
+        (F.sum(F.when(F.col("n") > 0, F.coalesce(F.col("ratio").cast("double"), F.lit(0.0)) * F.col("n")).otherwise(0.0)) / copies).alias("total"),
+        (F.sum(F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(0)) / copies).cast("long").alias("n"), copies.alias("copies"))
+
+
 @dataclass
 class Model:
-    """The log-ratio of each bigram, and the calibration curve."""
+    """The table of log-ratios, if there is one, and the calibration curve."""
 
-    known: list[bytes]
-    ratio: np.ndarray
+    ratios: DataFrame | None
     curve: np.ndarray
     center: np.ndarray
     scale: np.ndarray
@@ -168,12 +221,6 @@ def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([total / n, total / np.sqrt(n), np.sign(total) * np.log1p(np.abs(total))], 1)
 
 
-def ratios(texts: list[str | None], index: Indexer, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' log-likelihood ratios and their words."""
-    pairs, text = index.pairs(texts)
-    return np.bincount(text, weights=ratio[pairs], minlength=len(texts)).astype(float), np.bincount(text, minlength=len(texts))
-
-
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic curve with a small ridge, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -194,59 +241,44 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # One plan at every size: labels grow with the corpus, so they are never broadcast.
     train = cut(docs.where(~held_out()).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select(
         "toxic", "text", (F.coalesce(remainder(), F.lit(0)) == 3).cast("int").alias("late"), row_key().alias("row_key")))
-    known = vocabulary(train)
-    rate = train.agg(F.avg("toxic")).first()[0] or 0.0
-    if not known:
-        return Model([], np.zeros(1, np.float32), np.array([0, 0, 0, np.log((rate + 1e-9) / (1 - rate + 1e-9))]), np.zeros(3), np.ones(3))
-    size = len(known) + 1
-    grams = train.select((F.col("toxic") + 2 * F.col("late")).cast("long").alias("g"), "text").mapInArrow(
-        lambda batches: bigram_counts(batches, known), "g long, pair long, n long")
-    # At most four counts for each pair of known words, whatever the size of the corpus.
-    table = grams.groupBy("g", "pair").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((4, size * size), np.float32)
-    counts[table["g"].to_numpy(), table["pair"].to_numpy()] = table["n"].to_numpy()
-    counts = counts.reshape(2, 2, size, size)
-    difference = lambda c: np.subtract(*kneser_ney(c)[::-1]).astype(np.float32).ravel()
-    early, ratio = difference(counts[0]), difference(counts.sum(0))
+    totals = {(r["toxic"], r["late"]): r["n"] for r in train.groupBy("toxic", "late").agg(F.count(F.lit(1)).alias("n")).collect()}
+    early = tuple(float(totals.get((c, 0), 0)) for c in (0, 1))
+    every = tuple(early[c] + totals.get((c, 1), 0) for c in (0, 1))
+    rate = every[1] / max(1.0, sum(every))
+    plain = np.array([0, 0, 0, np.log((rate + 1e-9) / (1 - rate + 1e-9))])
+    if not all(every):
+        return Model(None, plain, np.zeros(3), np.ones(3))
+    ratios = log_ratios(counted(train), {"a": every} | ({"e": early} if all(early) else {}))
     late = train.where("late = 1")
-    n = late.count()
-    share = min(1.0, CALIBRATION_ROWS / max(1, n))
-    sample = late.where(F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("toxic", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(early)
-
-    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Indexer(known)
-        for batch in batches:
-            total, words = ratios(batch.column(1).to_pylist(), index, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(words, pa.int64())], ["toxic", "total", "n"])
-
-    seen = sample.mapInArrow(judged, "toxic int, total double, n long").toArrow()
-    x, y = features(seen["total"].to_numpy(), seen["n"].to_numpy()), seen["toxic"].to_numpy().astype(float)
+    share = min(1.0, CALIBRATION_ROWS / max(1.0, sum(every) - sum(early)))
+    sample = late.where(F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    x = y = np.zeros(0)
+    if all(early):
+        # Rows of equal id and class have equal sums, each counted as often as it occurs.
+        seen = summed(sample.select((F.shiftleft(F.xxhash64("row_key", "text"), 1) + F.col("toxic")).alias("id"), "text"), ratios, "e").toArrow()
+        copies = seen["copies"].to_numpy()
+        x, y = np.repeat(features(seen["total"].to_numpy(), seen["n"].to_numpy()), copies, 0), np.repeat(seen["id"].to_numpy() & 1, copies).astype(float)
     if not 0 < y.sum() < len(y):
-        return Model(known, ratio, np.array([0, 4.0, 0, np.log((rate + 1e-9) / (1 - rate + 1e-9))]), np.zeros(3), np.ones(3))
+        return Model(ratios, np.array([0, 4.0, 0, plain[3]]), np.zeros(3), np.ones(3))
     center, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(known, ratio, logistic((x - center) / scale, y), center, scale)
+    return Model(ratios, logistic((x - center) / scale, y), center, scale)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, log-likelihood ratio, words, score and predicted of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        index = Indexer(m.known)
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                total, n = ratios(texts[a:b], index, m.ratio)
-                x = (features(total, n) - m.center) / m.scale
-                p = 1 / (1 + np.exp(-np.clip(x @ m.curve[:-1] + m.curve[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[a:b], batch.column(1)[a:b], pa.array(total), pa.array(n, pa.int64()), pa.array(p),
-                    pa.array((p >= LIMIT).astype(np.int32))], ["doc_id", "held_out", "log_ratio", "n_words", "score", "predicted"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(judged, "doc_id long, held_out boolean, log_ratio double, n_words long, score double, predicted int")
+    """doc_id, held_out, log-likelihood ratio, distinct bigrams, score and predicted of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), content_key().alias("id"), "text")
+    if model.ratios is None:
+        sums = rows.select("doc_id", "held_out", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
+    else:
+        # Rows of one id are equal in doc_id and text, so each gets the same.
+        found = summed(rows.select("id", "text"), model.ratios, "a")
+        sums = rows.select("id", "doc_id", "held_out").join(found.hint("merge"), "id").select("doc_id", "held_out", "total", "n")
+    curve, n = [float(w) for w in model.curve], F.greatest(F.col("n"), F.lit(1))
+    values = (F.col("total") / n, F.col("total") / F.sqrt(n), F.signum("total") * F.log1p(F.abs("total")))
+    z = sum((w * (v - float(c)) / float(s) for w, v, c, s in zip(curve[:-1], values, model.center, model.scale, strict=True)), F.lit(curve[-1]))
+    p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return sums.select(
+        "doc_id", "held_out", F.col("total").alias("log_ratio"), F.col("n").alias("n_words"), p.alias("score"), (p >= LIMIT).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
