@@ -107,6 +107,11 @@ def test_licenses_against_brute_force(spark):
     assert license_scan.scan(docs(spark, [])).collect() == []
 
 
+def test_licenses_of_one_id_with_two_texts(spark):
+    got = license_scan.scan(docs(spark, ["released under the mit license", "no such words"], [1, 1])).collect()
+    assert sorted((r.n_words, r.labels) for r in got) == [(3, ""), (5, "mit")]
+
+
 def luhn(match):
     d = [int(c) for c in match if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0

@@ -124,6 +124,12 @@ def test_exact_dedup(spark):
     assert exact_dedup.duplicates(docs(spark, [])).collect() == []
 
 
+def test_exact_dedup_of_one_id_with_two_texts(spark):
+    got = exact_dedup.duplicates(docs(spark, ["x", "y", "x", "z"], [1, 1, 2, None])).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted(
+        [(1, 1, 2, True), (1, 1, 1, True), (2, 1, 2, False), (None, None, 1, True)], key=str)
+
+
 def test_byte_bpe_is_as_tiktoken_does_it(spark):
     import tiktoken
 

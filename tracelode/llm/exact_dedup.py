@@ -72,9 +72,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "content_key",
     )
-    keys = marked.where("suspect").select("row_key").distinct()
-    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").join(
-        keys, "row_key", "left_semi").select("doc_id", content_key().alias("content_key"), normalised().alias("body"))
+    # By id and text: an id may stand for several texts, of which only some are under suspicion.
+    keys = marked.where("suspect").select("content_key").distinct()
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("content_key"), "text").join(
+        keys, "content_key", "left_semi").select("doc_id", "content_key", normalised().alias("body"))
     # Copies collapse before the shuffle, so a group that holds a third of all rows is sent once per task.
     groups = again.groupBy("body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     joined = again.join(groups, "body").select(

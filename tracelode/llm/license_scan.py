@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import let, row_key, whole
+from tracelode.llm.common import content_key, let, whole
 from tracelode.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,7 +74,7 @@ def places(w: Column) -> Column:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), words(whole("text")).alias("w"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("content_key"), words(whole("text")).alias("w"))
 
 
 def global_order(docs: DataFrame) -> list[str]:
@@ -99,20 +99,20 @@ def index_of(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def matches(texts: DataFrame, index: DataFrame, prefix: list[str]) -> DataFrame:
-    """row_key, start and end word of each block that meets a template, its label and the containment."""
+    """content_key, start and end word of each block that meets a template, its label and the containment."""
     rare = F.array(*map(F.lit, prefix))
     cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK // 2)), lambda i: F.struct(
         i.cast("long").alias("start"), F.slice("w", i + 1, BLOCK).alias("b")))
     blocks = texts.where(F.arrays_overlap("w", rare)).select(
-        "row_key", F.explode(F.filter(cuts, lambda x: F.arrays_overlap(x["b"], rare))).alias("x"))
-    blocks = blocks.select("row_key", "x.start", F.array_distinct("x.b").alias("b"), F.size("x.b").alias("length"))
+        "content_key", F.explode(F.filter(cuts, lambda x: F.arrays_overlap(x["b"], rare))).alias("x"))
+    blocks = blocks.select("content_key", "x.start", F.array_distinct("x.b").alias("b"), F.size("x.b").alias("length"))
     probes = blocks.select("*", F.explode(F.array_intersect("b", rare)).alias("token"))
     common = F.size(F.array_intersect("b", F.col("tokens")))
     hits = probes.join(F.broadcast(index), "token").where(
         (F.size("b") >= F.col("least")) & (F.size("tokens") - F.col("position") >= F.col("least"))
     ).withColumn("common", common).where(F.col("common") >= F.col("least"))
     return hits.select(
-        "row_key", "start", (F.col("start") + F.col("length")).alias("end"), "label", (F.col("common") / F.size("tokens")).alias("containment"),
+        "content_key", "start", (F.col("start") + F.col("length")).alias("end"), "label", (F.col("common") / F.size("tokens")).alias("containment"),
     ).distinct()
 
 
@@ -121,15 +121,15 @@ def scan(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     index = index_of(docs, percent)
     prefix = sorted({r["token"] for r in index.select("token").collect()})
     texts = texts_of(docs)
-    base = texts.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), let(F.col("w"), places).alias("places"))
+    base = texts.select("doc_id", "content_key", F.size("w").cast("long").alias("n_words"), let(F.col("w"), places).alias("places"))
     blocks = matches(texts, index, prefix)
     # A document has as many blocks as its text gives; a row of labels is bounded by the templates.
-    found = cut(blocks).groupBy("row_key").agg(
+    found = cut(blocks).groupBy("content_key").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count(F.lit(1)).alias("n_blocks"))
     starts = F.transform("places", lambda p: p["start"])
     own = F.array_distinct(F.transform("places", lambda p: p["label"]))
     method = F.coalesce("found", F.array().cast("array<string>"))
-    return base.join(found, "row_key", "left").select(
+    return base.join(found, "content_key", "left").select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), F.array_join(F.array_sort(own), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(own, method)), ",").alias("labels"),
