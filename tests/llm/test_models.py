@@ -166,6 +166,15 @@ def test_masking(spark):
     assert rows == {0: "", 1: "", 2: "no data", 3: "mail <email> now", 4: "é😀 <phone> and <ip>.", 5: "<ip>"}
 
 
+def test_masking_of_overlapping_kinds(spark):
+    local = "abcDEF0123456789abcDEF01"
+    texts = [f"mail {local}@example.org now", f"{local}@example.org", f"key {local} end", "x.y@z.org,1.2.3.4"]
+    found = pii.search(docs(spark, texts))
+    model = {("secret", c["votes"]): 1.0 for r in found.collect() for c in r["secret"]}
+    rows = {r.doc_id: r.m for r in docs(spark, texts).select("doc_id", pii.masked(pii.whole("text"), model).alias("m")).collect()}
+    assert rows == {0: "mail <email> now", 1: "<email>", 2: "key <secret> end", 3: "<email>,<ip>"}
+
+
 def test_labels_table_is_read(spark):
     got = by_id(toxicity.classify(given(spark), spark.read.parquet(f"{SF}/labels.parquet")))
     assert len(got) == 200

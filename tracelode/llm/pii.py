@@ -251,16 +251,28 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def merged(spans: Column) -> Column:
+    """Sorted spans with overlapping ones made one, of the first base kind among them, else of the first kind."""
+
+    def add(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        kind = F.when(last["kind"].isin(*BASE) | ~s["kind"].isin(*BASE), last["kind"]).otherwise(s["kind"])
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), kind.alias("kind"))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>"), add)
+
+
 def masked(text: Column, model: dict[tuple[str, str], float]) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first stands."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans are replaced as one."""
     patterns = accepted(model)
     kinds = [*zip(BASE, base_spans(text), strict=True), *[(k, passed(k, c, patterns)) for k, c in zip(EXTRA_PATTERNS, candidates(text), strict=True)]]
-    spans = F.array_sort(F.flatten(F.array(*[_named(k, s) for k, s in kinds])))
+    spans = merged(F.array_sort(F.flatten(F.array(*[_named(k, s) for k, s in kinds]))))
     start = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<string>").alias("parts"))
 
     def add(acc: Column, s: Column) -> Column:
         part = F.concat(F.substring(text, (acc["end"] + 1).cast("int"), (s["start"] - acc["end"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] < acc["end"], acc).otherwise(F.struct(s["end"].alias("end"), F.concat(acc["parts"], F.array(part)).alias("parts")))
+        return F.struct(s["end"].alias("end"), F.concat(acc["parts"], F.array(part)).alias("parts"))
 
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["end"] + 1).cast("int"), F.length(text)))
     return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(F.aggregate(s, start, add, rest)))
