@@ -70,6 +70,16 @@ def test_language_of_awkward_texts(spark):
     assert {r["lang_pred"] for r in none.values()} == {"und"}
 
 
+def test_languages_beyond_five_hundred_are_learned(spark):
+    # Three documents of each of 520 languages, so that none can be left out for being rarer.
+    langs = [f"x-{i:03d}" for i in range(520) for _ in range(3)]
+    texts = [f"word{lang} other{lang} third{lang}" for lang in langs]
+    held = {i for i in range(len(texts)) if is_held_out(i)}
+    model = language_id.learn(docs(spark, texts, langs=langs))
+    assert model.languages == sorted({lang for i, lang in enumerate(langs) if i not in held})
+    assert len(model.languages) > 500 and model.logits.shape == (language_id.BUCKETS, len(model.languages))
+
+
 def license_words(text):
     folded = (text or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)

@@ -2,7 +2,8 @@
 
 A text is the average of the embeddings of its subwords (byte n-grams of its words, hashed to buckets); a linear
 softmax reads the language from it. Embeddings and softmax are trained by stochastic gradient descent in numpy
-on a bounded sample of labelled documents, drawn evenly by language. A part of the sample sets the temperature
+on a sample of labelled documents, drawn evenly by language: every language is learned, from fewer documents each
+where there are many. The driver holds the sample as sparse bags. A part of the sample sets the temperature
 that makes scores honest and the score below which a prediction counts as rejected.
 
 Since average and softmax are linear, a word adds the same to the logits wherever it stands: tasks compute it
@@ -31,9 +32,10 @@ from tracelode.llm.toxicity import held_out
 BUCKETS = 8192
 DIMENSIONS = 24
 WIDTHS = (1, 2, 3, 4)
-#: Documents of each language to learn from, at most about; and how many languages there can be.
+#: Documents of each language to learn from, at most about; of all languages; and of each where there are very many.
 SAMPLE = 600
-MAX_LANGUAGES = 500
+SAMPLE_ALL = 30_000
+SAMPLE_LEAST = 20
 STEPS = 2500
 BATCH = 32
 RATE = 20.0
@@ -97,24 +99,46 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def descend(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Bags:
+    """Rows of bucket shares, held sparse; some of them at a time become an array."""
+
+    def __init__(self, buckets: np.ndarray, shares: np.ndarray, ends: np.ndarray):
+        self.buckets, self.shares, self.ends = buckets, shares, ends
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, r in enumerate(rows):
+            at = slice(self.ends[r], self.ends[r + 1])
+            x[i, self.buckets[at]] = self.shares[at]
+        return x
+
+    def times(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The rows' product with a matrix."""
+        return np.concatenate([self[rows[a:a + 1000]] @ weights for a in range(0, len(rows), 1000)])
+
+
+def descend(x: Bags, rows: np.ndarray, y: np.ndarray, classes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and bias by mini-batches with a falling rate."""
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 1 / DIMENSIONS, (x.shape[1], DIMENSIONS)).astype(np.float32)
+    emb = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, classes), np.float32)
     out[:] = rng.normal(0, 0.1, out.shape)
     bias = np.zeros(classes, np.float32)
     done = 0
     while done < STEPS:
-        order = rng.permutation(len(x))
-        for a in range(0, len(x), BATCH):
+        order = rng.permutation(len(rows))
+        for a in range(0, len(rows), BATCH):
             some = order[a:a + BATCH]
             rate = RATE * max(0.0, 1 - done / STEPS)
-            hidden = x[some] @ emb
+            found = x[rows[some]]
+            hidden = found @ emb
             error = softmax(hidden @ out + bias)
-            error[np.arange(len(some)), y[some]] -= 1
+            error[np.arange(len(some)), y[rows[some]]] -= 1
             error /= len(some)
-            back = x[some].T @ (error @ out.T)
+            back = found.T @ (error @ out.T)
             out -= rate * 0.05 * (hidden.T @ error)
             bias -= rate * 0.01 * error.sum(0)
             emb -= rate * back
@@ -125,26 +149,31 @@ def descend(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 11) -> tuple
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Train and calibrate on at most about `sample` documents of each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.col("lang") != UNKNOWN))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
     wide = 1 << 30
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample / n) * wide))])
-    chosen = rows.where(F.pmod(F.xxhash64(row_key()), F.lit(wide)) < limits[F.col("lang")])
+    each = min(sample, max(SAMPLE_LEAST, SAMPLE_ALL // len(sizes)))
+    limits = docs.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * wide)) for k, n in sorted(sizes.items())], "lang string, below long")
+    chosen = rows.withColumn("at", F.pmod(F.xxhash64(row_key()), F.lit(wide))).join(F.broadcast(limits), "lang").where(F.col("at") < F.col("below"))
     table = chosen.select("lang", "text").mapInArrow(bags, "lang string, buckets array<int>, counts array<float>").toArrow()
     languages = sorted(set(table["lang"].to_pylist()))
-    x = np.zeros((table.num_rows, BUCKETS), np.float32)
-    for i, (b, c) in enumerate(zip(table["buckets"], table["counts"], strict=True)):
-        x[i, b.values.to_numpy()] = c.values.to_numpy()
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
-    y = np.array([languages.index(v) for v in table["lang"].to_pylist()], np.int64)
+    number = {v: k for k, v in enumerate(languages)}
+    y = np.array([number[v] for v in table["lang"].to_pylist()], np.int64)
+    if not len(y):
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
+    buckets, counts = (table[c].combine_chunks() for c in ("buckets", "counts"))
+    sizes_of = buckets.value_lengths().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes_of)])
+    buckets, counts, owner = buckets.flatten().to_numpy(), counts.flatten().to_numpy(), np.repeat(np.arange(len(y)), sizes_of)
+    shares = (counts / np.maximum(np.bincount(owner, counts, len(y)), 1)[owner]).astype(np.float32)
+    x = Bags(buckets, shares, ends)
     # Rows come in no fixed order; the rows' own content gives one.
-    order = np.lexsort((x @ np.arange(BUCKETS, dtype=np.float32), y))
-    x, y = x[order], y[order]
+    order = np.lexsort((np.bincount(owner, shares * buckets, len(y)), y))
     late = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    emb, out, bias = descend(x[~late], y[~late], len(languages))
-    check = late if late.any() else ~late
-    z, truth = x[check] @ emb @ out + bias, y[check]
+    emb, out, bias = descend(x, order[~late], y, len(languages))
+    check = order[late if late.any() else ~late]
+    z, truth = x.times(check, emb) @ out + bias, y[check]
     loss = {t: -np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.25, 4, 33)}
     temperature = min(loss, key=loss.get)
     p = softmax(z / temperature)
