@@ -117,6 +117,20 @@ def test_licenses_against_brute_force(spark):
     assert license_scan.scan(docs(spark, [])).collect() == []
 
 
+def test_license_candidates_have_words_enough_left(spark):
+    # The first text has words enough of templates, but of none that it shares a prefix word with enough from there on.
+    unlicense = next(text for label, text in license_scan.TEMPLATES if label == "unlicense").split()
+    few = docs(spark, ["gnu affero lesser mozilla v cc0 waiver universal unencumbered into", " ".join(unlicense)])
+    order = license_scan.global_order(few)
+    index = license_scan.index_of(few, 90, order)
+    prefix = sorted({r["token"] for r in index.collect()})
+    texts = license_scan.texts_of(few)
+    found = license_scan.candidates(texts, index, prefix, order)
+    assert all(1 + min(len(r["tokens"]) - r["position"] - 1, len(r["b"]) - 1 - r["b"].index(r["token"])) >= r["least"] for r in found.collect())
+    assert {r["label"] for r in license_scan.matches(found).collect()} == {"unlicense"}
+    assert len(found.collect()) == 1
+
+
 def test_licenses_of_one_id_with_two_texts(spark):
     got = license_scan.scan(docs(spark, ["released under the mit license", "no such words"], [1, 1])).collect()
     assert sorted((r.n_words, r.labels) for r in got) == [(3, ""), (5, "mit")]

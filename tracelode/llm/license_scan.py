@@ -4,8 +4,9 @@ A block is a run of words of fixed length; blocks overlap by half, so a passage
 whole in one. A block meets a template when it holds the threshold's share of the template's distinct words.
 Template words are ordered by their frequency in the corpus, counted over all documents. Of a template with n
 words that needs c of them, a block must hold one of the n - c + 1 rarest (prefix filter), must have c words
-(length filter), and the words not yet passed must still suffice (positional filter). Blocks that pass are
-verified on their words.
+(length filter), and at the first such word that both have, that word and those after it in the template and in
+the block's words of the same order must still suffice (positional filter). Blocks that pass are verified on their
+words.
 
 Templates are a small fixed list, so their index may be broadcast; only documents that have a prefix word are
 ever cut into blocks.
@@ -86,9 +87,9 @@ def global_order(docs: DataFrame) -> list[str]:
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def index_of(docs: DataFrame, percent: int) -> DataFrame:
+def index_of(docs: DataFrame, percent: int, order: list[str]) -> DataFrame:
     """Prefix words of every template: token, template, its label, words in order, words needed, and position."""
-    rank = {t: i for i, t in enumerate(global_order(docs))}
+    rank = {t: i for i, t in enumerate(order)}
     rows = []
     for k, (label, text) in enumerate(TEMPLATES):
         tokens = sorted(set(text.split()), key=rank.get)
@@ -98,19 +99,27 @@ def index_of(docs: DataFrame, percent: int) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, schema)
 
 
-def matches(texts: DataFrame, index: DataFrame, prefix: list[str]) -> DataFrame:
-    """content_key, start and end word of each block that meets a template, its label and the containment."""
+def candidates(texts: DataFrame, index: DataFrame, prefix: list[str], order: list[str]) -> DataFrame:
+    """content_key, start, length and words of blocks, each with a template that the filters don't exclude.
+
+    A block's words are those of the global order, in it; no other word is in a template.
+    """
     rare = F.array(*map(F.lit, prefix))
     cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK // 2)), lambda i: F.struct(
         i.cast("long").alias("start"), F.slice("w", i + 1, BLOCK).alias("b")))
     blocks = texts.where(F.arrays_overlap("w", rare)).select(
         "content_key", F.explode(F.filter(cuts, lambda x: F.arrays_overlap(x["b"], rare))).alias("x"))
-    blocks = blocks.select("content_key", "x.start", F.array_distinct("x.b").alias("b"), F.size("x.b").alias("length"))
+    blocks = blocks.select("content_key", "x.start", F.array_intersect(F.array(*map(F.lit, order)), F.col("x.b")).alias("b"), F.size("x.b").alias("length"))
     probes = blocks.select("*", F.explode(F.array_intersect("b", rare)).alias("token"))
-    common = F.size(F.array_intersect("b", F.col("tokens")))
-    hits = probes.join(F.broadcast(index), "token").where(
-        (F.size("b") >= F.col("least")) & (F.size("tokens") - F.col("position") >= F.col("least"))
-    ).withColumn("common", common).where(F.col("common") >= F.col("least"))
+    first = ~F.arrays_overlap(F.slice("tokens", F.lit(1), F.col("position")), "b")
+    left = F.least(F.size("tokens") - F.col("position") - 1, F.size("b") - F.array_position("b", F.col("token")))
+    return probes.join(F.broadcast(index), "token").where(
+        (F.size("b") >= F.col("least")) & first & (1 + left >= F.col("least")))
+
+
+def matches(found: DataFrame) -> DataFrame:
+    """content_key, start and end word of each candidate block that meets its template, its label and the containment."""
+    hits = found.withColumn("common", F.size(F.array_intersect("b", F.col("tokens")))).where(F.col("common") >= F.col("least"))
     return hits.select(
         "content_key", "start", (F.col("start") + F.col("length")).alias("end"), "label", (F.col("common") / F.size("tokens")).alias("containment"),
     ).distinct()
@@ -118,11 +127,12 @@ def matches(texts: DataFrame, index: DataFrame, prefix: list[str]) -> DataFrame:
 
 def scan(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per document: n_words, places of phrases, labels, matched blocks and score."""
-    index = index_of(docs, percent)
+    order = global_order(docs)
+    index = index_of(docs, percent, order)
     prefix = sorted({r["token"] for r in index.select("token").collect()})
     texts = texts_of(docs)
     base = texts.select("doc_id", "content_key", F.size("w").cast("long").alias("n_words"), let(F.col("w"), places).alias("places"))
-    blocks = matches(texts, index, prefix)
+    blocks = matches(candidates(texts, index, prefix, order))
     # A document has as many blocks as its text gives; a row of labels is bounded by the templates.
     found = cut(blocks).groupBy("content_key").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count(F.lit(1)).alias("n_blocks"))
