@@ -4,7 +4,7 @@ import dataclasses
 import json
 
 import pytest
-from conftest import by_key, lines_of
+from rows import by_key, lines_of
 from pyspark.sql import functions as F
 
 import fixtures as fx

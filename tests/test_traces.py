@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import by_key, lines_of
+from rows import by_key, lines_of
 from fixtures import ANSWERED, APART, LOOP_RUN, RING, UNVERIFIED, loop, pi_loop
 from tracelode.operators import detectors, graph, metrics, services
 from tracelode.plans import analysis
