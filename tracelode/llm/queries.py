@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import byte_bpe, exact_dedup, host_quality, jaccard_join, language_id, license_scan, packing, pii, substring_dedup, toxicity
+from tracelode.llm import (
+    byte_bpe, decontaminate, exact_dedup, hard_negatives, host_quality, jaccard_join, language_id, license_scan, packing, pii,
+    spelling, substring_dedup, toxicity,
+)
 from tracelode.session import tune
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -82,6 +85,24 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark, and the items they are from."""
+    found = decontaminate.scan(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.mine(tune(spark).read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and its root."""
+    return spelling.variants(documents(spark, folder))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the corpus pipeline."""
     import corpus_pipeline
@@ -91,7 +112,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 ALL = (
     op1_host_quality, op2_substring_dedup, op3_toxicity, op4_license_scan, op5_language_id, op6_ngram_jaccard,
-    op7_best_fit_packing, op8_personal_data, op9_exact_dedup, op10_byte_bpe, pipeline,
+    op7_best_fit_packing, op8_personal_data, op9_exact_dedup, op10_byte_bpe, op11_decontaminate,
+    op12_hard_negatives, op13_spelling_variants, pipeline,
 )
 
 
