@@ -115,13 +115,13 @@ def hits(texts: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def extended(texts: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
-    """key, check, and every window of m words around a hit: m, start, words."""
+    """key, check, and every window of m words around a hit: m, start, words; a repeated row's ones are repeated."""
     def around(m: int) -> Column:
         starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p - (m - run_length(m)), p))))
         return windows(F.col("w"), F.filter(starts, lambda s: (s >= 0) & (s <= F.size("w") - m)), m)
 
     by_length = [F.when(F.col("m") == m, around(m)) for m in lengths]
-    near = texts.select(*KEY, "text").dropDuplicates(KEY).join(found, KEY).select(*KEY, "m", "places", words(F.col("text")).alias("w"))
+    near = texts.select(*KEY, "text").join(found, KEY).select(*KEY, "m", "places", words(F.col("text")).alias("w"))
     return near.select(*KEY, F.explode(F.coalesce(*by_length)).alias("x")).select(*KEY, "x.*")
 
 
