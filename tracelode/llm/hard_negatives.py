@@ -12,8 +12,8 @@ block are shuffled and ranked. A label or vector that a third of the rows have i
 
 Defined cases: rows with a null label, a null vector or a null or non-finite component take no part; shorter
 vectors count as followed by zeros; a repeated row is a row, so it can be a positive of its twin; a null vec_id is no
-anchor and ranks behind other ids; an empty table gives no rows. Scores beyond 64 bits are compared exactly inside a
-block and written as the greatest or smallest long. Columns other than vec_id, label and embedding are not read,
+anchor and ranks behind other ids; an empty table gives no rows. Scores beyond 64 bits count as the greatest or
+smallest long. Columns other than vec_id, label and embedding are not read,
 whatever their names.
 """
 
@@ -157,10 +157,6 @@ def ranked(score: np.ndarray, ids: np.ndarray, nulls: np.ndarray, uids: np.ndarr
     return place[np.lexsort((uids[place], ids[place], nulls[place], -score[place]))][:most]
 
 
-def clipped(score) -> int:
-    return int(min(max(int(score), LONG.min), LONG.max))
-
-
 class Block:
     """A block of rows and, in slices, their scores with a few anchors."""
 
@@ -173,7 +169,8 @@ class Block:
         return int(np.searchsorted(self.labels, label)), int(np.searchsorted(self.labels, label, "right"))
 
     def score(self, sums: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return scores(sums, self.planes[:, :, rows])
+        found = scores(sums, self.planes[:, :, rows])
+        return np.clip(found, LONG.min, LONG.max) if found.dtype == object else found
 
 
 def wide(parts: np.ndarray, block: Block) -> np.ndarray:
@@ -204,7 +201,7 @@ def nearest(block: Block, team: dict, uids: np.ndarray, ids: np.ndarray) -> list
             mine, score = rows[other], found[other, column]
             for i in ranked(score, block.ids[mine], block.nulls[mine], block.uids[mine], BEST):
                 row = mine[i]
-                out.append((int(uids[anchor]), int(ids[anchor]), int(block.uids[row]), None if block.nulls[row] else int(block.ids[row]), clipped(score[i])))
+                out.append((int(uids[anchor]), int(ids[anchor]), int(block.uids[row]), None if block.nulls[row] else int(block.ids[row]), int(score[i])))
     return out
 
 
@@ -219,7 +216,7 @@ def hardest(block: Block, team: dict, uids: np.ndarray, ids: np.ndarray) -> list
                 mine, score = rows[fits], score[fits]
                 for i in ranked(score, block.ids[mine], block.nulls[mine], block.uids[mine], BEST):
                     row = mine[i]
-                    out.append((int(uids[anchor]), int(ids[anchor]), top, int(block.uids[row]), None if block.nulls[row] else int(block.ids[row]), clipped(score[i])))
+                    out.append((int(uids[anchor]), int(ids[anchor]), top, int(block.uids[row]), None if block.nulls[row] else int(block.ids[row]), int(score[i])))
     return out
 
 
