@@ -821,6 +821,9 @@ def _context_sql() -> dict[str, str]:
               WHEN type = 'context_file' THEN 'AGENTS.md' ELSE source_alias END AS source_alias, CAST(NULL AS VARCHAR) AS raw_text,
               CAST(NULL AS VARCHAR) AS source_path, true AS raw_text_redacted, range_start AS start FROM ctx"""),
         "stream_tail": _with(ctx, select="SELECT session_id, event_id, producer_seq, observation, byte_count FROM ctx"),
+        "stream_late": _with(ctx, "times AS (SELECT max(strptime(wall_time, '%Y-%m-%dT%H:%M:%SZ')) AS newest FROM ctx)",
+            select="""SELECT session_id, event_id, producer_seq, CASE WHEN strptime(wall_time, '%Y-%m-%dT%H:%M:%SZ') >= newest - INTERVAL 10 SECOND
+              THEN 'on_time' ELSE 'behind_watermark' END AS dealt FROM ctx, times"""),
         "stream_unique": _with(ctx, select="SELECT session_id, event_id, producer_seq FROM ctx"),
         "stream_sources": _with(ctx, """src AS (SELECT *, row_number() OVER (PARTITION BY session_id, request_id ORDER BY producer_seq) AS no FROM ctx
               WHERE type IN ('prompt', 'system_prompt'))""", """near AS (

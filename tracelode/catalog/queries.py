@@ -677,10 +677,28 @@ def safe_projection(spark, sf):
 # --- streams ----------------------------------------------------------------
 
 
-def _log_folder(spark, sf) -> str:
-    """The capture as a folder of JSON log files, the input of the stream queries."""
+#: The stand-in's clocks differ by less, and no turn of it is resumed after a longer silence.
+LATENESS, IDLE_MS = "1 hour", 24 * 3600 * 1000
+#: Short enough for rows of the stand-in to be late.
+SOON = "10 seconds"
+
+
+def _closing(events: DataFrame) -> DataFrame:
+    """The row by which a recorder closes its log, far behind the last event."""
+    last = events.groupBy().agg(F.max_by(F.struct(*events.columns), F.struct("wall_time", "event_id")).alias("x"), F.max(tail.event_time()).alias("at"))
+    closing = {
+        "event_id": F.lit("closing"), "session_id": F.lit("closing"), "observation": F.lit(tail.CLOSED[0]), "boundary": F.lit(tail.CLOSED[1]),
+        "wall_time": F.date_format(F.col("at") + F.expr("interval 30 days"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+    }
+    return last.select("x.*", "at").withColumns(closing).select(*events.columns)
+
+
+def _log_folder(spark, sf, events: DataFrame | None = None, by: str = "sessionId") -> str:
+    """The capture as a folder of JSON log files, the input of the stream queries; the last file closes the log."""
     folder = work_path(spark, "log")
-    context.to_log(st.context(spark, sf)).repartition(4, "sessionId").write.json(folder)
+    events = st.context(spark, sf) if events is None else events
+    context.to_log(events).repartition(4, by).write.json(folder)
+    context.to_log(_closing(events)).coalesce(1).write.mode("append").json(folder)
     return folder
 
 
@@ -693,13 +711,28 @@ def _drained(spark, stream: DataFrame) -> DataFrame:
 
 
 def stream_tail(spark, sf):
-    out = _drained(spark, tail.read_log(spark, _log_folder(spark, sf), files_per_batch=2))
+    out = _drained(spark, tail.read_log(spark, _log_folder(spark, sf), files_per_batch=2).filter(~tail.is_closing()))
     return out.select("session_id", "event_id", "producer_seq", "observation", "byte_count")
 
 
+def stream_late(spark, sf):
+    """Every row of a log whose files come in the wrong order, on time or late, by the newest row of earlier batches."""
+    events = st.context(spark, sf)
+    folder = work_path(spark, "log")
+    # The newest rows come first, so what is more than ten seconds older is late.
+    newest = tail.event_time() == F.lit(events.agg(F.max(tail.event_time())).first()[0])
+    context.to_log(events.filter(newest)).coalesce(1).write.json(folder)
+    context.to_log(events.filter(~newest)).coalesce(1).write.mode("append").json(folder)
+    on_time, late, marks = (work_path(spark, name) for name in ("ontime", "late", "marks"))
+    stream = tail.read_log(spark, folder, files_per_batch=1)
+    tail.split_late(stream, on_time, late, marks, work_path(spark, "state"), SOON, available_now=True).awaitTermination()
+    kept = spark.read.parquet(on_time).select("session_id", "event_id", "producer_seq", F.lit("on_time").alias("dealt"))
+    return kept.unionByName(spark.read.parquet(late).select("session_id", "event_id", "producer_seq", F.col("reason").alias("dealt")))
+
+
 def stream_gaps(spark, sf):
-    events = tail.read_log(spark, _log_folder(spark, sf))
-    return _drained(spark, tail.turn_gaps(events))
+    events = tail.read_log(spark, _log_folder(spark, sf, by="eventId"), files_per_batch=1)
+    return _drained(spark, tail.turn_gaps(events, LATENESS, IDLE_MS))
 
 
 def stream_gaps_batch(spark, sf):
@@ -707,22 +740,23 @@ def stream_gaps_batch(spark, sf):
 
 
 def stream_sources(spark, sf):
-    marks = tail.with_time(tail.read_log(spark, _log_folder(spark, sf))).filter(
-        "source_category in ('user_input', 'system_input') or observation in ('payload', 'dispatch')"
-    ).select("session_id", "request_id", "producer_seq", "event_id", "event_time", F.expr("observation = 'load'").alias("is_source"))
-    return _drained(spark, tail.recent_sources(marks))
+    events = tail.with_time(tail.read_log(spark, _log_folder(spark, sf)), LATENESS)
+    is_source = F.when(~tail.is_closing(), F.col("observation") == "load")
+    marks = events.filter(
+        F.col("source_category").isin("user_input", "system_input") | F.col("observation").isin("payload", "dispatch") | tail.is_closing()
+    ).select("session_id", "request_id", "producer_seq", "event_id", "event_time", is_source.alias("is_source"))
+    return _drained(spark, tail.recent_sources(marks, IDLE_MS))
 
 
 def stream_drops(spark, sf):
     """Broken transcript lines as drop records; the running total per session as a stream."""
     events = adapters.codex_rollout(st.rollout_lines(spark, sf), st.KEY)
-    folder = work_path(spark, "log")
-    logged = events.withColumns({"wall_time": F.coalesce("wall_time", F.lit("-")), "agent_id": F.lit("agent-main")})
-    context.to_log(logged).repartition(4, "sessionId").write.json(folder)
-    drops = tail.read_log(spark, folder).filter("observation = 'capture_health'").select(
-        "session_id", "producer_seq", "event_id", F.lit(1).cast("bigint").alias("dropped")
+    logged = events.withColumns({"wall_time": F.lit("2026-01-01T00:00:00.000Z"), "agent_id": F.lit("agent-main")})
+    stream = tail.with_time(tail.read_log(spark, _log_folder(spark, sf, logged)), LATENESS)
+    drops = stream.filter("observation = 'capture_health'").select(
+        "session_id", "producer_seq", "event_id", F.when(~tail.is_closing(), F.lit(1).cast("bigint")).alias("dropped"), "event_time"
     )
-    return _drained(spark, tail.cumulative_drops(drops)).select("session_id", "seq", "dropped", "cumulative")
+    return _drained(spark, tail.cumulative_drops(drops, IDLE_MS)).select("session_id", "seq", "dropped", "cumulative")
 
 
 def stream_unique(spark, sf):
@@ -730,7 +764,7 @@ def stream_unique(spark, sf):
     events = st.context(spark, sf)
     folder = work_path(spark, "log")
     context.to_log(events.unionByName(events.filter("producer_seq % 3 = 0"))).repartition(4, "eventId").write.json(folder)
-    return _drained(spark, tail.without_repeats(tail.read_log(spark, folder))).select("session_id", "event_id", "producer_seq")
+    return _drained(spark, tail.without_repeats(tail.read_log(spark, folder), LATENESS)).select("session_id", "event_id", "producer_seq")
 
 
 ALL: tuple[Query, ...] = (
@@ -750,5 +784,5 @@ ALL: tuple[Query, ...] = (
     prov_nodes, prov_edges, prov_issues, ambiguous_matches, request_inspection, request_list, capture_problems,
     activity_steps, activity_counts, activity_gaps, turn_order,
     seam_export, seam_sink, provenance_join, provenance_join_strict, safe_projection,
-    stream_tail, stream_gaps, stream_gaps_batch, stream_sources, stream_drops, stream_unique,
+    stream_tail, stream_late, stream_gaps, stream_gaps_batch, stream_sources, stream_drops, stream_unique,
 )
