@@ -11,6 +11,7 @@ together; each round is cut through a shared table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from .detectors import parents
 
 S = "session_id"
 MAX_ROUNDS = 200_000
+#: A doubling round may make so many times its links and so many rows besides; beyond, levels are peeled.
+GROWTH, SPARE_ROWS = 8, 1_000_000
 
 
 def nodes(trace: DataFrame) -> DataFrame:
@@ -181,19 +184,65 @@ def contract(edge_rows: DataFrame, node_rows: DataFrame, names: Names = DEFAULT)
     return Contracted(link, state, merges, now[0] > 0)
 
 
-def _anchor_depths(g: Contracted) -> tuple[DataFrame, DataFrame]:
-    """Longest-path depth of every resolvable anchor, and the merge links that stay unresolved."""
-    solved = (
-        g.pointers.filter("steps = 0").select(S, "id")
-        .join(g.merges.select(S, "id"), [S, "id"], "left_anti")
-        .withColumn("depth", F.lit(0).cast("bigint"))
-    )
-    pending = g.merges
-    fresh = solved
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _best(tables: list[DataFrame]) -> DataFrame:
+    """The greatest depth so far of each id, from the rows that the rounds have appended."""
+    return _all(tables).groupBy(S, "id").agg(F.max("depth").alias("depth"))
+
+
+def _products(walks: DataFrame) -> int:
+    """Rows that joining the walks with themselves gives."""
+    ends = walks.groupBy(S, "id").agg(F.count(F.lit(1)).alias("n"))
+    starts = walks.groupBy(S, F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+    return ends.join(starts, [S, "id"]).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+
+
+def _doubled_depths(walks: DataFrame, spare_rows: int) -> tuple[list[DataFrame], DataFrame | None] | None:
+    """Longest walks to each id by (max,+) doubling, and the ids that arbitrarily long walks reach.
+
+    Round k has the best walk of 2^k links between each pair of anchors that has one. It lengthens the best walks of
+    fewer links, and joined with itself gives the next round's walks. Where no cycle is, walks end after as many
+    doublings as the depth has bits. Walks of more links than there are anchors have met a cycle. None if a round would
+    make more rows than the links and ``spare_rows`` allow: hubs, whose pairs are many, are better peeled level by level.
+    """
+    links = walks.count()
+    anchors = walks.select(S, "id").distinct().count()
+    tables: list[DataFrame] = []
+    length = 1
+    while links:
+        ahead = walks
+        if tables:
+            known = _best(tables).select(S, F.col("id").alias("src"), "depth")
+            ahead = walks.join(known, [S, "src"], "left")
+        else:
+            ahead = walks.withColumn("depth", F.lit(None).cast("bigint"))
+        longer = ahead.groupBy(S, "id").agg(F.max(F.coalesce("depth", F.lit(0)) + F.col("steps")).alias("depth"))
+        if tables:
+            old = _best(tables).withColumnRenamed("depth", "old")
+            longer = longer.join(old, [S, "id"], "left").filter("old is null or depth > old").drop("old")
+        tables.append(cut(longer))
+        if length > anchors:
+            return tables, cut(walks.select(S, "id").distinct())
+        if _products(walks) > GROWTH * links + spare_rows:
+            return None
+        after = walks.select(S, F.col("src").alias("id"), F.col("id").alias("end"), F.col("steps").alias("more"))
+        walks = cut(walks.join(after, [S, "id"]).groupBy(S, "src", F.col("end").alias("id")).agg(F.max(F.col("steps") + F.col("more")).alias("steps")))
+        if _none(walks):
+            break
+        length *= 2
+    return tables, None
+
+
+def _peeled_depths(merges: DataFrame, roots: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Depths level by level: each round settles the ids whose links all come from settled anchors."""
+    tables, pending = [roots], merges
     for _ in range(MAX_ROUNDS):
         if _none(pending):
             break
-        known = solved.select(S, F.col("id").alias("anchor"), F.col("depth").alias("at"))
+        known = _all(tables).select(S, F.col("id").alias("anchor"), F.col("depth").alias("at"))
         tried = pending.join(known, [S, "anchor"], "left").groupBy(S, "id").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("open"), F.col("at"))).alias("ready"),
             F.max(F.col("at") + F.col("steps")).alias("depth"),
@@ -201,11 +250,34 @@ def _anchor_depths(g: Contracted) -> tuple[DataFrame, DataFrame]:
         fresh = cut(tried.filter("n = ready").select(S, "id", "depth"))
         if _none(fresh):
             break
-        solved = cut(solved.unionByName(fresh))
+        tables.append(fresh)
         pending = cut(pending.join(fresh, [S, "id"], "left_anti"))
     else:
         raise RuntimeError("depths did not settle")
-    return solved, pending
+    return tables, pending
+
+
+def _anchor_depths(g: Contracted, spare_rows: int = SPARE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Longest-path depth of every resolvable anchor, and the merge links that stay unresolved."""
+    roots = (
+        g.pointers.filter("steps = 0").select(S, "id")
+        .join(g.merges.select(S, "id"), [S, "id"], "left_anti")
+        .withColumn("depth", F.lit(0).cast("bigint"))
+    )
+    # What hangs on a ring of single parents is never settled: as if it were its own parent.
+    src = F.when(F.col("open"), F.col("id")).otherwise(F.col("anchor"))
+    walks = cut(g.merges.groupBy(S, src.alias("src"), "id").agg(F.max("steps").alias("steps")))
+    doubled = _doubled_depths(walks, spare_rows)
+    if doubled is None:
+        tables, pending = _peeled_depths(g.merges, cut(roots))
+        return _all(tables), pending
+    tables, endless = doubled
+    if not tables:
+        return roots, g.merges.limit(0)
+    solved = _best(tables)
+    if endless is None:
+        return roots.unionByName(solved), g.merges.limit(0)
+    return roots.unionByName(solved.join(endless, [S, "id"], "left_anti")), cut(g.merges.join(endless, [S, "id"], "left_semi"))
 
 
 def depths(g: Contracted) -> DataFrame:
@@ -226,15 +298,36 @@ def graph_depth(g: Contracted) -> DataFrame:
     )
 
 
-def _spread(start: DataFrame, hops: DataFrame) -> DataFrame:
-    """All (session, id) reachable from ``start`` over hops (session, src, id), frontier by frontier."""
-    seen = frontier = cut(start.distinct())
+def shortcuts(hops: DataFrame) -> DataFrame:
+    """Hops (session, src, id) and, from each src, jumps of 2, 4, 8 ... hops along one hop of each (pointer jumping).
+
+    A jump leads where hops lead, so what is reachable stays the same, but a path of n such hops takes log n rounds.
+    """
+    jump = cut(hops.groupBy(S, "src").agg(F.min("id").alias("id")))
+    tables, span, most = [hops.select(S, "src", "id")], 1, jump.count()
+    while span < most:
+        ahead = jump.select(S, F.col("src").alias("id"), F.col("id").alias("next"))
+        jump = cut(jump.join(ahead, [S, "id"]).select(S, "src", F.col("next").alias("id")))
+        if _none(jump):
+            break
+        tables.append(jump)
+        span *= 2
+    return cut(_all(tables).distinct())
+
+
+def _spread(start: DataFrame, hops: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+    """All (session, id) reachable from ``start`` over hops (session, src, id), frontier by frontier; rows are appended."""
+    hops = shortcuts(hops) if jumps is None else jumps
+    frontier = cut(start.select(S, "id").distinct())
+    seen = [frontier]
     for _ in range(MAX_ROUNDS):
         step = hops.join(frontier.withColumnRenamed("id", "src"), [S, "src"]).select(S, "id").distinct()
-        frontier = cut(step.join(seen, [S, "id"], "left_anti"))
+        frontier = cut(step.join(_all(seen), [S, "id"], "left_anti"))
         if _none(frontier):
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return _all(seen)
+        seen.append(frontier)
+        if len(seen) > 16:
+            seen = [cut(_all(seen))]
     raise RuntimeError("reachability did not settle")
 
 
@@ -331,36 +424,58 @@ def cycle_nodes(g: Contracted) -> DataFrame:
     return ring.unionByName(walked).unionByName(ends).distinct()
 
 
+def _trimmed(alive: DataFrame, hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids with hops in and out, and the hops between them; the others are on no cycle. Two rounds of it."""
+    for _ in range(2):
+        alive = alive.join(hops.select(S, "id").distinct(), [S, "id"], "left_semi").join(
+            hops.select(S, F.col("src").alias("id")).distinct(), [S, "id"], "left_semi")
+        alive = cut(alive)
+        hops = cut(hops.join(alive, [S, "id"], "left_semi").join(alive.withColumnRenamed("id", "src"), [S, "src"], "left_semi"))
+    return alive, hops
+
+
+def _coloured(alive: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Each id with the greatest id that reaches it; colours travel over hops and jumps."""
+    colour = cut(alive.withColumn("colour", F.col("id")))
+    for _ in range(MAX_ROUNDS):
+        offered = jumps.join(colour.select(S, F.col("id").alias("src"), "colour"), [S, "src"]).groupBy(S, "id").agg(
+            F.max("colour").alias("offer")
+        )
+        new = cut(colour.join(offered, [S, "id"], "left").select(
+            S, "id", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), F.col("colour").alias("old")
+        ))
+        colour = new.select(S, "id", "colour")
+        if _none(new.filter("colour <> old")):
+            return colour
+    raise RuntimeError("colours did not settle")
+
+
 def _strong_groups(alive: DataFrame, hops: DataFrame) -> DataFrame:
-    """Strongly connected groups by forward colouring and backward search inside a colour."""
-    found = None
+    """Strongly connected groups (session, id, scc); ids on no cycle may be left out.
+
+    In each round every colour's pivot, the greatest id, is searched backward from inside its colour: what it reaches
+    so is its group. Forward and backward search jump along pointers, so a long ring takes log rounds.
+    """
+    found = [alive.select(S, "id", F.col("id").alias("scc")).limit(0)]
+    alive, hops = _trimmed(alive, hops)
     for _ in range(MAX_ROUNDS):
-        colour = alive.withColumn("colour", F.col("id"))
-        while True:
-            offered = hops.join(colour.select(S, F.col("id").alias("src"), "colour"), [S, "src"]).groupBy(S, "id").agg(
-                F.max("colour").alias("offer")
-            )
-            new = cut(colour.join(offered, [S, "id"], "left").select(
-                S, "id", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), F.col("colour").alias("old")
-            ))
-            colour = new.select(S, "id", "colour")
-            if _none(new.filter("colour <> old")):
-                break
+        if _none(alive):
+            return _all(found)
+        jumps = shortcuts(hops)
+        colour = _coloured(alive, jumps)
         a = colour.select(S, F.col("id").alias("src"), F.col("colour").alias("colour_a"))
-        within = cut(
-            hops.join(a, [S, "src"]).join(colour, [S, "id"]).filter("colour = colour_a")
-            .select(S, F.col("id").alias("src"), F.col("src").alias("id"))
-        )
-        members = _spread(colour.filter("id = colour").select(S, "id"), within)
+        # A jump inside one colour passes through ids of that colour only, so it may be gone backward too.
+        inside = lambda rows: rows.join(a, [S, "src"]).join(colour, [S, "id"]).filter("colour = colour_a").select(
+            S, F.col("id").alias("src"), F.col("src").alias("id"))
+        back = shortcuts(cut(inside(hops)))
+        within = cut(back.unionByName(inside(jumps)).distinct())
+        members = _spread(colour.filter("id = colour").select(S, "id"), within, within)
         group = cut(members.join(colour, [S, "id"]).select(S, "id", F.col("colour").alias("scc")))
-        found = group if found is None else found.unionByName(group)
-        alive = cut(alive.join(group, [S, "id"], "left_anti"))
-        if _none(alive):
-            return found
-        hops = cut(
-            hops.join(alive, [S, "id"], "left_semi").join(alive.withColumnRenamed("id", "src"), [S, "src"], "left_semi")
-        )
-    raise RuntimeError("colouring did not settle")
+        found.append(group)
+        alive = alive.join(group, [S, "id"], "left_anti")
+        left = hops.join(alive, [S, "id"], "left_semi").join(alive.withColumnRenamed("id", "src"), [S, "src"], "left_semi")
+        alive, hops = _trimmed(cut(alive), cut(left))
+    raise RuntimeError("strong groups did not settle")
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
