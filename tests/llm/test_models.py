@@ -90,13 +90,16 @@ def brute_license(text):
     found = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i:i + len(phrase.split())] == phrase.split()]
     best, labels_found = 0.0, {label for _, label in found}
     for j in range(0, max(len(w), 1), license_scan.BLOCK // 2):
-        block = set(w[j:j + license_scan.BLOCK])
-        for label, template in license_scan.TEMPLATES:
+        block, met = set(w[j:j + license_scan.BLOCK]), {}
+        for family, label, template in license_scan.TEMPLATES:
             tokens = set(template.split())
-            share = len(block & tokens) / len(tokens)
-            if 100 * len(block & tokens) >= license_scan.THRESHOLD_PERCENT * len(tokens):
-                labels_found.add(label)
-                best = max(best, share)
+            common = len(block & tokens)
+            if 100 * common >= license_scan.THRESHOLD_PERCENT * len(tokens):
+                met.setdefault(family, []).append((common / len(tokens), common, label))
+        for rivals in met.values():
+            top = max(rivals)[:2]
+            labels_found |= {label for share, common, label in rivals if (share, common) == top}
+            best = max(best, top[0])
     starts = [i for i, _ in found]
     return (len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found})),
             ",".join(sorted(labels_found)), max(best, 1.0 if found else 0.0))
@@ -105,7 +108,7 @@ def brute_license(text):
 def test_licenses_against_brute_force(spark):
     rng = random.Random(6)
     texts = AWKWARD + ["All rights  RESERVED. all rights reserved", "cc by cc by", "CC-BY-NC 4.0", "Kcc by", "ccé by", "the GNU general\nPublic\tLicense"]
-    for _, template in license_scan.TEMPLATES:
+    for _, _, template in license_scan.TEMPLATES:
         t = template.split()
         filler = [f"x{rng.randrange(50)}" for _ in range(rng.randrange(0, 90))]
         texts += [" ".join(filler + t + filler), " ".join(filler + t[:-1]), " ".join(t[: len(t) // 2])]
@@ -119,7 +122,7 @@ def test_licenses_against_brute_force(spark):
 
 def test_license_candidates_have_words_enough_left(spark):
     # The first text has words enough of templates, but of none that it shares a prefix word with enough from there on.
-    unlicense = next(text for label, text in license_scan.TEMPLATES if label == "unlicense").split()
+    unlicense = next(text for _, label, text in license_scan.TEMPLATES if label == "unlicense").split()
     few = docs(spark, ["gnu affero lesser mozilla v cc0 waiver universal unencumbered into", " ".join(unlicense)])
     order = license_scan.global_order(few)
     index = license_scan.index_of(few, 90, order)
@@ -131,6 +134,35 @@ def test_license_candidates_have_words_enough_left(spark):
     assert len(found.collect()) == 1
 
 
+#: Notices in usual wordings, labelled by hand.
+NOTICES = {
+    "This program is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+    "Licensed under the GNU General Public License version 2 only": "gpl,gpl-2.0",
+    "distributed under the terms of the GNU General Public License, version 3 or later": "gpl,gpl-3.0",
+    "licensed under the GNU Lesser General Public License version 3": "gpl,lgpl-3.0",
+    "You may use it under the GNU Lesser General Public License, version 2.1.": "gpl,lgpl-2.1",
+    "licensed under the GNU Affero General Public License version 3": "agpl-3.0,gpl",
+    "some general public license": "gpl",
+    "Licensed under the MIT License": "mit",
+    "released under the MIT license": "mit",
+    "Apache License, Version 2.0": "apache-2.0",
+    "Licensed under the Apache License, Version 2.0 (the License);": "apache-2.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+    "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+    "licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+    "Mozilla Public License, version 2.0": "mpl-2.0",
+    "All rights reserved.": "reserved",
+    "MIT License or the Apache License, Version 2.0, licensed under the user's choice": "apache-2.0,mit",
+    "The general was licensed to walk in public under version three of the plan": "",
+}
+
+
+def test_licenses_labelled_by_hand(spark):
+    got = by_id(license_scan.scan(docs(spark, list(NOTICES))))
+    assert {text: got[i]["labels"] for i, text in enumerate(NOTICES)} == NOTICES
+
+
 def test_licenses_of_one_id_with_two_texts(spark):
     got = license_scan.scan(docs(spark, ["released under the mit license", "no such words"], [1, 1])).collect()
     assert sorted((r.n_words, r.labels) for r in got) == [(3, ""), (5, "mit")]

@@ -6,7 +6,7 @@ Template words are ordered by their frequency in the corpus, counted over all do
 words that needs c of them, a block must hold one of the n - c + 1 rarest (prefix filter), must have c words
 (length filter), and at the first such word that both have, that word and those after it in the template and in
 the block's words of the same order must still suffice (positional filter). Blocks that pass are verified on their
-words.
+words. Of the templates of one family that a block meets, the best counts.
 
 Templates are a small fixed list, so their index may be broadcast; only documents that have a prefix word are
 ever cut into blocks.
@@ -17,7 +17,7 @@ one row however often it repeats; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.common import content_key, let, whole
@@ -26,23 +26,38 @@ from tracelode.session import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices by label: public wordings, as words.
+#: Notices by family and label: public wordings, as words.
 TEMPLATES = (
-    ("agpl-3.0", "gnu affero general public license version 3"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc0-1.0", "dedicated to the public domain under the cc0 1 0 universal waiver"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache", "apache-2.0", "apache license version 2 0"),
+    ("apache", "apache-2.0", "licensed under the apache license 2 0"),
+    ("apache", "apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("bsd", "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "bsd", "licensed under the bsd license"),
+    ("bsd", "bsd", "released under the bsd license"),
+    ("cc", "cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc", "cc-by-4.0", "licensed under cc by 4 0"),
+    ("cc", "cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc", "cc-by-nc-4.0", "licensed under cc by nc 4 0"),
+    ("cc", "cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc", "cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    ("cc0", "cc0-1.0", "dedicated to the public domain under the cc0 1 0 universal waiver"),
+    ("gnu", "agpl-3.0", "licensed under the gnu affero general public license version 3"),
+    ("gnu", "agpl-3.0", "gnu affero general public license version 3"),
+    ("gnu", "gpl-2.0", "licensed under the gnu general public license version 2"),
+    ("gnu", "gpl-2.0", "gnu general public license version 2"),
+    ("gnu", "gpl-3.0", "licensed under the gnu general public license version 3"),
+    ("gnu", "gpl-3.0", "gnu general public license version 3"),
+    ("gnu", "lgpl-2.1", "licensed under the gnu lesser general public license version 2 1"),
+    ("gnu", "lgpl-2.1", "gnu lesser general public license version 2 1"),
+    ("gnu", "lgpl-3.0", "licensed under the gnu lesser general public license version 3"),
+    ("gnu", "lgpl-3.0", "gnu lesser general public license version 3"),
+    ("isc", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("mit", "mit", "licensed under the mit license"),
+    ("mit", "mit", "released under the mit license"),
+    ("mit", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mpl", "mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "mpl-2.0", "mozilla public license version 2 0"),
+    ("unlicense", "unlicense", "this is free and unencumbered software released into the public domain"),
 )
 THRESHOLD_PERCENT = 90
 BLOCK = 48
@@ -80,7 +95,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 def global_order(docs: DataFrame) -> list[str]:
     """Template words from the rarest to the most frequent, by documents that have them; as many as templates have."""
-    vocabulary = sorted({t for _, text in TEMPLATES for t in text.split()})
+    vocabulary = sorted({t for _, _, text in TEMPLATES for t in text.split()})
     found = F.array_intersect(words(whole("text")), F.array(*map(F.lit, vocabulary)))
     rows = docs.select(F.explode(found).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["token"]: r["n"] for r in rows}
@@ -91,11 +106,11 @@ def index_of(docs: DataFrame, percent: int, order: list[str]) -> DataFrame:
     """Prefix words of every template: token, template, its label, words in order, words needed, and position."""
     rank = {t: i for i, t in enumerate(order)}
     rows = []
-    for k, (label, text) in enumerate(TEMPLATES):
+    for k, (family, label, text) in enumerate(TEMPLATES):
         tokens = sorted(set(text.split()), key=rank.get)
         least = needed(len(tokens), percent)
-        rows += [(tokens[i], k, label, tokens, least, i) for i in range(len(tokens) - least + 1)]
-    schema = "token string, template int, label string, tokens array<string>, least int, position int"
+        rows += [(tokens[i], k, family, label, tokens, least, i) for i in range(len(tokens) - least + 1)]
+    schema = "token string, template int, family string, label string, tokens array<string>, least int, position int"
     return docs.sparkSession.createDataFrame(rows, schema)
 
 
@@ -118,11 +133,16 @@ def candidates(texts: DataFrame, index: DataFrame, prefix: list[str], order: lis
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """content_key, start and end word of each candidate block that meets its template, its label and the containment."""
+    """content_key, start and end word of each candidate block that meets a template, its label and the containment.
+
+    Notices of one family share most of their words. Of those that a block meets, the one with the greatest
+    containment counts, then the one with the most words; so a GPL notice is no LGPL one, and an LGPL notice no GPL one.
+    """
     hits = found.withColumn("common", F.size(F.array_intersect("b", F.col("tokens")))).where(F.col("common") >= F.col("least"))
-    return hits.select(
-        "content_key", "start", (F.col("start") + F.col("length")).alias("end"), "label", (F.col("common") / F.size("tokens")).alias("containment"),
-    ).distinct()
+    hits = hits.withColumn("containment", F.col("common") / F.size("tokens"))
+    rivals = Window.partitionBy("content_key", "start", "family").orderBy(F.desc("containment"), F.desc("common"))
+    return hits.withColumn("place", F.rank().over(rivals)).where("place = 1").select(
+        "content_key", "start", (F.col("start") + F.col("length")).alias("end"), "label", "containment").distinct()
 
 
 def scan(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:

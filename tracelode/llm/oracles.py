@@ -60,7 +60,7 @@ def op4(source: str = "documents", percent: int = license_scan.THRESHOLD_PERCENT
     for phrase, label in license_scan.PHRASES.items():
         same = " AND ".join(f"ws[i + {k}] = '{token}'" for k, token in enumerate(phrase.split()))
         tests.append(f"SELECT row_id, i - 1 AS start, '{label}' AS label FROM i WHERE {same}")
-    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+    templates = ", ".join(f"({k}, '{family}', '{label}', '{text}')" for k, (family, label, text) in enumerate(license_scan.TEMPLATES))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id,
   translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}') AS t FROM {source}),
@@ -68,12 +68,13 @@ w AS (SELECT row_id, doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\
 i AS (SELECT row_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 p AS ({" UNION ALL ".join(tests)}),
 b AS (SELECT row_id, count(*) AS n, min(start) AS lo, max(start) AS hi FROM p GROUP BY row_id),
-t AS (SELECT label, list_distinct(string_split(words, ' ')) AS tokens FROM (VALUES {templates}) v(k, label, words)),
-k AS (SELECT row_id, list_distinct(ws[j + 1:j + {width}]) AS block
+t AS (SELECT family, label, list_distinct(string_split(words, ' ')) AS tokens FROM (VALUES {templates}) v(k, family, label, words)),
+k AS (SELECT row_id, j, list_distinct(ws[j + 1:j + {width}]) AS block
   FROM (SELECT row_id, ws, unnest(range(0, greatest(len(ws), 1), {width // 2})) AS j FROM w)),
-h AS (SELECT row_id, label, len(list_intersect(block, tokens)) AS c, len(tokens) AS n FROM k, t
+h AS (SELECT row_id, j, family, label, len(list_intersect(block, tokens)) AS c, len(tokens) AS n FROM k, t
   WHERE list_has_any(block, tokens)),
-m AS (SELECT row_id, label, c / n AS share FROM h WHERE 100 * c >= {percent} * n),
+m AS (SELECT row_id, label, c / n AS share FROM h WHERE 100 * c >= {percent} * n
+  QUALIFY rank() OVER (PARTITION BY row_id, j, family ORDER BY c / n DESC, c DESC) = 1),
 s AS (SELECT row_id, max(share) AS best FROM m GROUP BY row_id),
 o AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY row_id),
 u AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
