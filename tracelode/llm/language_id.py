@@ -148,7 +148,7 @@ def descend(x: Bags, rows: np.ndarray, y: np.ndarray, classes: int, seed: int =
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Train and calibrate on at most about `sample` documents of each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.col("lang") != UNKNOWN))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.col("lang") != UNKNOWN)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
