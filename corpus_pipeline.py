@@ -19,9 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows whose id and text a verdict (content_key, kept) keeps; a null id is no hindrance."""
-    keys = verdict.where("kept").select("content_key")
-    return docs.withColumn("content_key", content_key()).join(keys, "content_key", "left_semi")
+    """The rows whose id and text a verdict (doc_id, content_key, kept) keeps; the hash tells texts of one id apart."""
+    keys = verdict.where("kept").select(F.col("doc_id").alias("kept_id"), "content_key")
+    rows = docs.withColumn("content_key", content_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (rows["content_key"] == keys["content_key"])
+    return rows.join(keys, same, "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id; of rows equal in id too, one."""
-    return _kept(docs, exact_dedup.duplicates(docs)).dropDuplicates(["content_key"]).select(*COLUMNS)
+    return _kept(docs, exact_dedup.duplicates(docs)).dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
