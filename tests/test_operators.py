@@ -278,3 +278,32 @@ def test_graph_cycles_with_tails(spark):
     g = graph.contract(e, n)
     assert {r["id"] for r in graph.cycle_nodes(g).collect()} == {"a", "b", "c", "l", "n", "o"}
     assert len({r["component"] for r in graph.components(g).collect()}) == 3
+
+
+def test_segments_go_by_counted_rows(spark, monkeypatch):
+    """Positions 2^20 apart, and a session with most of the rows: about as many segments as rows need, and right numbers."""
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 1000)
+    monkeypatch.setattr(detectors, "SEGMENT_ROWS", 1000)
+    rows = spark.range(10_000).select(
+        F.when(F.col("id") < 9000, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("session_id"),
+        (F.col("id") * (1 << 20)).alias("seq"), F.lit("tool_call").alias("kind"), F.col("id").cast("string").alias("id"),
+        F.lit("t").alias("name"), F.lit("x").alias("signature"), F.lit(None).cast("string").alias("parent_id"), F.lit(False).alias("is_error"))
+    dealt, segment = ordered.by_count(rows, ["session_id"], ["seq"])
+    sizes = [r["n"] for r in dealt.groupBy("session_id", segment.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) <= 20 and max(sizes) <= 2000 and sum(sizes) == 10_000
+    numbered = detectors.tool_calls(rows)
+    expected = rows.selectExpr("id", "row_number() over (partition by session_id order by seq) AS call_no")
+    assert numbered.select("id", "call_no").exceptAll(expected).isEmpty() and numbered.count() == 10_000
+
+
+def test_unusable_captures_are_refused_whole(spark):
+    from tracelode.catalog import queries
+
+    events, rejects = context.scan(spark, queries._spoiled_log(spark, "/root/testdata/sf0.001"))
+    assert {r["reason"] for r in rejects.select("reason").distinct().collect()} <= {"wrong_schema", "missing_field", "malformed_row"}
+    found = provenance.provenance(events)
+    refused = {r["session_id"]: r["reason"] for r in found.refused.collect()}
+    assert set(refused.values()) == {"repeated_event_id", "unknown_observation"}
+    for part in (found.nodes, found.edges, found.issues):
+        assert not {r["session_id"] for r in part.select("session_id").distinct().collect()} & set(refused)
+    assert found.nodes.count()

@@ -200,6 +200,11 @@ def _findings_sql() -> dict[str, str]:
         "branches": _with(TRACE, """kids AS (SELECT session_id, parent_id, count(*) AS c FROM trace WHERE parent_id IS NOT NULL GROUP BY 1, 2)""",
             select="SELECT session_id, count(*) FILTER (c > 1) AS branches FROM kids GROUP BY 1"),
         "tool_counts": _with(TRACE, select="SELECT session_id, name AS tool, count(*) AS calls FROM trace WHERE kind = 'tool_call' GROUP BY 1, 2"),
+        "analysis_sink": _with(TRACE, select="""SELECT session_id, 'session_metrics' AS part, 1 AS rows FROM trace GROUP BY 1
+            UNION ALL SELECT session_id, 'graph_nodes', count(*) FROM trace GROUP BY 1
+            UNION ALL SELECT session_id, 'graph_edges', count(*) FROM trace WHERE parent_id IS NOT NULL GROUP BY 1
+            UNION ALL SELECT session_id, 'tool_counts', count(DISTINCT name) FROM trace WHERE kind = 'tool_call' GROUP BY 1
+            UNION ALL SELECT session_id, 'usage', 1 FROM trace GROUP BY 1"""),
         "usage_totals": _with(TRACE, select="SELECT session_id, 'value' AS counter, round(sum(value), 2) AS total FROM trace GROUP BY 1"),
         "compare_sessions": _with(ALL_FINDINGS, HEALTH, select="SELECT before, after, metric, delta FROM (" + " UNION ALL ".join(
             f"SELECT before, after, '{name}' AS metric, CAST(a.{column} - b.{column} AS DOUBLE) AS delta FROM pairs"
@@ -264,11 +269,14 @@ def _text_sql() -> dict[str, str]:
           SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line
           FROM documents)) WHERE labels <> ''""",
         "page_paths": f"""SELECT page_id,
-          lower(regexp_extract({name}, '\\.([^.]+)$', 1)) IN ({', '.join(map(_literal, fv.PRIVATE_SUFFIXES))})
-            OR {name} IN ({', '.join(map(_literal, fv.PRIVATE_NAMES))})
-            OR (starts_with({name}, '.env.') AND {name} <> '.env.example') AS private_name,
-          ends_with(url, '.jsonl') AND NOT list_has_any(string_split(url, '/'), ['fixtures', 'examples']) AS stray_log,
-          CASE WHEN {name} = '' THEN url ELSE {name} END AS basename FROM pages""",
+          list_has_any(string_split(path, '/'), [{', '.join(map(_literal, (*fv.PRIVATE_FOLDERS, '.state')))}])
+            OR regexp_extract(name, '^\\.*[^.].*\\.([^.]+)$', 1) IN ({', '.join(map(_literal, fv.PRIVATE_SUFFIXES))})
+            OR name IN ({', '.join(map(_literal, fv.PRIVATE_NAMES))})
+            OR (starts_with(name, '.env.') AND name <> '.env.example') AS private_name,
+          ends_with(path, '.jsonl') AND NOT list_has_any(string_split(path, '/'), ['fixtures', 'examples']) AS stray_log,
+          CASE WHEN name = '' THEN path ELSE name END AS basename FROM (SELECT page_id, path, string_split(path, '/')[-1] AS name FROM (
+            SELECT page_id, url || (['', '/.env', '/a.pem', '/a.PEM', '/.venv/a.py', '/run.jsonl', '/fixtures/run.jsonl', '/.env.example', '/.env.local', '/.key',
+              '/.state/a'])[page_id % 11 + 1] AS path FROM pages))""",
         "sanitize_nested": f"""SELECT doc_id, array_to_string({_labels('text')} || ['api_key', 'db_password'], ',') AS labels,
           sha256({_redacted('text')}) AS note_sha, '{{"DB Password":"<redacted:db_password>"}}' AS login, lang FROM documents""",
         "size_estimates": f"""SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, CAST({_chars('text')} AS BIGINT) AS chars,
@@ -630,6 +638,8 @@ hit AS (
   FROM piece, unnest(range(1, len(parts))) AS u(i))"""
 
 
+#: Each session's first event, and the place of its conversation among five.
+FIRST = "first AS (SELECT session_id, conv_id % 5 AS no FROM ctx WHERE producer_seq = 0)"
 PROV = """
 claim AS (
   SELECT e.session_id, e.event_id AS "to", e.parent AS "from", p.event_id IS NULL AS gone, p.session_id AS other,
@@ -795,6 +805,22 @@ def _context_sql() -> dict[str, str]:
             recursive=True),
         "request_list": _with(ctx, select="SELECT session_id, event_id AS id, request_id AS label, attempt_id AS attempt FROM ctx WHERE type = 'payload'"),
         "capture_problems": "SELECT DISTINCT 'c' || conv_id AS session_id FROM conversations WHERE conv_id % 5 = 0 AND turn = 0 AND role IN ('user', 'system')",
+        "context_scan": _with(ctx, FIRST, select="""SELECT 'valid' AS reason, (SELECT count(*) FROM ctx) + count(*) AS rows FROM first WHERE no IN (0, 4)
+            UNION ALL SELECT CASE no WHEN 1 THEN 'wrong_schema' WHEN 2 THEN 'missing_field' ELSE 'malformed_row' END, count(*) FROM first
+              WHERE no IN (1, 2, 3) GROUP BY 1"""),
+        "admitted_graph": _with(ctx, PROV, FIRST,
+            "refused AS (SELECT session_id, CASE no WHEN 0 THEN 'repeated_event_id' ELSE 'unknown_observation' END AS reason FROM first WHERE no IN (0, 4))",
+            "n AS (SELECT session_id, count(*) AS nodes FROM ctx GROUP BY 1)",
+            "e AS (SELECT session_id, count(*) AS edges FROM verdict WHERE issue IS NULL GROUP BY 1)",
+            """i AS (SELECT session_id, count(*) AS issues FROM (SELECT session_id FROM verdict WHERE issue IS NOT NULL
+              UNION ALL SELECT session_id FROM ctx WHERE coverage <> 'full') GROUP BY 1)""",
+            select="""SELECT session_id, CASE WHEN reason IS NULL THEN nodes ELSE 0 END AS nodes, CASE WHEN reason IS NULL THEN coalesce(edges, 0) ELSE 0 END AS edges,
+              CASE WHEN reason IS NULL THEN coalesce(issues, 0) ELSE 0 END AS issues, reason
+              FROM n LEFT JOIN refused USING (session_id) LEFT JOIN e USING (session_id) LEFT JOIN i USING (session_id)"""),
+        "request_sources": _with(ctx, _match_parts(), select="""SELECT q.session_id, q.request, c.event_id AS id, bool_or(h.source_id IS NOT NULL) AS matched
+              FROM (SELECT session_id, arg_max(event_id, producer_seq) AS request FROM ctx WHERE type = 'payload' GROUP BY 1) q
+              JOIN ctx c ON c.session_id = q.session_id AND c.observation IN ('load', 'read', 'transform')
+              LEFT JOIN hit h ON h.payload_id = q.request AND h.source_id = c.event_id GROUP BY ALL"""),
         "activity_steps": _with(ctx, phase, gap, select=f"""SELECT session_id, event_id, CAST(producer_seq AS DOUBLE) AS seq, wall_time, phase, 'pi' AS agent_runtime,
               {title} AS title, {path} AS path, CASE WHEN tool_call_id IS NOT NULL THEN source_alias END AS tool_name, request_id, coverage, boundary,
               false AS derived, range_start, CASE WHEN range_start IS NOT NULL THEN 'line' END AS range_unit FROM phased

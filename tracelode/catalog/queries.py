@@ -6,6 +6,7 @@ Results carry scalar columns only; id lists are joined to text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,17 @@ def usage_totals(spark, sf):
     return metrics.usage_totals(st.trace(spark, sf)).withColumn("total", _r("total", 2))
 
 
+def analysis_sink(spark, sf):
+    """A whole analysis written as tables, and their rows by session."""
+    path = work_path(spark, "analysis")
+    analysis.write_analysis(st.stored_trace(spark, sf), path)
+    parts = [
+        spark.read.parquet(f"{path}/{name}").select("session_id", F.lit(name).alias("part"))
+        for name in ("session_metrics", "graph_nodes", "graph_edges", "tool_counts", "usage")
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("session_id", "part").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- text -------------------------------------------------------------------
 
 
@@ -129,11 +141,16 @@ def line_hygiene(spark, sf):
     ).filter("labels <> ''")
 
 
+#: What the stand-in puts behind a page's address, by page.
+FILES = ("", "/.env", "/a.pem", "/a.PEM", "/.venv/a.py", "/run.jsonl", "/fixtures/run.jsonl", "/.env.example", "/.env.local", "/.key", "/.state/a")
+
+
 def page_paths(spark, sf):
-    url = F.col("url")
-    return st.table(spark, sf, "pages").select(
-        "page_id", tx.private_file(url).alias("private_name"), tx.stray_log(url).alias("stray_log"),
-        tx.basename(url).alias("basename"),
+    """Paths of private files and of logs outside the fixtures."""
+    path = F.concat("url", F.element_at(F.array(*map(F.lit, FILES)), (F.col("page_id") % len(FILES) + 1).cast("int")))
+    return st.table(spark, sf, "pages").withColumn("path", path).select(
+        "page_id", tx.private_file(F.col("path"), (".state",)).alias("private_name"), tx.stray_log(F.col("path")).alias("stray_log"),
+        tx.basename(F.col("path")).alias("basename"),
     )
 
 
@@ -463,9 +480,8 @@ def event_index_digest(spark, sf):
 
 def default_ancestors(spark, sf):
     """Summaries that name no ancestor take the eight events before them."""
-    rows = ordered.running(
-        st.context(spark, sf), ["session_id"], ["producer_seq"], [ordered.Running("no", "count")], None
-    ).withColumn("producer_seq", F.col("no").cast("bigint")).withColumns({
+    events, segment = ordered.by_count(st.context(spark, sf), ["session_id"], ["producer_seq"])
+    rows = ordered.running(events, ["session_id"], ["producer_seq"], [ordered.Running("no", "count")], segment).withColumn("producer_seq", F.col("no").cast("bigint")).withColumns({
         "source_category": F.when(F.col("observation") == "usage", "summary").otherwise(F.col("source_category")),
     }).drop("no")
     return adapters.default_ancestors(rows).filter("observation = 'usage'").select(
@@ -606,6 +622,50 @@ def capture_problems(spark, sf):
     return provenance.unusable(events.unionByName(again))
 
 
+def _spoiled_log(spark, sf) -> str:
+    """The capture as text, with what must be refused: by conversation, a repeated row, a foreign schema, a missing
+    field, a damaged line, or an observation that nobody knows."""
+    events = st.context(spark, sf)
+    number = F.regexp_extract("session_id", r"(\d+)", 1).cast("int") % 5
+    first = events.filter(F.col("producer_seq") == 0)
+    renamed = first.withColumn("event_id", F.concat(F.lit("extra-"), "event_id"))
+    every = reduce(DataFrame.unionByName, [
+        events, first.filter(number == 0), renamed.filter(number == 1).withColumn("schema_version", F.lit("other.v1")),
+        renamed.filter(number == 2).withColumn("agent_id", F.lit(None).cast("string")),
+        renamed.filter(number == 4).withColumn("observation", F.lit("guess")),
+    ])
+    text = context.to_log(every).select(F.to_json(F.struct("*")).alias("value"))
+    damaged = first.filter(number == 3).select(F.concat(F.lit('{"eventId": "'), "event_id").alias("value"))
+    folder = work_path(spark, "log")
+    text.unionByName(damaged).write.text(folder)
+    return folder
+
+
+def context_scan(spark, sf):
+    """Events kept and rows refused of a log with foreign, invalid and damaged rows."""
+    events, rejects = context.scan(spark, _spoiled_log(spark, sf))
+    kept = events.groupBy().agg(F.lit("valid").alias("reason"), F.count(F.lit(1)).alias("rows"))
+    return kept.unionByName(rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def admitted_graph(spark, sf):
+    """Per session: nodes, edges and issues of the captures admitted, and the reason of those refused."""
+    events, _ = context.scan(spark, _spoiled_log(spark, sf))
+    found = provenance.provenance(events)
+    count = lambda df, name: df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name))
+    out = count(found.nodes, "nodes").join(count(found.edges, "edges"), "session_id", "full").join(
+        count(found.issues, "issues"), "session_id", "full").join(found.refused.select("session_id", "reason"), "session_id", "full")
+    return out.fillna(0, ["nodes", "edges", "issues"])
+
+
+def request_sources(spark, sf):
+    """Matched and unmatched sources of each session's last request."""
+    events = st.capture(spark, sf)
+    last = events.filter(F.col("observation").isin("payload", "dispatch")).groupBy("session_id").agg(
+        F.max_by("event_id", "producer_seq").alias("request"))
+    return provenance.request_sources(events, cut(provenance.prov_edges(events)), last)
+
+
 # --- activity ---------------------------------------------------------------
 
 
@@ -769,7 +829,7 @@ def stream_unique(spark, sf):
 
 ALL: tuple[Query, ...] = (
     session_health, repeated_action, alternating_loop, unrecovered_errors, dead_end, user_correction, dangling_edges,
-    session_metrics, branches, merge_events, tool_counts, usage_totals,
+    session_metrics, branches, merge_events, tool_counts, usage_totals, analysis_sink,
     redact_documents, redaction_label_counts, canonical_fingerprint, content_versions, secret_like_flag, line_hygiene,
     page_paths, sanitize_nested, size_estimates,
     ingest_generic, ingest_pi, ingest_loop, quarantine, session_formats,
@@ -782,6 +842,7 @@ ALL: tuple[Query, ...] = (
     context_events, event_query, event_index, event_index_digest, default_ancestors, codex_ingest, turn_assignment,
     codex_history, claude_ingest, tool_ranges, payload_fields, text_matches, containment, recent_sources, match_health,
     prov_nodes, prov_edges, prov_issues, ambiguous_matches, request_inspection, request_list, capture_problems,
+    context_scan, admitted_graph, request_sources,
     activity_steps, activity_counts, activity_gaps, turn_order,
     seam_export, seam_sink, provenance_join, provenance_join_strict, safe_projection,
     stream_tail, stream_late, stream_gaps, stream_gaps_batch, stream_sources, stream_drops, stream_unique,

@@ -54,6 +54,7 @@ HYGIENE_LABELS = (
     "absolute personal home path", "private network address",
     "non-example email address", "credential-shaped token",
 )
+PRIVATE_FOLDERS = (".venv", "node_modules", "__pycache__", ".pytest_cache")
 PRIVATE_SUFFIXES = ("sqlite", "db", "pem", "p12", "pfx", "key", "pyc")
 PRIVATE_NAMES = ("id_rsa", "id_ed25519", ".env")
 FIXTURE_FOLDERS = ("fixtures", "examples")

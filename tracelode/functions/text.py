@@ -127,11 +127,17 @@ def hygiene_labels(line: Column) -> Column:
     return F.array_compact(F.array(*[F.when(f, F.lit(n)) for f, n in zip(flags, fv.HYGIENE_LABELS)]))
 
 
-def private_file(path: Column) -> Column:
-    """Whether a path names a runtime or credential file."""
-    name = F.element_at(F.split(path, "/"), -1)
+def private_file(path: Column, own_folders: tuple[str, ...] = ()) -> Column:
+    """Whether a path names a runtime or credential file, or lies in a private folder.
+
+    ``own_folders`` are the folders that the caller's own tools keep their state in. A suffix counts as it is written,
+    and a name that only begins with a dot has none.
+    """
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
     return (
-        F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*fv.PRIVATE_SUFFIXES)
+        F.arrays_overlap(parts, F.array(*[F.lit(f) for f in (*fv.PRIVATE_FOLDERS, *own_folders)]))
+        | F.regexp_extract(name, r"^\.*[^.].*\.([^.]+)$", 1).isin(*fv.PRIVATE_SUFFIXES)
         | name.isin(*fv.PRIVATE_NAMES)
         | (name.startswith(".env.") & (name != ".env.example"))
     )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.text import basename
 from ..names import DEFAULT, Names
-from .ordered import Running, running
+from ..session import cut
+from .ordered import Running, by_count, running
 
 GAP_BOUNDARY = "capture_health.missing_provider_payload"
 
@@ -178,11 +179,11 @@ def activity_counts(steps: DataFrame) -> DataFrame:
     )
 
 
-def turn_order(steps: DataFrame, segment: Column | None = None) -> DataFrame:
+def turn_order(steps: DataFrame) -> DataFrame:
     """Turns of a session numbered by first appearance (L4)."""
     first = steps.filter(F.length("request_id") > 0).groupBy("session_id", "request_id").agg(
         F.min(F.struct("seq", "wall_time")).alias("at")
     ).select("session_id", "request_id", "at.*")
-    return running(
-        first, ["session_id"], ["seq", "wall_time", "request_id"], [Running("turn_no", "count")], segment
-    ).select("session_id", "request_id", "turn_no")
+    order = ["seq", "wall_time", "request_id"]
+    first, segment = by_count(cut(first), ["session_id"], order)
+    return running(first, ["session_id"], order, [Running("turn_no", "count")], segment).select("session_id", "request_id", "turn_no")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from .ordered import Running, first_ids, largest_group, running, seq_segment, with_halo
+from .ordered import SEGMENT_ROWS, Running, by_count, first_ids, largest_group, running, with_halo
 
 REPEAT_WINDOW = 8
 REPEAT_MINIMUM = 3
@@ -55,9 +55,11 @@ def call_outcomes(trace: DataFrame) -> DataFrame:
 def tool_calls(trace: DataFrame, biggest: int | None = None) -> DataFrame:
     """Tool calls with their dense ordinal in the session and their outcome flags."""
     calls = trace.filter(F.col("kind") == "tool_call").select("session_id", "seq", "id", "name", "signature")
-    numbered = running(
-        calls, ["session_id"], ["seq"], [Running("call_no", "count")], seq_segment("seq", biggest)
-    )
+    # Positions of calls are sparse, and those of some formats far apart, so segments go by counted rows.
+    segment = None
+    if biggest is None or biggest > SEGMENT_ROWS:
+        calls, segment = by_count(calls, ["session_id"], ["seq"])
+    numbered = running(calls, ["session_id"], ["seq"], [Running("call_no", "count")], segment)
     return numbered.join(call_outcomes(trace), ["session_id", "id"], "left").select(
         "session_id", "seq", "id", "name", "signature", "call_no",
         F.coalesce("failed", F.lit(False)).alias("failed"),

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Rows of one session a single task may hold at once.
 SEGMENT_ROWS = 250_000
 # Segment of rows whose position is null.
@@ -57,6 +59,20 @@ def seq_segment(seq: str, biggest: int | None, rows: int = SEGMENT_ROWS) -> Colu
     return F.floor(F.col(seq) / rows)
 
 
+def by_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> tuple[DataFrame, Column | None]:
+    """Rows dealt into segments of about ``rows`` consecutive ones, however sparse their positions are.
+
+    Spark samples the order and cuts it into ranges of about equal counts; a range is a segment of each key in it. The
+    ranges are stored, as every reader must see the same ones. None when all rows together are one segment.
+    """
+    rows = rows or SEGMENT_ROWS
+    total = df.count()
+    if total <= rows:
+        return df, None
+    ranges = df.repartitionByRange(-(-total // rows), *keys, *order)
+    return cut(ranges.withColumn("_range", F.spark_partition_id())), F.col("_range")
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[Running], segment: Column | None
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,45 @@ def unusable(events: DataFrame) -> DataFrame:
     return events.filter(F.coalesce(bad, F.lit(True))).select("session_id").unionByName(repeated).distinct()
 
 
+def admit(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of the captures that can form a graph, and the captures refused: session_id, reason, rows.
+
+    A capture with one unusable row is refused whole, for the first reason by name. Events are marked once; both
+    results read what is stored. Graph operators should be given the events admitted here.
+    """
+    ids = F.concat("parent_event_ids", "lineage_event_ids")
+    fault = (
+        F.when(F.coalesce(F.length("event_id"), F.lit(0)) == 0, "blank_event_id")
+        .when(F.col("session_id").isNull() | F.col("agent_id").isNull(), "missing_field")
+        .when(F.coalesce(F.exists(ids, lambda i: i.isNull() | (i == "")), F.lit(True)), "bad_id_list")
+        .when(~F.coalesce(F.col("observation").isin(*fv.OBSERVATIONS), F.lit(False)), "unknown_observation")
+    )
+    # Copies collapse in each task before the shuffle, so an id that many rows have is no hot key.
+    twice = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    marked = cut(events.withColumn("_fault", fault).join(twice, "event_id", "left").withColumn(
+        "_fault", F.coalesce("_fault", F.when(F.col("_copies") > 1, "repeated_event_id"))).drop("_copies"))
+    refused = marked.filter(F.col("_fault").isNotNull()).groupBy("session_id").agg(
+        F.min("_fault").alias("reason"), F.count(F.lit(1)).alias("rows"))
+    good = marked.filter(F.col("_fault").isNull()).drop("_fault")
+    return good.join(refused.select("session_id"), "session_id", "left_anti").select(*events.columns), refused
+
+
+@dataclass
+class Provenance:
+    """The graph of all captures admitted, and the captures refused."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    issues: DataFrame
+    refused: DataFrame
+
+
+def provenance(events: DataFrame) -> Provenance:
+    """Nodes, edges and issues of the captures that can form a graph; nothing of the others."""
+    accepted, refused = admit(events)
+    return Provenance(prov_nodes(accepted), prov_edges(accepted), prov_issues(accepted), refused)
+
+
 def prov_nodes(events: DataFrame) -> DataFrame:
     """Everything but inclusion records, with kind, category and label."""
     kind = node_kind()
@@ -238,16 +279,16 @@ def request_inspection(events: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_sources(events: DataFrame, edges: DataFrame, request_ids: list[str]) -> DataFrame:
-    """Candidate sources of the given requests that no match uses.
+def request_sources(events: DataFrame, edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The candidate sources of chosen requests (request), each matched or unmatched.
 
-    Listing is per chosen request: the output is the candidates of those requests only.
+    Listing is by chosen request: the output is the candidates of those requests only.
     """
-    chosen = events.filter(F.col("event_id").isin(request_ids)).select(
-        F.col("event_id").alias("request"), "session_id", "agent_id"
-    )
+    asked = events.join(chosen.select(F.col("request").alias("event_id")).distinct(), "event_id", "left_semi").select(
+        F.col("event_id").alias("request"), "session_id", "agent_id")
     pool = events.filter(node_kind().isin("source", "transform") & (F.col("observation") != "inclusion")).select(
-        "session_id", "agent_id", F.col("event_id").alias("id")
-    )
-    used = edges.filter(F.col("kind") == MATCH).select(F.col("to").alias("request"), F.col("from").alias("id"))
-    return chosen.join(pool, ["session_id", "agent_id"]).join(used, ["request", "id"], "left_anti").select("request", "id")
+        "session_id", "agent_id", F.col("event_id").alias("id"))
+    used = edges.filter(F.col("kind") == MATCH).select(
+        F.col("to").alias("request"), F.col("from").alias("id"), F.lit(True).alias("matched")).distinct()
+    return asked.join(pool, ["session_id", "agent_id"]).join(used, ["request", "id"], "left").select(
+        "session_id", "request", "id", F.coalesce("matched", F.lit(False)).alias("matched"))

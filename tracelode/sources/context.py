@@ -6,16 +6,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..names import DEFAULT, Names
 from ..operators.metrics import duplicate_ids
 from ..operators.ordered import layered_digest
 from ..schemas import CONTEXT_EVENTS, CONTEXT_LOG, snake
+from ..session import cut
 
 REQUIRED = (
     "event_id", "session_id", "agent_id", "producer_seq", "wall_time", "observation", "evidence", "adapter_id",
     "boundary", "coverage",
 )
+ID_LISTS = ("parent_event_ids", "lineage_event_ids")
 COUNTERS = ("usage_input_tokens", "usage_output_tokens", "usage_cached_tokens")
 QUERY_FIELDS = ("session_id", "request_id", "source_key", "content_version_key", "adapter_id", "observation")
 
@@ -27,7 +30,7 @@ def no_ids() -> Column:
 def from_log(raw: DataFrame) -> DataFrame:
     """Camel-case log rows to context events; missing id lists become empty."""
     rows = raw.select(*[F.col(f.name).alias(snake(f.name)) for f in CONTEXT_LOG])
-    return rows.withColumns({c: F.coalesce(c, no_ids()) for c in ("parent_event_ids", "lineage_event_ids")})
+    return rows.withColumns({c: F.coalesce(c, no_ids()) for c in ID_LISTS})
 
 
 def to_log(events: DataFrame) -> DataFrame:
@@ -57,16 +60,25 @@ def rejected(events: DataFrame, names: Names = DEFAULT) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, names: Names = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Valid events and rejects of a JSONL capture; a row with a wrong type is a reject."""
-    schema = CONTEXT_LOG.add("_corrupt_record", "string") if "_corrupt_record" not in CONTEXT_LOG.names else CONTEXT_LOG
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    damaged = raw.filter(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_corrupt_record").alias("row"), F.lit("malformed_row").alias("reason")
+    """Valid events and rejects (row, reason) of a JSONL capture, from one pass over its text.
+
+    A line that is no object, or has a value of a wrong type, is a malformed row; blank lines are passed over.
+    """
+    damaged = "_damaged"
+    schema = T.StructType([*CONTEXT_LOG.fields, T.StructField(damaged, T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": damaged}).alias("r")).select("value", "r.*")
+    events = from_log(parsed)
+    kept = parsed.select(
+        F.struct(*[F.coalesce(F.col(f.name), no_ids()).alias(snake(f.name)) if snake(f.name) in ID_LISTS else F.col(f.name).alias(snake(f.name))
+                   for f in CONTEXT_LOG]).alias("event"), "value", damaged)
+    judged = kept.select("event.*", F.col("value").alias("_row"), F.col(damaged).isNotNull().alias("_bad"))
+    reason = F.when(F.col("_bad"), "malformed_row").otherwise(problem(names))
+    stored = cut(judged.withColumn("_reason", reason).drop("_bad"))
+    return (
+        stored.filter(F.col("_reason").isNull()).select(*events.columns),
+        stored.filter(F.col("_reason").isNotNull()).select(F.col("_row").alias("row"), F.col("_reason").alias("reason")),
     )
-    events = from_log(raw.filter(F.col("_corrupt_record").isNull()))
-    refused = rejected(events, names)
-    refused = refused.select(F.to_json(F.struct(*events.columns)).alias("row"), "reason")
-    return valid(events, names), damaged.unionByName(refused)
 
 
 def own_events(events: DataFrame, names: Names = DEFAULT) -> DataFrame:
