@@ -34,6 +34,7 @@ from tracelode.llm.common import content_key, row_key
 from tracelode.session import cut
 
 #: Prior odds, as a logarithm, against a word or bigram that tells the classes apart: about one in a thousand does.
+#: Of 3, 5, 7 and 9 it has the least log loss on training rows with remainder 3, by counts of the other training rows.
 PRIOR = 7.0
 DISCOUNT = 0.75
 #: The calibration curve is fitted on at most about this many labelled documents.
