@@ -216,6 +216,48 @@ def test_exact_spans_and_containment(spark):
     assert got == want
 
 
+def test_short_sources(spark):
+    """Sources shorter and longer than a run of characters, with wide letters, blanks and repeats, in one pass of runs."""
+    texts = ["tiny x tiny", "a", "", None, "caf\u00e9 \U0001F600 ok", "xx  yy", "aaaaaaa", "short tail end"]
+    sources = ["tiny", "a", " ", "caf\u00e9", "\U0001F600 o", "xx  yy", "aaa", "tail end", "end", "absent", "tail ends", "", None, "aaaaaa", "x ti"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([*enumerate(sources), (99, "tiny")], "item_id bigint, text string")
+    got = sorted((r["item_id"], r["doc_id"], r["start"]) for r in matching.containment(docs, items).collect())
+    want = []
+    for i, s in [*enumerate(sources), (99, "tiny")]:
+        for d, t in enumerate(texts):
+            at = (t or "").find(s) if s else -1
+            while at >= 0:
+                want.append((i, d, len(t[:at].encode())))
+                at = t.find(s, at + len(s))
+    assert got == sorted(want)
+
+
+def rows_read(df):
+    """Rows the scan of a plan gave out, after running it."""
+    n = len(df.collect())
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return n, sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookup_by_key_reads_few_row_groups(spark, tmp_path):
+    rows = spark.range(20_000).select(F.concat(F.lit("s"), (F.col("id") % 500).cast("string")).alias("s"), "id")
+    events = context.build(rows, {
+        "session_id": F.col("s"), "producer_seq": F.col("id"), "event_id": F.sha2(F.concat(F.lit("e"), "id"), 256),
+        "source_key": F.sha2(F.concat(F.lit("k"), (F.col("id") / 2).cast("long")), 256)})
+    path = str(tmp_path / "index")
+    assert context.write_index(events, path, buckets=16, files_per_bucket=4) == 20_000
+    one = events.filter("producer_seq = 777").select("event_id", "source_key").first()
+    found, read = rows_read(context.lookup(spark, path, "event_id", one["event_id"]))
+    assert found == 1 and read < 20_000 / 8
+    found, read = rows_read(context.lookup(spark, path, "source_key", one["source_key"]))
+    assert found == 2 and read < 20_000 / 8
+    found, read = rows_read(context.lookup(spark, path, "event_id", "none such"))
+    assert found == 0 and read < 20_000 / 8
+    with pytest.raises(ValueError):
+        context.lookup(spark, path, "wall_time", "x")
+
+
 def capture(spark):
     """Two requests: matched prompt and system text, a summary, a missing parent, an unobserved output."""
     rec = lambda i, seq, req, kind, **body: ("s", seq, i, f"w{seq}", req, None, kind, json.dumps(body))

@@ -707,6 +707,8 @@ def _context_sql() -> dict[str, str]:
               range_start, range_end FROM ctx"""),
         "event_query": _with(ctx, select="SELECT session_id, event_id, producer_seq, request_id, usage_input_tokens FROM ctx WHERE type = 'usage'"),
         "event_index": _with(ctx, select="SELECT session_id, count(*) AS events FROM ctx GROUP BY 1"),
+        "event_lookup": _with(ctx, "top AS (SELECT source_key FROM ctx WHERE source_key IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source_key DESC LIMIT 1)",
+            select="SELECT session_id, event_id, producer_seq, source_key FROM ctx JOIN top USING (source_key)"),
         "event_index_digest": _with(ctx, f"""leaf AS (SELECT session_id, producer_seq // 4096 AS b, sha256(string_agg(sha256({line}), '' ORDER BY producer_seq)) AS d FROM ctx GROUP BY 1, 2)""",
             "mid AS (SELECT session_id, b // 4096 AS b, sha256(string_agg(d, '' ORDER BY b)) AS d FROM leaf GROUP BY 1, 2)",
             select="SELECT session_id, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM mid GROUP BY 1"),
@@ -766,6 +768,12 @@ def _context_sql() -> dict[str, str]:
           h AS (SELECT *, CAST(list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + (i - 1) * strlen(s) AS BIGINT) AS start
             FROM p, unnest(range(1, len(parts))) AS u(i))
           SELECT item_id, doc_id, CAST(i - 1 AS INT) AS hit_no, start, CAST(start + strlen(s) AS BIGINT) AS end FROM h""",
+        "containment_short": """WITH w AS (SELECT item_id, text, string_split(text, ' ') AS ws FROM benchmark),
+          q AS (SELECT DISTINCT item_id, unnest([array_to_string(ws[1:3], ' '), array_to_string(ws[1:2], ' '), substr(text, 1, 3) || '. ']) AS s FROM w),
+          p AS (SELECT item_id, doc_id, s, string_split(d.text, s) AS parts FROM documents d JOIN q ON contains(d.text, s) WHERE s <> ''),
+          h AS (SELECT *, CAST(list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + (i - 1) * strlen(s) AS BIGINT) AS start
+            FROM p, unnest(range(1, len(parts))) AS u(i))
+          SELECT item_id, doc_id, start, count(*) AS sources, CAST(sum(strlen(s)) AS BIGINT) AS bytes FROM h GROUP BY 1, 2, 3""",
         "recent_sources": """WITH s AS (
             SELECT conv_id, turn, role, count(*) FILTER (role <> 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations)
           SELECT p.conv_id || '-' || p.turn AS payload_id, q.conv_id || '-' || q.turn AS source_id, CAST(q.no AS BIGINT) AS source_no
@@ -826,6 +834,9 @@ def _context_sql() -> dict[str, str]:
               false AS derived, range_start, CASE WHEN range_start IS NOT NULL THEN 'line' END AS range_unit FROM phased
             UNION ALL SELECT session_id, 'derived:gap:' || request_id, top + 0.5, wall_time, 'health', 'pi', 'Capture gap: no provider payload snapshot', NULL, NULL,
               request_id, 'unsupported', 'capture_health.missing_provider_payload', true, NULL, NULL FROM gap"""),
+        "activity_order": _with(ctx, phase, gap, """every AS (SELECT session_id, event_id, CAST(producer_seq AS DOUBLE) AS seq, wall_time, phase, false AS derived FROM phased
+              UNION ALL SELECT session_id, 'derived:gap:' || request_id, top + 0.5, wall_time, 'health', true FROM gap)""",
+            select="""SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY seq, wall_time, derived, event_id) AS position, phase FROM every"""),
         "activity_counts": _with(ctx, phase, gap, "every AS (SELECT session_id, phase FROM phased UNION ALL SELECT session_id, 'health' FROM gap)",
             select="SELECT session_id, count(*) AS steps, " + ", ".join(
                 f"count(*) FILTER (phase = '{p}') AS {p}" for p in ("input", "process", "boundary", "outcome", "health")) + " FROM every GROUP BY 1"),

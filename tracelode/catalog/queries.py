@@ -474,6 +474,15 @@ def event_index(spark, sf):
     return context.event_count(context.read_index(spark, path))
 
 
+def event_lookup(spark, sf):
+    """All rows of the source key that the most events share, by the key filters of the derived table."""
+    path = work_path(spark, "index")
+    context.write_index(st.context(spark, sf), path, buckets=8, files_per_bucket=2)
+    keys = context.read_index(spark, path).filter(F.col("source_key").isNotNull()).groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+    top = keys.agg(F.max_by("source_key", F.struct("n", "source_key")).alias("k")).first()["k"]
+    return context.lookup(spark, path, "source_key", top or "").select("session_id", "event_id", "producer_seq", "source_key")
+
+
 def event_index_digest(spark, sf):
     return context.index_digest(st.context(spark, sf))
 
@@ -562,6 +571,17 @@ def containment(spark, sf):
     return matching.containment(docs, st.table(spark, sf, "benchmark").select("item_id", "text"))
 
 
+def containment_short(spark, sf):
+    """Sources of one to three words and of parts of words: the first words of every benchmark item, and their first letters."""
+    docs = st.table(spark, sf, "documents").select("doc_id", "text")
+    first = F.split("text", " ")
+    items = st.table(spark, sf, "benchmark").select("item_id", F.explode(F.array(
+        F.array_join(F.slice(first, 1, 3), " "), F.array_join(F.slice(first, 1, 2), " "), F.concat(F.substring("text", 1, 3), F.lit(". ")),
+    )).alias("text")).distinct()
+    return matching.containment(docs, items).groupBy("item_id", "doc_id", "start").agg(
+        F.count(F.lit(1)).alias("sources"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
 def recent_sources(spark, sf):
     """Answers of a session against the user and system turns before them, eight at most."""
     c = st.table(spark, sf, "conversations").select(
@@ -677,6 +697,13 @@ def activity_steps(spark, sf):
     )
 
 
+def activity_order(spark, sf):
+    """Positions read back from the table of steps written in total order."""
+    path = work_path(spark, "steps")
+    activity.write_steps(activity.activity_steps(st.context(spark, sf)), path)
+    return spark.read.parquet(path).select("session_id", "event_id", "position", "phase")
+
+
 def activity_counts(spark, sf):
     return activity.activity_counts(activity.activity_steps(st.context(spark, sf)))
 
@@ -839,11 +866,11 @@ ALL: tuple[Query, ...] = (
     format_health, compare_sessions, compare_contracts, scorecard, topology_rank, topology_plan,
     edge_list, relation_counts, roots_leaves, implicit_nodes, graph_issues, artifact_coverage, request_outputs, components,
     graph_depth, lineage_depth, cycle_nodes,
-    context_events, event_query, event_index, event_index_digest, default_ancestors, codex_ingest, turn_assignment,
-    codex_history, claude_ingest, tool_ranges, payload_fields, text_matches, containment, recent_sources, match_health,
+    context_events, event_query, event_index, event_lookup, event_index_digest, default_ancestors, codex_ingest, turn_assignment,
+    codex_history, claude_ingest, tool_ranges, payload_fields, text_matches, containment, containment_short, recent_sources, match_health,
     prov_nodes, prov_edges, prov_issues, ambiguous_matches, request_inspection, request_list, capture_problems,
     context_scan, admitted_graph, request_sources,
-    activity_steps, activity_counts, activity_gaps, turn_order,
+    activity_steps, activity_order, activity_counts, activity_gaps, turn_order,
     seam_export, seam_sink, provenance_join, provenance_join_strict, safe_projection,
     stream_tail, stream_late, stream_gaps, stream_gaps_batch, stream_sources, stream_drops, stream_unique,
 )

@@ -166,11 +166,30 @@ def gap_steps(steps: DataFrame) -> DataFrame:
 
 
 def activity_steps(events: DataFrame, names: Names = DEFAULT) -> DataFrame:
-    """Recorded and derived steps (U3); sort by (session_id, seq, wall_time) to read them (L3)."""
+    """Recorded and derived steps (U3); ``ordered_steps`` numbers them."""
     steps = recorded_steps(events, names)
     return steps.unionByName(gap_steps(steps))
 
 
+#: How steps are read: by sequence, time, recorded before derived, and the id between rows alike in these.
+STEP_ORDER = ("seq", "wall_time", "derived", "event_id")
+
+
+def ordered_steps(steps: DataFrame) -> DataFrame:
+    """Steps with their position in the session, from 1 (L3).
+
+    Sessions are cut by counted rows, so one with most of the rows is not numbered in one task.
+    """
+    rows, segment = by_count(cut(steps), ["session_id"], STEP_ORDER)
+    return running(rows, ["session_id"], STEP_ORDER, [Running("position", "count")], segment).select(*steps.columns, "position")
+
+
+def write_steps(steps: DataFrame, path: str) -> None:
+    """Steps as Parquet in total order: files follow each other by session and position, rows within them too (L3)."""
+    key = ["session_id", "position"]
+    ordered_steps(steps).repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
+
+
 def activity_counts(steps: DataFrame) -> DataFrame:
     """Steps per phase."""
     return steps.groupBy("session_id").agg(

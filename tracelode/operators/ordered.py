@@ -26,7 +26,7 @@ NO_POSITION = -(2**62)
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: ``count`` rows, ``sum`` of a value or ``last`` non-null value."""
+    """A running value: ``count`` rows, ``sum`` or ``max`` of a value or its ``last`` non-null one."""
 
     name: str
     how: str
@@ -93,6 +93,8 @@ def running(
             return F.count(F.lit(1)).over(frame)
         if v.how == "sum":
             return F.coalesce(F.sum(v.value).over(frame), F.lit(0))
+        if v.how == "max":
+            return F.max(v.value).over(frame)
         return F.last(v.value, ignorenulls=True).over(frame)
 
     scanned = rows.select("*", *[local(v).alias(v.name) for v in values])
@@ -106,12 +108,16 @@ def running(
             return F.count(F.lit(1))
         if v.how == "sum":
             return F.sum(v.value)
+        if v.how == "max":
+            return F.max(v.value)
         return F.max_by(v.value, F.when(v.value.isNotNull(), position))
 
     before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
 
     def carry(v: Running) -> Column:
         held = F.col("_s_" + v.name)
+        if v.how == "max":
+            return F.max(held).over(before)
         return F.last(held, ignorenulls=True).over(before) if v.how == "last" else F.sum(held).over(before)
 
     summaries = rows.groupBy(*parts).agg(*[summary(v).alias("_s_" + v.name) for v in values])
@@ -122,6 +128,8 @@ def running(
 
     def merged(v: Running) -> Column:
         own, prior = F.col(v.name), F.col("_c_" + v.name)
+        if v.how == "max":
+            return F.greatest(own, prior)
         return F.coalesce(own, prior) if v.how == "last" else own + F.coalesce(prior, F.lit(0))
 
     names = {v.name for v in values}

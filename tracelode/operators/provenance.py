@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..session import cut
-from . import graph
+from . import ancestors, graph
 from .detectors import union_all
 
 REQUEST = ("session_id", "agent_id", "request_id", "attempt_id")
@@ -228,19 +228,15 @@ def prov_requests(events: DataFrame) -> DataFrame:
     )
 
 
-def request_ancestors(edges: DataFrame) -> DataFrame:
-    """(request, ancestor): matched sources and everything behind them over summary edges."""
-    seen = frontier = cut(
-        edges.filter(F.col("kind") == MATCH).select(F.col("to").alias("request"), F.col("from").alias("ancestor")).distinct()
-    )
-    upward = cut(edges.filter(F.col("kind") == SUMMARY).select(F.col("to").alias("ancestor"), F.col("from").alias("next")).distinct())
-    for _ in range(graph.MAX_ROUNDS):
-        step = frontier.join(upward, "ancestor").select("request", F.col("next").alias("ancestor")).distinct()
-        frontier = cut(step.join(seen, ["request", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError("ancestor closure did not settle")
+def ancestor_counts(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """request and the number of its ancestors: matched sources and everything behind them over summary edges."""
+    matches = edges.filter(F.col("kind") == MATCH).select(F.col("to").alias("request"), F.col("from").alias("id")).distinct()
+    links = edges.filter(F.col("kind") == SUMMARY).select(F.col("from").alias("id"), F.col("to").alias("up")).distinct()
+    used = matches.select("id").unionByName(links.select(F.explode(F.array("id", "up")).alias("id"))).distinct()
+    # An id that occurs twice has one place, its first.
+    places = used.join(events.select(F.col("event_id").alias("id"), "producer_seq"), "id", "left").groupBy("id").agg(
+        F.min("producer_seq").alias("seq"))
+    return ancestors.behind(matches, cut(links), cut(places))
 
 
 def _null_key(prefix: str = "") -> list[Column]:
@@ -261,14 +257,14 @@ def request_inspection(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("matches"), F.countDistinct("from").alias("matched_sources")
     )
     responses = count(edges.filter(F.col("kind") == RESPONSE).select(F.col("from").alias("request")), "responses")
-    ancestors = count(request_ancestors(edges), "ancestors")
+    behind = ancestor_counts(events, edges)
     pool = events.filter(node_kind().isin("source", "transform") & (F.col("observation") != "inclusion")).groupBy(
         "session_id", "agent_id"
     ).agg(F.count(F.lit(1)).alias("candidates"))
     usage = events.filter(F.col("observation") == "usage").groupBy(
         F.sha2(F.concat_ws("/", *_null_key()), 256).alias("request_key")
     ).agg(F.count(F.lit(1)).alias("usage_rows"), F.sum("usage_output_tokens").alias("usage_output"))
-    out = requests.join(matches, "request", "left").join(responses, "request", "left").join(ancestors, "request", "left")
+    out = requests.join(matches, "request", "left").join(responses, "request", "left").join(behind, "request", "left")
     out = out.join(pool, ["session_id", "agent_id"], "left").join(usage, "request_key", "left")
     out = out.fillna(0, ["matches", "matched_sources", "responses", "ancestors", "candidates", "usage_rows"])
     return out.select(

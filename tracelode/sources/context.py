@@ -20,6 +20,8 @@ REQUIRED = (
 )
 ID_LISTS = ("parent_event_ids", "lineage_event_ids")
 COUNTERS = ("usage_input_tokens", "usage_output_tokens", "usage_cached_tokens")
+#: Columns of the derived table with a Bloom filter for each row group.
+KEY_COLUMNS = ("event_id", "request_id", "source_key", "content_version_key")
 QUERY_FIELDS = ("session_id", "request_id", "source_key", "content_version_key", "adapter_id", "observation")
 
 
@@ -100,14 +102,19 @@ def write_index(events: DataFrame, path: str, buckets: int = 256, files_per_buck
     """Full rebuild of the derived event table; fails on a repeated event id.
 
     Rows of one bucket are spread over several writers, so a huge session does
-    not end in one task.
+    not end in one task. Files are sorted by session and sequence, and have Bloom
+    filters of the key columns, sized by the keys that a row group has.
     """
     repeated = duplicate_ids(events, "event_id")
     if not repeated.isEmpty():
         raise ValueError("duplicate event ids: the table cannot be built")
     placed = events.withColumn("session_bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
     spread = placed.repartition("session_bucket", F.pmod(F.xxhash64("event_id"), F.lit(files_per_bucket)))
-    spread.write.mode("overwrite").partitionBy("session_bucket").parquet(path)
+    writer = spread.sortWithinPartitions("session_bucket", "session_id", "producer_seq").write.mode("overwrite")
+    writer = writer.partitionBy("session_bucket").option("parquet.bloom.filter.adaptive.enabled", "true")
+    for key in KEY_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.parquet(path)
     return events.sparkSession.read.parquet(path).count()
 
 
@@ -120,6 +127,17 @@ def read_index(spark: SparkSession, path: str, session_id: str | None = None, bu
     return table.drop("session_bucket")
 
 
+def lookup(spark: SparkSession, path: str, key: str, value: str, session_id: str | None = None, buckets: int = 256) -> DataFrame:
+    """Rows of the derived table with one value of a key column.
+
+    Row groups whose Bloom filter or dictionary lacks the value are passed over unread; a session, where known,
+    leaves one bucket of files.
+    """
+    if key not in KEY_COLUMNS:
+        raise ValueError(f"no lookup by {key}; keys are {KEY_COLUMNS}")
+    return read_index(spark, path, session_id, buckets).filter(F.col(key) == value)
+
+
 def event_count(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
 
