@@ -221,10 +221,10 @@ def test_short_sources(spark):
     texts = ["tiny x tiny", "a", "", None, "caf\u00e9 \U0001F600 ok", "xx  yy", "aaaaaaa", "short tail end"]
     sources = ["tiny", "a", " ", "caf\u00e9", "\U0001F600 o", "xx  yy", "aaa", "tail end", "end", "absent", "tail ends", "", None, "aaaaaa", "x ti"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    items = spark.createDataFrame([*enumerate(sources), (99, "tiny")], "item_id bigint, text string")
+    items = spark.createDataFrame([*enumerate(sources), (99, "tiny"), (0, "tail end")], "item_id bigint, text string")
     got = sorted((r["item_id"], r["doc_id"], r["start"]) for r in matching.containment(docs, items).collect())
     want = []
-    for i, s in [*enumerate(sources), (99, "tiny")]:
+    for i, s in [*enumerate(sources), (99, "tiny"), (0, "tail end")]:
         for d, t in enumerate(texts):
             at = (t or "").find(s) if s else -1
             while at >= 0:
