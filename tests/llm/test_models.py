@@ -1,6 +1,7 @@
 import binascii
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,10 +45,53 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(docs(spark, []), labels(spark, [(1, 1, 1)])).collect() == []
 
 
-def test_kneser_ney_sums_to_one():
-    counts = np.random.default_rng(0).integers(0, 3, (2, 6, 6)).astype(float)
-    counts[0, 2] = 0
-    assert np.allclose(np.exp(toxicity.kneser_ney(counts)).sum(2), 1)
+def brute_kneser_ney(train, prior=toxicity.PRIOR, discount=toxicity.DISCOUNT):
+    """Summed log-ratio of a text, from (words, class) of the training texts, over dictionaries of all pairs."""
+    pairs = [(set(zip([None, *words], words, strict=False)), c) for words, c in train]
+    count = [Counter(p for ps, k in pairs if k == c for p in ps) for c in (0, 1)]
+    having = [Counter(w for ps, k in pairs if k == c for w in {w for _, w in ps}) for c in (0, 1)]
+    texts = [sum(k == c for _, k in train) for c in (0, 1)]
+    known, vocabulary = set(count[0]) | set(count[1]), {w for h in having for w in h}
+    types = Counter(w for _, w in known)
+    floor = {w: (types[w] + 0.5) / (len(known) + 0.5 * (len(vocabulary) + 1)) for w in vocabulary}
+    of = [[sum(n for (_, w), n in count[c].items() if w == word) for word in vocabulary] for c in (0, 1)]
+    of = [dict(zip(vocabulary, one, strict=True)) for one in of]
+    unigram = [{w: max(of[c][w] - discount, 0) / sum(of[c].values()) + discount * sum(n > 0 for n in of[c].values()) / sum(of[c].values()) * floor[w]
+                for w in vocabulary} for c in (0, 1)]
+    # The shares of a class sum to one, but for what is kept for unknown words.
+    assert all(abs(sum(one.values()) - 1) < 0.2 and sum(one.values()) <= 1 + 1e-9 for one in unigram)
+    likelihood = lambda n, m: n * np.log(n / m) if n > 0 and m > 0 else 0.0
+    trust = lambda x: 1 / (1 + np.exp(prior - min(x, 100)))
+    rate = [t / sum(texts) for t in texts]
+
+    def word(w):
+        both = having[0][w] + having[1][w]
+        ratio = sum(likelihood(having[c][w], both * rate[c]) + likelihood(texts[c] - having[c][w], (sum(texts) - both) * rate[c]) for c in (0, 1))
+        return trust(ratio) * np.log(unigram[1][w] / unigram[0][w])
+
+    def pair(before, w):
+        if (before, w) not in known:
+            return 0.0
+        after = [[n for (b, _), n in count[c].items() if b == before] for c in (0, 1)]
+        back = [unigram[0][w], unigram[0][w] * np.exp(word(w))]
+        own = [max(count[c][before, w] - discount, 0) / sum(after[c]) + discount * len(after[c]) / sum(after[c]) * back[c] if after[c] else back[c] for c in (0, 1)]
+        odds, n = np.exp(word(w)) * rate[1] / rate[0], count[0][before, w] + count[1][before, w]
+        ratio = likelihood(count[0][before, w], n / (1 + odds)) + likelihood(count[1][before, w], n * odds / (1 + odds))
+        return trust(ratio) * (np.log(own[1] / own[0]) - word(w))
+
+    return lambda words: sum((word(w) if w in vocabulary else 0.0) + pair(b, w) for b, w in set(zip([None, *words], words, strict=False)))
+
+
+def test_log_ratios_against_brute_force(spark):
+    """Production's counts, joins and sums, over texts with rare, shared and unknown words, repeats and none."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("a b c d e f g".split(), k=rng.randrange(12)) + ["bad mean"] * (i % 2) * 2 + [f"only{i}"] * (i % 5 == 0)) for i in range(120)]
+    marks = [(i, 1, i % 2) for i in range(100)]
+    got = by_id(toxicity.classify(docs(spark, texts + [None, "never seen words", "bad mean bad"]), labels(spark, marks)))
+    total = brute_kneser_ney([(texts[i].split(), toxic) for i, _, toxic in marks if not is_held_out(i)])
+    for i, text in enumerate(texts + ["", "never seen words", "bad mean bad"]):
+        assert got[i]["log_ratio"] == pytest.approx(total(text.split()), rel=1e-4, abs=1e-5), text
+        assert got[i]["n_words"] == len(set(zip([None, *text.split()], text.split(), strict=False)))
 
 
 def test_language_on_held_out_rows(spark):

@@ -105,24 +105,6 @@ def counted(train: DataFrame) -> DataFrame:
         c[0].alias("e0"), c[1].alias("e1"), (c[0] + c[2]).alias("a0"), (c[1] + c[3]).alias("a1")))
 
 
-def _discounted(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Discounted shares along the last axis, and what the discount frees spread like the lower order."""
-    totals = counts.sum(-1, keepdims=True)
-    kinds = (counts > 0).sum(-1, keepdims=True)
-    weight = np.where(totals > 0, DISCOUNT * kinds / np.maximum(totals, 1), 1.0)
-    return np.maximum(counts - DISCOUNT, 0) / np.maximum(totals, 1) + weight * lower
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log P(word | before) of each class, from counts [class, before, word]: the same formula over a dense array, without weights of evidence.
-
-    Bigrams back off to the words of their class, and these to the continuation counts of both classes.
-    """
-    types = (counts.sum(0) > 0).sum(0) + 0.5
-    words = _discounted(counts.sum(1), types / types.sum())
-    return np.log(_discounted(counts, words[:, None, :]))
-
-
 def surprise(n: Column, expected: Column) -> Column:
     """n log(n / expected), a summand of the likelihood ratio."""
     return F.when((n > 0) & (expected > 0), n * F.log(n / expected)).otherwise(0.0)
