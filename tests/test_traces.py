@@ -1,5 +1,7 @@
 """Golden traces: ingest, findings, health, quarantine, graph metrics."""
 
+import json
+
 import pytest
 
 from rows import by_key, lines_of
@@ -196,3 +198,33 @@ def test_loop_variants(spark):
 def test_core_detectors_run_without_text(ingested):
     slim = ingested.events.drop("text", "role", "meta")
     assert detectors.core_findings(slim).filter("code='user_correction'").isEmpty()
+
+
+def test_files_of_one_name_stay_apart(spark):
+    """A name in two folders, and a copied log, are sessions of their own by source."""
+    same = {f"{folder}/log.jsonl": [{"id": "a"}, {"id": "b", "kind": "tool_result", "is_error": folder == "x"}] for folder in "xy"}
+    copies = {f"{folder}/pi-{folder}.jsonl": pi_loop() for folder in "xy"}
+    found = tf.ingest(lines_of(spark, {**same, **copies}))
+    assert {r["session_id"] for r in found.sessions.collect()} == {"log", found.sessions.filter("source = 'x/pi-x.jsonl'").first()[0]}
+    apart = tf.by_source(found)
+    health = by_key(analysis.session_health(cut(apart.events)))
+    assert set(health) == {*same, *copies}
+    assert health["x/log.jsonl"]["workflow_health"] < health["y/log.jsonl"]["workflow_health"] == 100
+    assert health["x/pi-x.jsonl"]["events"] == health["y/pi-y.jsonl"]["events"]
+    names = {r["session_id"]: r["session_name"] for r in apart.sessions.collect()}
+    assert names["x/log.jsonl"] == names["y/log.jsonl"] == "log"
+
+
+def test_loop_metadata_is_cleaned_where_it_must_be(spark):
+    """Plain members stay; nested ones and strings with something to redact go through the helper."""
+    step = {"event": "generate", "iteration": 1}
+    rows = [
+        {**step, "reason": "all well", "durationMs": 1.5, "ok": True}, {**step, "reason": "mail a@example.com"},
+        {**step, "checks": {"api_key": "x"}}, {**step, "reason": "password=hunter2"}, {**step, "reason": "Bearer abcdef"},
+        {**step, "reason": 'a "quoted" word'}, {**step, "reason": "AKIA" + "A" * 16}, {**step, "reason": "sk-" + "a" * 16},
+    ]
+    events = tf.ingest(lines_of(spark, {"run/trace.jsonl": rows})).events.orderBy("seq").collect()
+    assert [e["redactions"] for e in events] == [[], ["email"], ["api_key"], ["secret"], ["bearer"], [], ["aws_key"], ["openai_key"]]
+    assert json.loads(events[0]["meta"]) == {"iteration": 1, "event": "generate", "reason": "all well", "durationMs": 1.5, "ok": True}
+    assert json.loads(events[5]["meta"])["reason"] == 'a "quoted" word'
+    assert json.loads(events[1]["meta"])["reason"] == "mail <redacted:email>"

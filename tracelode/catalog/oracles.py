@@ -105,6 +105,12 @@ pairs AS (
   JOIN metrics a ON CAST(a.session_id AS BIGINT) = CAST(b.session_id AS BIGINT) + 1)"""
 
 
+#: The trace as generic lines give it: every third event leaves its parent out and follows the event before it.
+GENERIC = TRACE.replace(
+    "CASE WHEN kind = 'tool_result'", "CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN previous WHEN kind = 'tool_result'")
+SCORED = "events, edges, merge_events, tool_calls, branches, findings, workflow_health FROM metrics"
+
+
 def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{','.join(parts)} {select}"
 
@@ -417,6 +423,9 @@ def _report_sql() -> dict[str, str]:
         ("backend = 'sqlite' AND n >= 200", "postgres_migration_candidate", "info", "backend-sqlite"),
         ("backend = 'postgres' AND n < 5 AND k % 7 > 0", "postgres_overprovisioned", "info", "backend-postgres"),
     ]
+    fired = " UNION ALL ".join(
+        f"SELECT session_id, '{code}' AS code, '{level}' AS severity, '{proof}' AS evidence FROM memory WHERE {test}"
+        for test, code, level, proof in rules)
     return {
         "retrieval_metrics": _with(tries, select="""SELECT CAST(k AS VARCHAR) AS session_id, count(*) AS retrieval_attempts,
               count(*) FILTER (NOT ok) AS retrieval_unsuccessful_attempts, sum(i * 0.5)::DOUBLE AS retrieval_elapsed_s,
@@ -459,9 +468,29 @@ def _report_sql() -> dict[str, str]:
             UNION ALL SELECT session_id, 1, 'route-root', 'export', 'audit_route' FROM memory
             UNION ALL SELECT session_id, 2, 'route-v1/turn', 'export', 'audit_route' FROM memory
             UNION ALL SELECT session_id, 3, 'review-queue', 'route-v1/turn', 'review_backlog' FROM memory WHERE p > 0"""),
-        "memory_findings": _with(memory, select=" UNION ALL ".join(
-            f"SELECT session_id, '{code}' AS code, '{level}' AS severity, '{proof}' AS evidence FROM memory WHERE {test}"
-            for test, code, level, proof in rules)),
+        "memory_findings": _with(memory, select=fired),
+        "memory_findings_by_nation": _with(memory.replace("o_custkey", "c_nationkey").replace(
+            "FROM orders", "FROM orders JOIN customer ON c_custkey = o_custkey"), select=fired),
+        "health_by_file": _with(GENERIC, CALLS, REPEATED, ALTERNATING, ERRORS, LAST, FINDINGS, HEALTH,
+            select=f"SELECT 'logs/user-' || session_id || '/trace.jsonl' AS session_id, 'trace' AS session_name, {SCORED}"),
+        "format_health": _with(docs, contract_rows, tries, memory, """trace AS (
+              SELECT 'contract-' || session_id AS session_id, seq, id, kind, NULL AS name, is_error, parent_id FROM ordered
+              UNION ALL SELECT 'retrieval-' || k, i, 'attempt-' || i, 'retrieval_attempt', NULL, false,
+                CASE WHEN i = 1 THEN 'fetch' ELSE 'attempt-' || (i - 1) END FROM tries
+              UNION ALL SELECT 'retrieval-' || k, 0, 'fetch', 'retrieval_start', NULL, false, NULL FROM tries WHERE i = 1
+              UNION ALL SELECT 'retrieval-' || k, max(i) + 1, 'result', 'retrieval_result', NULL, any_value(st) = 'F', 'attempt-' || max(i)
+                FROM tries GROUP BY k
+              UNION ALL SELECT 'memory-' || session_id, e.seq, e.id, e.kind, NULL, false, e.up FROM memory, unnest([
+                {'seq': 0, 'id': 'export', 'kind': 'memory_plane_export', 'up': NULL},
+                {'seq': 1, 'id': 'route-root', 'kind': 'audit_route', 'up': 'export'},
+                {'seq': 2, 'id': 'route-v1/turn', 'kind': 'audit_route', 'up': 'export'},
+                {'seq': 3, 'id': 'review-queue', 'kind': 'review_backlog', 'up': 'route-v1/turn'}]) AS u(e) WHERE e.seq < 3 OR p > 0)""",
+            CALLS, REPEATED, ALTERNATING, ERRORS, LAST, FINDINGS.replace("findings AS", "core AS"),
+            f"""findings AS (SELECT session_id, code, severity FROM core
+              UNION ALL SELECT 'contract-' || session_id, 'pipeline_contract', 'critical' FROM judged WHERE NOT success
+              UNION ALL SELECT 'retrieval-' || k, 'escalation_deferred', 'warning' FROM tries WHERE i = 1 AND st = 'P'
+              UNION ALL SELECT 'memory-' || session_id, code, severity FROM ({fired}))""",
+            HEALTH, select=f"SELECT session_id, {SCORED}"),
         "compare_contracts": _with(docs, f"""sides AS (SELECT *, {fixture} AS fix, 1 + CAST(tested AS INT) + CAST(sent AS INT) AS passed,
               10 + k % 100 + CASE WHEN shipped THEN 5 ELSE 0 END AS ms FROM judged)""",
             "pairs AS (SELECT b.session_id AS before, a.session_id AS after, b, a, b.fix <> a.fix AS differs FROM sides b JOIN sides a ON a.k = b.k + 1)",

@@ -102,6 +102,12 @@ def analysis_sink(spark, sf):
     return reduce(DataFrame.unionByName, parts).groupBy("session_id", "part").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def health_by_file(spark, sf):
+    """Health of logs that bear one name in several folders."""
+    found = trace_formats.by_source(trace_formats.ingest(st.same_name_lines(spark, sf)))
+    return analysis.session_health(cut(found.events)).join(found.sessions.select("session_id", "session_name"), "session_id")
+
+
 # --- text -------------------------------------------------------------------
 
 
@@ -307,6 +313,12 @@ def memory_findings(spark, sf):
     return _evidence(services.memory_findings(sessions), "code", "severity")
 
 
+def memory_findings_by_nation(spark, sf):
+    """The same rules over exports of many turns."""
+    sessions = reports.ingest_memory(st.memory_docs(spark, sf, by_nation=True)).sessions
+    return _evidence(services.memory_findings(sessions), "code", "severity")
+
+
 def format_health(spark, sf):
     """Health of delivery contracts, retrieval reports and memory exports together, each with its own findings."""
     own = lambda docs, kind: docs.withColumn("session_id", F.concat_ws("-", F.lit(kind), "session_id"))
@@ -863,7 +875,7 @@ ALL: tuple[Query, ...] = (
     loop_metrics, loop_stage_durations, loop_bottleneck, loop_gaps, loop_sessions, loop_adapters,
     retrieval_metrics, retrieval_events, retrieval_findings, contract_metrics, contract_events, contract_findings,
     contract_checks, memory_metrics, memory_events, memory_findings,
-    format_health, compare_sessions, compare_contracts, scorecard, topology_rank, topology_plan,
+    memory_findings_by_nation, health_by_file, format_health, compare_sessions, compare_contracts, scorecard, topology_rank, topology_plan,
     edge_list, relation_counts, roots_leaves, implicit_nodes, graph_issues, artifact_coverage, request_outputs, components,
     graph_depth, lineage_depth, cycle_nodes,
     context_events, event_query, event_index, event_lookup, event_index_digest, default_ancestors, codex_ingest, turn_assignment,

@@ -106,6 +106,11 @@ def generic_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def same_name_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The generic logs, each in a folder of its own under one file name."""
+    return generic_lines(spark, sf).withColumn("source", F.regexp_replace("source", r"\.jsonl$", "/trace.jsonl"))
+
+
 def pi_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``conversations`` as message logs: a header, messages, tool calls and their results."""
     c = table(spark, sf, "conversations")
@@ -222,7 +227,8 @@ def retrieval_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def contract_docs(spark: SparkSession, sf: str) -> DataFrame:
     """One delivery record per order."""
-    o = table(spark, sf, "orders")
+    # Records lie in many files; the driver's table may be one, which a single task would make and parse.
+    o = table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism)
     key = F.col("o_orderkey")
     digest = lambda c: F.repeat(F.lit(c), 64)
     check = lambda name, ok: F.struct(F.lit(name).alias("id"), ok.alias("passed"), digest("d").alias("evidence_sha256"))
@@ -246,23 +252,29 @@ def contract_docs(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(_str("o_orderkey").alias("session_id"), body.alias("body"))
 
 
-def memory_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """One memory-service export per customer, from counts of its orders."""
+def memory_docs(spark: SparkSession, sf: str, by_nation: bool = False) -> DataFrame:
+    """One memory-service export per customer, or per nation, from counts of its orders."""
     o = table(spark, sf, "orders")
-    n = o.groupBy("o_custkey").agg(
+    key = F.col("owner")
+    if by_nation:
+        home = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("owner"))
+        o = o.join(home, "o_custkey")
+    else:
+        o = o.withColumn("owner", F.col("o_custkey"))
+    n = o.groupBy("owner").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in ("F", "O", "P")]
     )
     body = _json(
         F.lit("memory.v1").alias("schema"),
-        F.when(F.col("o_custkey") % 2 == 0, "sqlite").otherwise("postgres").alias("backend"),
+        F.when(key % 2 == 0, "sqlite").otherwise("postgres").alias("backend"),
         F.struct(F.lit("s").alias("start")).alias("period"),
         F.struct(
-            (F.col("o_custkey") % 7).alias("event_count"), F.col("n").alias("turn_total"), F.col("f").alias("turn_abstain"),
+            (key % 7).alias("event_count"), F.col("n").alias("turn_total"), F.col("f").alias("turn_abstain"),
             F.struct(F.col("n").alias("/v1/turn"), F.col("o").alias("/")).alias("routes"),
         ).alias("audit"),
         F.struct(F.col("p").alias("proposed_pending_total"), (F.col("o") % 3).alias("accepted_total")).alias("store"),
     )
-    return n.select(_str("o_custkey").alias("session_id"), body.alias("body"))
+    return n.select(_str("owner").alias("session_id"), body.alias("body"))
 
 
 # --- graphs -----------------------------------------------------------------

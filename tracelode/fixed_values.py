@@ -19,6 +19,9 @@ REDACTIONS = (
     ("email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
 )
 
+#: Besides the word of bearer tokens: every text that a pattern above matches holds one of these.
+REDACTION_PARTS = (":", "=", "@", "sk-", "AKIA", "-----BEGIN")
+
 # --- keys whose value is replaced whole -------------------------------------
 SENSITIVE_KEYS = (
     "api_key", "apikey", "authorization", "access_token", "refresh_token", "id_token",

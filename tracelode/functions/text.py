@@ -15,12 +15,21 @@ _U = "(?U)"
 SEPARATOR = "\x1f"
 
 
+def suspicious(text: Column) -> Column:
+    """Whether a text holds a part without which no redaction pattern matches; searched without patterns.
+
+    Placeholders hold none of these parts but the colon, and no two pieces of a text meet where a span was replaced,
+    so the question may be asked once, of the text as it was.
+    """
+    return reduce(lambda a, part: a | text.contains(part), fv.REDACTION_PARTS, F.lower(text).contains("bearer"))
+
+
 def redacted(text: Column) -> Column:
     """Text with every sensitive span replaced by its label."""
     out = text
     for label, pattern in fv.REDACTIONS:
         out = F.regexp_replace(out, F.lit(_U + pattern), F.lit(f"<redacted:{label}>"))
-    return out
+    return F.when(suspicious(text), out).otherwise(text)
 
 
 def redaction_labels(text: Column) -> Column:
@@ -30,7 +39,7 @@ def redaction_labels(text: Column) -> Column:
         regex = F.lit(_U + pattern)
         counts.append(F.array_repeat(F.lit(label), F.coalesce(F.regexp_count(current, regex), F.lit(0))))
         current = F.regexp_replace(current, regex, F.lit(f"<redacted:{label}>"))
-    return F.concat(*counts)
+    return F.when(suspicious(text), F.concat(*counts)).otherwise(F.array().cast("array<string>"))
 
 
 def canonical(text: Column) -> Column:
@@ -38,7 +47,8 @@ def canonical(text: Column) -> Column:
     out = F.lower(redacted(text))
     out = F.regexp_replace(out, F.lit(_U + r"\b\d+\b"), F.lit("<n>"))
     out = F.trim(F.regexp_replace(out, F.lit(_U + r"\s+"), F.lit(" ")))
-    return F.coalesce(out, F.lit("null"))
+    # Names of kinds, roles and tools are canonical as they are.
+    return F.when(text.rlike("^[a-z_]*$"), text).otherwise(F.coalesce(out, F.lit("null")))
 
 
 def digest16(*canonical_parts: Column) -> Column:

@@ -80,10 +80,11 @@ def detect_format(value: Column, names: Names = DEFAULT) -> Column:
 
 
 def with_format(parsed: DataFrame, names: Names = DEFAULT) -> DataFrame:
-    """Every line with its session's format and header; the per-source table is one small row each."""
+    """Every line with its session's format and the id its header gives; of a header no more goes to each line."""
+    ident = v.at(F.col("value"), "$.id")
     head = parsed.filter(F.col("reason").isNull() & (F.col("ordinal") == 0)).select(
         "source", detect_format(F.col("value"), names).alias("format"),
-        F.to_json(F.col("value")).alias("header"),
+        F.when(v.truthy(ident), v.text(ident)).alias("header_id"),
     )
     return parsed.join(head, "source", "left")
 

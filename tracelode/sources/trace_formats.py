@@ -31,6 +31,17 @@ class Ingested:
     errors: DataFrame
 
 
+def by_source(found: Ingested) -> Ingested:
+    """What was ingested with the file as the identity of a session.
+
+    A format names a session by its header, file or folder, so files of one name, or copies of one log, bear one name.
+    Here ``session_id`` is the source, and the name stays as ``session_name``; everything that groups, orders or joins
+    by ``session_id`` then keeps the files apart.
+    """
+    own = lambda rows: rows.withColumns({"session_name": F.col("session_id"), "session_id": F.col("source")})
+    return Ingested(own(found.events), own(found.sessions), found.errors)
+
+
 def _get(path: str) -> Column:
     return v.at(F.col("value"), path)
 
@@ -71,10 +82,9 @@ def pi_events(tagged: DataFrame) -> DataFrame:
     """Message log with tool calls inside assistant content."""
     rows = tagged.filter(F.col("ordinal") > 0)
     message = F.when(v.is_object(_get("$.message")), _get("$.message")).otherwise(F.parse_json(F.lit("{}")))
-    header_id = v.at(F.parse_json("header"), "$.id")
     entry = rows.select(
         "source", "line_no", "ordinal", "reason", "format", "value",
-        F.coalesce(_opt(header_id), ln.stem(F.col("source"))).alias("session_id"),
+        F.coalesce("header_id", ln.stem(F.col("source"))).alias("session_id"),
         F.coalesce(_opt(_get("$.id")), F.concat(F.lit("entry-"), F.col("ordinal").cast("string"))).alias("entry_id"),
         v.text(F.when(~F.coalesce(v.kind_of(_get("$.parentId")) == "VOID", F.lit(True)), _get("$.parentId"))).alias("up"),
         F.coalesce(v.text(_get("$.type")), F.lit("event")).alias("type"),
@@ -231,10 +241,15 @@ def loop_events(tagged: DataFrame, names: Names = DEFAULT, biggest: int | None =
         tx.fingerprint(
             F.lit(names.loop_signature), event, adapter, v.text(_get("$.action")), status, v.text(_get("$.failureClass"))
         ).alias("signature"),
-        v.nested_clean(F.to_json(kept)).alias("clean"),
+        F.to_json(kept).alias("kept"),
     )
+    # Metadata is flat as a rule: only what is nested or may hold something to redact goes to the helper.
+    plain = v.needs_no_cleaning(F.col("kept"))
+    deep = typed.filter(~plain).withColumn("clean", v.nested_clean(F.col("kept")))
+    cleaned = typed.filter(plain).withColumns({"meta": F.col("kept"), "redactions": _no_ids()}).unionByName(
+        deep.withColumns({"meta": F.to_json(F.parse_json("clean.value")), "redactions": F.col("clean.labels")}).drop("clean"))
     linked = running(
-        typed, ["source"], ["ordinal"], [Running("parent_id", "last", F.col("id"), include_current=False)],
+        cleaned, ["source"], ["ordinal"], [Running("parent_id", "last", F.col("id"), include_current=False)],
         seq_segment("ordinal", biggest),
     )
     return _event_columns(linked.select(
@@ -243,7 +258,7 @@ def loop_events(tagged: DataFrame, names: Names = DEFAULT, biggest: int | None =
         F.coalesce("adapter", "event").alias("name"), "ts_raw", F.lit("").alias("text"), "signature", "is_error",
         _no_usage().alias("usage"),
         _absent("array<string>").alias("parent_ids"), _absent("map<string,string>").alias("parent_relations"),
-        F.col("clean.labels").alias("redactions"), F.col("clean.value").alias("meta"), "format", "reason",
+        "redactions", "meta", "format", "reason",
     ))
 
 
@@ -264,18 +279,17 @@ def loop_adapters(events: DataFrame) -> DataFrame:
 
 
 def _session_rows(tagged: DataFrame, names: Names) -> DataFrame:
-    header = F.parse_json("header")
-    cwd = v.at(header, "$.cwd")
+    cwd = _get("$.cwd")  # a session's first line is its header
     pi = F.col("format") == names.pi_format
     loop = F.col("format") == names.loop_format
     first = tagged.filter("ordinal = 0")
     return first.select(
-        F.when(pi, F.coalesce(_opt(v.at(header, "$.id")), ln.stem(F.col("source"))))
+        F.when(pi, F.coalesce("header_id", ln.stem(F.col("source"))))
         .when(loop, F.coalesce(F.nullif(ln.folder(F.col("source")), F.lit("")), ln.stem(F.col("source"))))
         .otherwise(ln.stem(F.col("source"))).alias("session_id"),
         "source", "format",
         F.when(pi & v.truthy(cwd), tx.fingerprint(F.lit("cwd"), v.text(cwd))).alias("cwd_fingerprint"),
-        F.when(pi, v.text(v.at(header, "$.version"))).alias("version"),
+        F.when(pi, v.text(_get("$.version"))).alias("version"),
     )
 
 
