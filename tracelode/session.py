@@ -11,8 +11,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Rows of JSON cost more work than their bytes tell: small shuffles keep to all cores.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     # Split a hot join key even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
