@@ -60,6 +60,26 @@ def test_drops_are_summed_in_the_recorders_order(spark, shuffled_log):
     assert {(s, seq): c for s, seq, _, _, c in found} == {k: v for k, v in total.items() if isinstance(k, tuple)}
 
 
+@pytest.mark.parametrize("partitions", ["1", "4"])
+def test_drops_share_a_batch_with_the_closing_row(spark, partitions):
+    """All sessions and the closing row, whose numbers are null, in one file and so in one Arrow batch of a partition."""
+    first = 2**53 + 1
+    rows = [(s, first + i, f"{s}-{i}", i + 1, "2026-01-01T00:00:00Z") for s in ("a", "b", "closing-too", "x", "y", "z") for i in range(3)]
+    rows.append(("closing", None, "closing", None, "2026-02-01T00:00:00Z"))
+    schema = "session_id string, producer_seq bigint, event_id string, dropped bigint, wall_time string"
+    folder = work_path(spark, "log")
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(folder)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        log = tail.with_time(spark.readStream.schema(schema).json(folder), "1 hour")
+        found = drained(spark, tail.cumulative_drops(log, 1000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == sorted((s, seq, e, n, n * (n + 1) // 2) for s, seq, e, n, _ in rows[:-1])
+
+
+
 def test_every_row_is_on_time_or_late(spark, shuffled_log):
     events, _ = shuffled_log
     folder = work_path(spark, "log")

@@ -161,6 +161,9 @@ class HeldRows(StatefulProcessor):
 
 def _stateful(rows: DataFrame, processor: HeldRows, schema: str) -> DataFrame:
     """``rows`` (keys, event_time, held, and what the processor holds) through its state."""
+    # Rows of all keys share Arrow batches, where one null makes a column of whole numbers a column of floats.
+    numbers = [name for name, kind in (part.split() for part in processor.HELD.split(", ")) if kind == "bigint"]
+    rows = rows.withColumns({c: F.when(F.col("held"), F.col(c)).otherwise(0) for c in numbers})
     return rows.groupBy(*processor.KEYS).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
