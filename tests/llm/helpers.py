@@ -25,11 +25,11 @@ def by_id(df):
 
 
 def clash(df):
-    """The same table with extra columns whose names operators may use inside."""
+    """The same table with extra columns whose names operators may use inside, but for those it has itself."""
     from pyspark.sql import functions as F
 
     names = ("chunk", "h", "w", "x", "shard", "data", "fp", "row_key", "kept", "host", "suspect", "part", "rank", "n", "spans", "below", "at", "buckets", "label", "score")
-    return df.select("*", *[F.lit("x").alias(name) for name in names])
+    return df.select("*", *[F.lit("x").alias(name) for name in names if name not in df.columns])
 
 
 AWKWARD = [
