@@ -2,12 +2,14 @@ import binascii
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from helpers import AWKWARD, SF, by_id, clash, docs, given
 
 from tracelode.llm import language_id, license_scan, pii, toxicity
+from tracelode.session import FREE
 
 
 def labels(spark, rows):
@@ -295,6 +297,29 @@ def test_toxicity_counts_rare_words_and_every_word(spark):
     assert np.mean([got[i]["predicted"] == marks[i][2] for i in held]) >= 0.95
 
 
+def test_toxicity_by_parts_is_whole_and_frees_its_disk(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randrange(30)) + ["bad mean"] * (i % 2)) for i in range(160)]
+    marks = [(i, 1, i % 2) for i in range(140)]
+    whole = by_id(toxicity.classify(docs(spark, texts), labels(spark, marks)))
+    monkeypatch.setattr(toxicity, "PART_BYTES", 500)
+    written = []
+    add = toxicity.Table.add
+    monkeypatch.setattr(toxicity.Table, "add", lambda self, *a, **b: written.append(self.name) or add(self, *a, **b))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.name.split("_")[1] for top in disk.localDirs() for f in Path(str(top)).rglob("shuffle_*")}
+    before = shuffles()
+    got = by_id(toxicity.classify(docs(spark, texts), labels(spark, marks)))
+    total = brute_kneser_ney([(texts[i].split(), toxic) for i, _, toxic in marks if not is_held_out(i)])
+    for i, text in enumerate(texts):
+        assert got[i]["log_ratio"] == pytest.approx(total(text.split()), rel=1e-4, abs=1e-5), text
+        assert got[i]["score"] == pytest.approx(whole[i]["score"], rel=1e-6)
+    # Many parts were made; no table is left, and of some sixty shuffles only those of single counts and of the result itself.
+    assert len(written) > toxicity.GRAM_PARTS and not [t.name for t in spark.catalog.listTables() if t.name.startswith("toxicity_")]
+    assert len(shuffles() - before) <= 8
+    assert spark.conf.get(FREE) == "false"
+
+
 def test_toxicity_scores_repeated_rows_alike(spark):
     texts = [("vile " if i % 3 == 0 else "fine ") + " ".join(f"w{(i * 7 + k) % 50}" for k in range(20)) for i in range(200)]
     marks = labels(spark, [(i, 1, int(i % 3 == 0)) for i in range(200)])

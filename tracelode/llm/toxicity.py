@@ -12,6 +12,10 @@ Counts and log-ratios are tables that grow with the corpus. A text's distinct bi
 summed; the sum, normalised by length, is turned to a probability by a logistic curve, fitted on labelled documents
 that the counts behind it have not seen. Only that curve is of bounded size.
 
+Every bigram and every text takes part, but not all at once: counts are made and weighed by parts of the bigrams, texts
+are scored by parts of the rows. What a part shuffles is freed when it ends, and tables are dropped when nothing more
+needs them, so that the disk holds a part and not the whole. The log-ratios lie in buckets of their key, for all parts.
+
 Words are taken as equal by 64 bits of hash.
 
 Defined cases: null and empty texts have no words and get the score of no evidence; a table without labels, or
@@ -21,17 +25,18 @@ with one class only, gives everything the share of toxic labels; each row is sco
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm.byte_bpe import slices
-from tracelode.llm.common import content_key, row_key
-from tracelode.session import cut
+from tracelode.llm.common import content_key, measure, pieces, row_key
+from tracelode.session import freeing, work_path
 
 #: Prior odds, as a logarithm, against a word or bigram that tells the classes apart: about one in a thousand does.
 #: Of 3, 5, 7 and 9 it has the least log loss on training rows with remainder 3, by counts of the other training rows.
@@ -40,6 +45,10 @@ DISCOUNT = 0.75
 #: The calibration curve is fitted on at most about this many labelled documents.
 CALIBRATION_ROWS = 100_000
 LIMIT = 0.3
+#: Texts of about so many bytes make a part, until there are this many parts of rows and of bigrams (a power of two).
+PART_BYTES, ROW_PARTS, GRAM_PARTS = 8 << 20, 8, 8
+#: Log-ratios in a bucket, about; a task holds one bucket.
+BUCKET_ROWS = 500_000
 #: What stands before a text's first word, and where a word counts by itself.
 FIRST, ALONE = 1, 0
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -80,12 +89,48 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         np.concatenate([hashes[pairs // size % size], hashes[single % size]]), np.concatenate([np.ones(len(pairs), np.int64), n]))
 
 
-def gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each group (toxic + 2 * late) that have a bigram or, with ALONE before it, a word."""
+@dataclass
+class Table:
+    """A table of the warehouse that is dropped when nothing more needs it."""
+
+    spark: SparkSession
+    name: str
+
+    def add(self, df: DataFrame, part: str | None = None, key: str | None = None, buckets: int = 0) -> Table:
+        """Write rows, in folders by `part` or in buckets by `key`; what they shuffle is freed."""
+        with freeing(self.spark):
+            writer = (df.repartition(buckets, key) if key else df).write.mode("append").format("parquet").option("compression", "zstd")
+            writer = writer.partitionBy(part) if part else writer
+            (writer.bucketBy(buckets, key) if key else writer).saveAsTable(self.name)
+        return self
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self, part: int | None = None) -> None:
+        """Drop the table, or one part's folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}" if part is None else f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (part = {part})")
+
+
+def new_table(spark: SparkSession) -> Table:
+    return Table(spark, f"toxicity_{uuid.uuid4().hex}")
+
+
+def buckets_of(spark: SparkSession, rows: int) -> int:
+    """Buckets for so many rows; fewer than the shuffle's partitions would not be joined as they lie."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(rows, BUCKET_ROWS))
+
+
+def gram_counts(batches: Iterable[pa.RecordBatch], parts: int = 1, wanted: range = range(1)) -> Iterator[pa.RecordBatch]:
+    """Documents of each group (toxic + 2 * late) that have a bigram or, with ALONE before it, a word; of the wanted parts."""
     for batch in batches:
         group, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         for a, b in slices([len(t or "") for t in texts]):
             text, before, word, _ = grams(texts[a:b])
+            part = before & (parts - 1)
+            here = (part >= wanted.start) & (part < wanted.stop)
+            text, before, word = text[here], before[here], word[here]
             order = np.lexsort((word, before))
             before, word, text = before[order], word[order], text[order]
             new = np.ones(len(word), bool)
@@ -96,13 +141,20 @@ def gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["before", "word", "c0", "c1", "c2", "c3"])
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """before, word, and the early and all documents of either class that have them: e0, e1, a0, a1; stored."""
-    rows = train.select((F.col("toxic") + 2 * F.col("late")).cast("int").alias("g"), "text").mapInArrow(
-        gram_counts, "before long, word long, c0 long, c1 long, c2 long, c3 long")
-    c = [F.sum(f"c{g}") for g in range(4)]
-    return cut(rows.groupBy("before", "word").agg(
-        c[0].alias("e0"), c[1].alias("e1"), (c[0] + c[2]).alias("a0"), (c[1] + c[3]).alias("a1")))
+def counted(train: DataFrame, parts: int) -> list[Table]:
+    """before, word, and the early and all documents of either class that have them: e0, e1, a0, a1; in tables by part."""
+    c, tables = [F.sum(f"c{g}") for g in range(4)], []
+    half = max(1, parts // 2)
+    for start in range(0, parts, half):
+        wanted = range(start, start + half)
+        rows = train.select((F.col("toxic") + 2 * F.col("late")).cast("int").alias("g"), "text").mapInArrow(
+            lambda batches, wanted=wanted: gram_counts(batches, parts, wanted), "before long, word long, c0 long, c1 long, c2 long, c3 long")
+        found = rows.groupBy("before", "word").agg(
+            c[0].alias("e0"), c[1].alias("e1"), (c[0] + c[2]).alias("a0"), (c[1] + c[3]).alias("a1")).withColumn(
+            "part", F.col("before").bitwiseAND(parts - 1))
+        # In order, the word before takes next to no room.
+        tables.append(new_table(train.sparkSession).add(found.sortWithinPartitions("part", "before", "word"), part="part"))
+    return tables
 
 
 def surprise(n: Column, expected: Column) -> Column:
@@ -115,19 +167,23 @@ def weight(ratio: Column) -> Column:
     return 1 / (1 + F.exp(PRIOR - F.least(ratio, F.lit(100.0))))
 
 
-def log_ratios(counts: DataFrame, kinds: dict[str, tuple[float, float]]) -> DataFrame:
-    """key and, for each kind of counts (e, a), what a word or a bigram besides its word adds to a text's log-ratio; stored.
+def log_ratios(tables: list[Table], parts: int, kinds: dict[str, tuple[float, float]]) -> Table:
+    """key and, for each kind of counts (e, a), what a word or a bigram besides its word adds to a text's log-ratio.
 
-    kinds has the documents of either class.
+    kinds has the documents of either class. The tables of counts are dropped as they are used up.
     """
+    spark, counts = tables[0].spark, tables[0].rows
+    for table in tables[1:]:
+        counts = counts.unionByName(table.rows)
     pair = F.col("before") != ALONE
     one = lambda c: F.when(pair, F.col(c))
     names = [f"{k}{c}" for k in kinds for c in (0, 1)]
-    words = cut(counts.groupBy("word").agg(
+    size = counts.count()
+    buckets = buckets_of(spark, size)
+    kept = new_table(spark).add(counts.groupBy("word").agg(
         *[F.sum(F.when(~pair, F.col(n))).alias(f"d{n}") for n in names], *[F.sum(one(n)).alias(f"w{n}") for n in names],
-        *[F.count(F.when(pair & (F.col(f"{k}0") + F.col(f"{k}1") > 0), 1)).alias(f"t{k}") for k in kinds]))
-    contexts = counts.where(pair).groupBy("before").agg(
-        *[F.sum(n).alias(f"n{n}") for n in names], *[F.count(F.when(F.col(n) > 0, 1)).alias(f"k{n}") for n in names])
+        *[F.count(F.when(pair & (F.col(f"{k}0") + F.col(f"{k}1") > 0), 1)).alias(f"t{k}") for k in kinds]), key="word", buckets=buckets)
+    words = kept.rows
     sums = words.agg(
         F.count(F.lit(1)).alias("v"), *[F.sum(f"w{n}").alias(f"w{n}") for n in names], *[F.count(F.when(F.col(f"w{n}") > 0, 1)).alias(f"k{n}") for n in names],
         *[F.sum(f"t{k}").alias(f"t{k}") for k in kinds]).first()
@@ -155,8 +211,19 @@ def log_ratios(counts: DataFrame, kinds: dict[str, tuple[float, float]]) -> Data
         own = surprise(F.col(f"{k}0"), n / (1 + odds)) + surprise(F.col(f"{k}1"), n * odds / (1 + odds))
         bigram.append(F.when(n > 0, weight(own) * (F.log(q[1] / q[0]) - F.col(f"r{k}"))).otherwise(0.0).cast("float").alias(k))
     words = words.select("word", *made)
-    pairs = counts.where(pair).join(words.hint("merge"), "word").join(contexts.hint("merge"), "before").select(key_of(), *bigram)
-    return cut(pairs.unionByName(words.select(key_of(F.lit(ALONE)), *[F.col(f"r{k}").cast("float").alias(k) for k in kinds])))
+    ratios = new_table(spark).add(words.select(key_of(F.lit(ALONE)), *[F.col(f"r{k}").cast("float").alias(k) for k in kinds]), key="key", buckets=buckets)
+    for i, table in enumerate(tables):
+        each = parts // len(tables)
+        for part in range(i * each, (i + 1) * each):
+            found = table.rows.where(pair & (F.col("part") == part)).drop("part")
+            # All bigrams after a word are of one part.
+            contexts = found.groupBy("before").agg(
+                *[F.sum(n).alias(f"n{n}") for n in names], *[F.count(F.when(F.col(n) > 0, 1)).alias(f"k{n}") for n in names])
+            ratios.add(found.join(words.hint("shuffle_hash"), "word").join(contexts.hint("merge"), "before").select(key_of(), *bigram), key="key", buckets=buckets)
+            table.drop(part)
+        table.drop()
+    kept.drop()
+    return ratios
 
 
 def key_of(before: Column | None = None) -> Column:
@@ -180,8 +247,8 @@ def summed(texts: DataFrame, ratios: DataFrame, kind: str) -> DataFrame:
     rows = texts.mapInArrow(terms, "id long, before long, word long, n int")
     rows = rows.select("id", F.when(F.col("n") > 0, F.xxhash64("before", "word")).otherwise(F.xxhash64("before")).alias("key"), F.when(
         F.col("n") > 0, F.col("n")).otherwise(-1 - F.col("word").cast("int")).alias("n"))
-    # One plan at every size: the ratios grow with the corpus, so they are never broadcast.
-    joined = rows.join(ratios.select("key", F.col(kind).alias("ratio")).hint("merge"), "key", "left")
+    # One plan at every size: the ratios grow with the corpus, so they are never broadcast. They lie in buckets of the key.
+    joined = rows.join(ratios.select("key", F.col(kind).alias("ratio")).hint("shuffle_hash"), "key", "left")
     copies = F.count(F.when(F.col("n") < 0, 1))
     return joined.groupBy("id").agg(
         (F.sum(F.when(F.col("n") > 0, F.coalesce(F.col("ratio").cast("double"), F.lit(0.0)) * F.col("n")).otherwise(0.0)) / copies).alias("total"),
@@ -192,7 +259,7 @@ def summed(texts: DataFrame, ratios: DataFrame, kind: str) -> DataFrame:
 class Model:
     """The table of log-ratios, if there is one, and the calibration curve."""
 
-    ratios: DataFrame | None
+    ratios: Table | None
     curve: np.ndarray
     center: np.ndarray
     scale: np.ndarray
@@ -222,23 +289,38 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Count and calibrate on the labelled documents that are not held out."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     # One plan at every size: labels grow with the corpus, so they are never broadcast.
-    train = cut(docs.where(~held_out()).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select(
+    train = new_table(docs.sparkSession).add(docs.where(~held_out()).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select(
         "toxic", "text", (F.coalesce(remainder(), F.lit(0)) == 3).cast("int").alias("late"), row_key().alias("row_key")))
-    totals = {(r["toxic"], r["late"]): r["n"] for r in train.groupBy("toxic", "late").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = new_table(docs.sparkSession)
+    try:
+        return learn_from(train, sample)
+    finally:
+        train.drop()
+        sample.drop()
+
+
+def learn_from(train: Table, sample: Table) -> Model:
+    """Learn from the rows of `train` (toxic, text, late, row_key), which is dropped early; `sample` gets the rows to calibrate on."""
+    rows = train.rows
+    totals = {(r["toxic"], r["late"]): r["n"] for r in rows.groupBy("toxic", "late").agg(F.count(F.lit(1)).alias("n")).collect()}
     early = tuple(float(totals.get((c, 0), 0)) for c in (0, 1))
     every = tuple(early[c] + totals.get((c, 1), 0) for c in (0, 1))
     rate = every[1] / max(1.0, sum(every))
     plain = np.array([0, 0, 0, np.log((rate + 1e-9) / (1 - rate + 1e-9))])
     if not all(every):
         return Model(None, plain, np.zeros(3), np.ones(3))
-    ratios = log_ratios(counted(train), {"a": every} | ({"e": early} if all(early) else {}))
-    late = train.where("late = 1")
     share = min(1.0, CALIBRATION_ROWS / max(1.0, sum(every) - sum(early)))
-    sample = late.where(F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample.add(rows.where("late = 1").where(F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
+        (F.shiftleft(F.xxhash64("row_key", "text"), 1) + F.col("toxic")).alias("id"), "text"))
+    parts = min(GRAM_PARTS, 1 << (pieces(measure(rows).text_bytes, PART_BYTES) - 1).bit_length())
+    tables = counted(rows, parts)
+    train.drop()
+    ratios = log_ratios(tables, parts, {"a": every} | ({"e": early} if all(early) else {}))
     x = y = np.zeros(0)
     if all(early):
         # Rows of equal id and class have equal sums, each counted as often as it occurs.
-        seen = summed(sample.select((F.shiftleft(F.xxhash64("row_key", "text"), 1) + F.col("toxic")).alias("id"), "text"), ratios, "e").toArrow()
+        with freeing(sample.spark):
+            seen = summed(sample.rows, ratios.rows, "e").toArrow()
         copies = seen["copies"].to_numpy()
         x, y = np.repeat(features(seen["total"].to_numpy(), seen["n"].to_numpy()), copies, 0), np.repeat(seen["id"].to_numpy() & 1, copies).astype(float)
     if not 0 < y.sum() < len(y):
@@ -253,8 +335,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     if model.ratios is None:
         sums = rows.select("doc_id", "held_out", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
     else:
-        # Rows of one id are equal in doc_id and text, so each gets the same.
-        found = summed(rows.select("id", "text"), model.ratios, "a")
+        # Rows of one id are equal in doc_id and text, so each gets the same, and they are in one part.
+        spark, path = docs.sparkSession, work_path(docs.sparkSession, "sums")
+        parts = min(ROW_PARTS, pieces(measure(docs).text_bytes, PART_BYTES))
+        for part in range(parts):
+            found = summed(rows.where(F.pmod(F.xxhash64(row_key()), F.lit(parts)) == part).select("id", "text"), model.ratios.rows, "a")
+            with freeing(spark):
+                found.write.mode("append").parquet(path)
+        found = spark.read.schema(found.schema).parquet(path)
         sums = rows.select("id", "doc_id", "held_out").join(found.hint("merge"), "id").select("doc_id", "held_out", "total", "n")
     curve, n = [float(w) for w in model.curve], F.greatest(F.col("n"), F.lit(1))
     values = (F.col("total") / n, F.col("total") / F.sqrt(n), F.signum("total") * F.log1p(F.abs("total")))
@@ -266,4 +354,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels, then score every document."""
-    return score(docs, learn(docs, labels))
+    model = learn(docs, labels)
+    try:
+        return score(docs, model)
+    finally:
+        if model.ratios is not None:
+            model.ratios.drop()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Removes the shuffle files of a query when it ends, and not when the driver happens to collect its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """What the queries run inside have shuffled is freed when each ends."""
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, `spark.checkpoint.dir`; where that is unset, a folder of the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
