@@ -326,3 +326,32 @@ def test_toxicity_scores_repeated_rows_alike(spark):
     once = by_id(toxicity.classify(docs(spark, texts), marks))
     rows = toxicity.classify(docs(spark, texts + texts[:1] * 2, [*range(200), 900, 900]), marks).where("doc_id in (0, 900)").collect()
     assert len(rows) == 3 and all(r["score"] == pytest.approx(once[0]["score"]) for r in rows)
+
+
+def test_toxicity_sums_by_blocks(spark, monkeypatch):
+    """A chunk sends a range one row, not one for each text and bigram, and the sums are those of each text by itself."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"W{k}" for k in range(40)], k=rng.randrange(30))) for _ in range(60)] + AWKWARD + ["--a  B--", "b a", "\x00 é ü \x7f a"]
+    ids = [*range(len(texts)), 3, 3, 70]
+    texts += [texts[3], texts[3], texts[70]]
+    plain = [(t or "").encode().translate(toxicity.CLEAN).split() for t in texts]
+    pairs = [set(zip([None, *words], words, strict=False)) for words in plain]
+    hashed = lambda w: int.from_bytes(toxicity.hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
+    known = sorted({(b, w) for ps in pairs for b, w in ps if b and rng.random() < 0.7}) + [(None, w) for w in {w for words in plain for w in words if rng.random() < 0.7}]
+    value = {p: rng.randrange(-8, 9) / 8 for p in known}
+    frame = spark.createDataFrame([(hashed(b) if b else toxicity.ALONE, hashed(w), value[b, w]) for b, w in known], "before long, word long, a double")
+    ratios = toxicity.Ratios(toxicity.new_table(spark), 3, 8)
+    try:
+        ratios.add(frame.select(toxicity.key_of(), toxicity.F.col("a").cast("float").alias("a")), ["a"])
+        monkeypatch.setattr(toxicity, "CHUNK_BYTES", 300)
+        found = toxicity.summed(spark.createDataFrame([*zip(ids, texts, strict=True)], "id long, text string").repartition(3), ratios, "a")
+        got = {r["id"]: r for r in found.collect()}
+        assert len(got) == len(set(ids))
+        for i, ps in zip(ids, pairs, strict=True):
+            total = sum(value.get((None, w), 0.0) + (value.get((b, w), 0.0) if b else 0.0) for b, w in ps)
+            assert (got[i]["total"], got[i]["n"], got[i]["copies"]) == (pytest.approx(total), len(ps), ids.count(i))
+    finally:
+        ratios.table.drop()
+    chunk = toxicity.grams([t.encode() if t else None for t in texts])
+    assert len(chunk.word) == sum(map(len, pairs)) > 500
+    assert toxicity.sent(0, np.array(ids), chunk, 3).num_rows <= 9

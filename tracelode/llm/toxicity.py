@@ -10,11 +10,13 @@ back off with the same weight.
 
 Counts and log-ratios are tables that grow with the corpus. A text's distinct bigrams are joined with them and
 summed; the sum, normalised by length, is turned to a probability by a logistic curve, fitted on labelled documents
-that the counts behind it have not seen. Only that curve is of bounded size.
+that the counts behind it have not seen. Only that curve is of bounded size. The join goes by blocks: a chunk of texts
+sends each range of keys one row, with its distinct keys there and the texts that have them; the range looks them up
+among its log-ratios and answers with a sum for each text.
 
 Every bigram and every text takes part, but not all at once: counts are made and weighed by parts of the bigrams, texts
 are scored by parts of the rows. What a part shuffles is freed when it ends, and tables are dropped when nothing more
-needs them, so that the disk holds a part and not the whole. The log-ratios lie in buckets of their key, for all parts.
+needs them, so that the disk holds a part and not the whole. The log-ratios lie in buckets of their range, for all parts.
 
 Words are taken as equal by 64 bits of hash.
 
@@ -31,11 +33,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm.byte_bpe import slices
 from tracelode.llm.common import content_key, measure, pieces, row_key
+from tracelode.llm.exchange import ranges
 from tracelode.session import freeing, work_path
 
 #: Prior odds, as a logarithm, against a word or bigram that tells the classes apart: about one in a thousand does.
@@ -47,10 +52,14 @@ CALIBRATION_ROWS = 100_000
 LIMIT = 0.3
 #: Texts of about so many bytes make a part, until there are this many parts of rows and of bigrams (a power of two).
 PART_BYTES, ROW_PARTS, GRAM_PARTS = 8 << 20, 8, 8
-#: Log-ratios in a bucket, about; a task holds one bucket.
-BUCKET_ROWS = 500_000
+#: Words in a bucket, and log-ratios in a range of keys, about; a task holds one at a time.
+BUCKET_ROWS, RANGE_ROWS = 500_000, 300_000
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 4 << 20
 #: What stands before a text's first word, and where a word counts by itself.
 FIRST, ALONE = 1, 0
+#: Bits by which the word before is turned in a bigram's key.
+TURN = 23
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 CLEAN = bytes.maketrans(bytes(range(65, 91)) + SIGNS, bytes(range(97, 123)) + b" " * len(SIGNS))
 
@@ -64,29 +73,51 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) == 2, F.lit(False))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(CLEAN).split()
+def first(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value for the first time."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word before, word and count of each text's distinct bigrams, and of its words by how many bigrams end in them."""
-    seen: dict[bytes, int] = {}
-    flat, counts = [], []
-    for text in texts:
-        found = words_of(text)
-        counts.append(len(found))
-        flat += [seen.setdefault(w, len(seen) + 1) for w in found]
-    hashes = np.array([FIRST, *[int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in seen]], np.int64)
-    index, size = np.array(flat, np.int64), len(seen) + 1
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Text and index (from 1) of each word in order, and the distinct words."""
+    clean = pa.array([(t or b"").translate(CLEAN) for t in texts], pa.large_binary())
+    lists = pc.ascii_split_whitespace(pc.cast(clean, options=pc.CastOptions(pa.large_string(), allow_invalid_utf8=True)))
+    found, text = lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    # Signs at either end of a text leave an empty word there.
+    some = pc.not_equal(pc.binary_length(found), 0)
+    coded = found.filter(some).dictionary_encode()
+    return text[some.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary.cast(pa.large_binary()).to_pylist()
+
+
+@dataclass
+class Grams:
+    """Distinct bigrams of each text, as word, word before and text in order, and its words, with n bigrams that end in them."""
+
+    hashes: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    text: np.ndarray
+    single: np.ndarray
+    single_text: np.ndarray
+    n: np.ndarray
+
+
+def grams(texts: list[bytes | None]) -> Grams:
+    text, index, distinct = words_of(texts)
+    digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in distinct])
+    hashes = np.concatenate([np.array([FIRST], np.int64), np.frombuffer(digests, "<i8")])
+    size, rows = len(hashes), max(1, len(texts))
     before = np.zeros_like(index)
-    before[1:] = index[:-1]
-    ends, counts = np.cumsum(counts), np.array(counts, np.int64)
-    before[(ends - counts)[counts > 0]] = 0
-    pairs = np.unique((np.repeat(np.arange(len(counts)), counts) * size + index) * size + before)
-    single, n = np.unique(pairs // size, return_counts=True)
-    return (
-        np.concatenate([pairs // (size * size), single // size]), np.concatenate([hashes[pairs % size], np.full(len(single), ALONE)]),
-        np.concatenate([hashes[pairs // size % size], hashes[single % size]]), np.concatenate([np.ones(len(pairs), np.int64), n]))
+    before[1:] = np.where(text[1:] == text[:-1], index[:-1], 0)
+    triples = np.sort((index * size + before) * rows + text)
+    triples = triples[first(triples)]
+    pair, text = np.divmod(triples, rows)
+    word, before = np.divmod(pair, size)
+    ends = np.sort(word * rows + text)
+    starts = np.flatnonzero(first(ends))
+    return Grams(hashes, word, before, text, *np.divmod(ends[starts], rows), np.diff(np.append(starts, len(ends))))
 
 
 @dataclass
@@ -97,9 +128,9 @@ class Table:
     name: str
 
     def add(self, df: DataFrame, part: str | None = None, key: str | None = None, buckets: int = 0) -> Table:
-        """Write rows, in folders by `part` or in buckets by `key`; what they shuffle is freed."""
+        """Write rows, in folders by `part` or, if they are dealt so, in buckets by `key`; what they shuffle is freed."""
         with freeing(self.spark):
-            writer = (df.repartition(buckets, key) if key else df).write.mode("append").format("parquet").option("compression", "zstd")
+            writer = df.write.mode("append").format("parquet").option("compression", "zstd")
             writer = writer.partitionBy(part) if part else writer
             (writer.bucketBy(buckets, key) if key else writer).saveAsTable(self.name)
         return self
@@ -124,21 +155,20 @@ def buckets_of(spark: SparkSession, rows: int) -> int:
 
 def gram_counts(batches: Iterable[pa.RecordBatch], parts: int = 1, wanted: range = range(1)) -> Iterator[pa.RecordBatch]:
     """Documents of each group (toxic + 2 * late) that have a bigram or, with ALONE before it, a word; of the wanted parts."""
+
+    def rows(before: np.ndarray, word: np.ndarray, new: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        here = ((before & (parts - 1)) >= wanted.start) & ((before & (parts - 1)) < wanted.stop)
+        n = np.bincount((np.cumsum(new) - 1) * 4 + of, minlength=4 * len(word)).reshape(-1, 4)[here]
+        return pa.RecordBatch.from_arrays([pa.array(before[here]), pa.array(word[here]), *[pa.array(n[:, g]) for g in range(4)]], ["before", "word", "c0", "c1", "c2", "c3"])
+
     for batch in batches:
-        group, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        for a, b in slices([len(t or "") for t in texts]):
-            text, before, word, _ = grams(texts[a:b])
-            part = before & (parts - 1)
-            here = (part >= wanted.start) & (part < wanted.stop)
-            text, before, word = text[here], before[here], word[here]
-            order = np.lexsort((word, before))
-            before, word, text = before[order], word[order], text[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
-            place, of = np.cumsum(new) - 1, group[a:b][text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(before[new]), pa.array(word[new]), *[pa.array(np.bincount(place[of == g], minlength=new.sum())) for g in range(4)]],
-                ["before", "word", "c0", "c1", "c2", "c3"])
+        group, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.large_binary()).to_pylist()
+        for a, b in slices([len(t or b"") for t in texts], CHUNK_BYTES):
+            found, of = grams(texts[a:b]), group[a:b]
+            new = first(found.word * len(found.hashes) + found.before)
+            yield rows(found.hashes[found.before[new]], found.hashes[found.word[new]], new, of[found.text])
+            new = first(found.single)
+            yield rows(np.full(new.sum(), ALONE), found.hashes[found.single[new]], new, of[found.single_text])
 
 
 def counted(train: DataFrame, parts: int) -> list[Table]:
@@ -167,8 +197,28 @@ def weight(ratio: Column) -> Column:
     return 1 / (1 + F.exp(PRIOR - F.least(ratio, F.lit(100.0))))
 
 
-def log_ratios(tables: list[Table], parts: int, kinds: dict[str, tuple[float, float]]) -> Table:
-    """key and, for each kind of counts (e, a), what a word or a bigram besides its word adds to a text's log-ratio.
+@dataclass
+class Ratios:
+    """A table of log-ratios by ranges of their key's first bits: range, keys and, for each kind of counts, their log-ratios."""
+
+    table: Table
+    bits: int
+    buckets: int
+
+    def add(self, df: DataFrame, kinds: Iterable[str]) -> None:
+        """Add rows of key and kinds, a block for each range."""
+        names = ["keys", *kinds]
+
+        def block(rows: pa.Table) -> pa.Table:
+            return pa.table([rows["range"][:1], *[pa.array([rows[n].to_numpy().tobytes()], pa.binary()) for n in names]], ["range", *names])
+
+        rows = df.select(F.shiftrightunsigned("key", 64 - self.bits).cast("int").alias("range"), F.col("key").alias("keys"), *kinds)
+        blocks = rows.repartition(self.buckets, "range").groupBy("range").applyInArrow(block, "range int, " + ", ".join(f"{n} binary" for n in names))
+        self.table.add(blocks, key="range", buckets=self.buckets)
+
+
+def log_ratios(tables: list[Table], parts: int, kinds: dict[str, tuple[float, float]]) -> Ratios:
+    """By key, for each kind of counts (e, a), what a word or a bigram besides its word adds to a text's log-ratio.
 
     kinds has the documents of either class. The tables of counts are dropped as they are used up.
     """
@@ -182,7 +232,7 @@ def log_ratios(tables: list[Table], parts: int, kinds: dict[str, tuple[float, fl
     buckets = buckets_of(spark, size)
     kept = new_table(spark).add(counts.groupBy("word").agg(
         *[F.sum(F.when(~pair, F.col(n))).alias(f"d{n}") for n in names], *[F.sum(one(n)).alias(f"w{n}") for n in names],
-        *[F.count(F.when(pair & (F.col(f"{k}0") + F.col(f"{k}1") > 0), 1)).alias(f"t{k}") for k in kinds]), key="word", buckets=buckets)
+        *[F.count(F.when(pair & (F.col(f"{k}0") + F.col(f"{k}1") > 0), 1)).alias(f"t{k}") for k in kinds]).repartition(buckets, "word"), key="word", buckets=buckets)
     words = kept.rows
     sums = words.agg(
         F.count(F.lit(1)).alias("v"), *[F.sum(f"w{n}").alias(f"w{n}") for n in names], *[F.count(F.when(F.col(f"w{n}") > 0, 1)).alias(f"k{n}") for n in names],
@@ -211,7 +261,9 @@ def log_ratios(tables: list[Table], parts: int, kinds: dict[str, tuple[float, fl
         own = surprise(F.col(f"{k}0"), n / (1 + odds)) + surprise(F.col(f"{k}1"), n * odds / (1 + odds))
         bigram.append(F.when(n > 0, weight(own) * (F.log(q[1] / q[0]) - F.col(f"r{k}"))).otherwise(0.0).cast("float").alias(k))
     words = words.select("word", *made)
-    ratios = new_table(spark).add(words.select(key_of(F.lit(ALONE)), *[F.col(f"r{k}").cast("float").alias(k) for k in kinds]), key="key", buckets=buckets)
+    ranged = max(3, (pieces(size, RANGE_ROWS) - 1).bit_length())
+    ratios = Ratios(new_table(spark), ranged, max(1 << ranged, buckets))
+    ratios.add(words.select(F.col("word").alias("key"), *[F.col(f"r{k}").cast("float").alias(k) for k in kinds]), kinds)
     for i, table in enumerate(tables):
         each = parts // len(tables)
         for part in range(i * each, (i + 1) * each):
@@ -219,47 +271,126 @@ def log_ratios(tables: list[Table], parts: int, kinds: dict[str, tuple[float, fl
             # All bigrams after a word are of one part.
             contexts = found.groupBy("before").agg(
                 *[F.sum(n).alias(f"n{n}") for n in names], *[F.count(F.when(F.col(n) > 0, 1)).alias(f"k{n}") for n in names])
-            ratios.add(found.join(words.hint("shuffle_hash"), "word").join(contexts.hint("merge"), "before").select(key_of(), *bigram), key="key", buckets=buckets)
+            ratios.add(found.join(words.hint("shuffle_hash"), "word").join(contexts.hint("merge"), "before").select(key_of(), *bigram), kinds)
             table.drop(part)
         table.drop()
     kept.drop()
     return ratios
 
 
-def key_of(before: Column | None = None) -> Column:
-    return F.xxhash64(F.col("before") if before is None else before.cast("long"), "word").alias("key")
-
-
-def summed(texts: DataFrame, ratios: DataFrame, kind: str) -> DataFrame:
+def key_of() -> Column:
+    """A bigram's key: its word's hash, changed by the hash of the word before; a word by itself has its hash as key."""
+    before = F.col("before")
+    return F.col("word").bitwiseXOR(F.shiftleft(before, TURN).bitwiseOR(F.shiftrightunsigned(before, 64 - TURN))).alias("key")
+
+
+def turned(before: np.ndarray) -> np.ndarray:
+    before = before.view(np.uint64)
+    return (before << np.uint64(TURN)) | (before >> np.uint64(64 - TURN))
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0, in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    """The n numbers of `narrow`."""
+    return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
+def read(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+#: What a chunk sends a range of keys: its distinct keys there, how many texts have each, which (by their place in ids)
+#: and, for each of them, how often it counts. One more row for each chunk has all ids, the bigrams of each and its rows.
+SENT = "range int, chunk long, keys binary, texts binary, at binary, times binary, ids binary, size binary, copies binary"
+ANSWER = "chunk long, ids binary, total binary, size binary, copies binary"
+SUMS = "id long, total double, n long, copies long"
+
+
+def sent(chunk: int, ids: np.ndarray, found: Grams, bits: int) -> pa.RecordBatch:
+    ids, own = np.unique(ids, return_inverse=True)
+    pair, single = np.flatnonzero(first(found.word * len(found.hashes) + found.before)), np.flatnonzero(first(found.single))
+    hashes = found.hashes.view(np.uint64)
+    keys = np.concatenate([hashes[found.word[pair]] ^ turned(found.hashes[found.before[pair]]), hashes[found.single[single]]])
+    texts = np.diff(np.concatenate([pair, len(found.text) + single, [len(found.text) + len(found.n)]]))
+    at, times = own[np.concatenate([found.text, found.single_text])], np.concatenate([np.ones(len(found.text), np.int64), found.n])
+    # In order of their key, each with its texts.
+    order = np.argsort(keys)
+    begin, keys, texts = (np.cumsum(texts) - texts)[order], keys[order], texts[order]
+    ends = np.append(0, np.cumsum(texts))
+    moved = np.repeat(begin - ends[:-1], texts) + np.arange(ends[-1])
+    at, times = at[moved], times[moved]
+    rows = []
+    if len(keys):
+        owner, cuts = ranges(keys, bits)
+        for o, a, b in zip(owner.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            met, place = np.unique(at[ends[a]:ends[b]], return_inverse=True)
+            rows.append((o, chunk, keys[a:b].tobytes(), narrow(texts[a:b]), narrow(place), narrow(times[ends[a]:ends[b]]), ids[met].tobytes(), b"", b""))
+    size = np.bincount(own[found.text], minlength=len(ids))
+    rows.append((chunk & ((1 << bits) - 1), chunk, b"", b"", b"", b"", ids.tobytes(), size.tobytes(), np.bincount(own, minlength=len(ids)).tobytes()))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SENT.split(", ")])
+
+
+def answered(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    """For each row sent to a range, the sum over its keys for each of its texts; keys without a log-ratio add nothing."""
+    known = np.concatenate([np.zeros(0, np.uint64), *read(blocks["keys"], "u8")])
+    order = np.argsort(known)
+    # One more, which no key finds.
+    known, ratio = known[order], np.append(np.concatenate([np.zeros(0, "f4"), *read(blocks["ratio"], "f4")])[order], np.float32(0)).astype(float)
+    totals = []
+    for keys, texts, at, times, ids in zip(*(asked[c].to_pylist() for c in ("keys", "texts", "at", "times", "ids")), strict=True):
+        keys = np.frombuffer(keys, "u8")
+        place = np.searchsorted(known, keys)
+        place[np.append(known, np.uint64(0))[place] != keys] = len(known)
+        value = np.repeat(ratio[place], widen(texts, len(keys)))
+        totals.append(np.bincount(widen(at, len(value)), value * widen(times, len(value)), minlength=len(ids) // 8).tobytes())
+    return pa.table([asked["chunk"], asked["ids"], pa.array(totals, pa.binary()), asked["size"], asked["copies"]], [c.split()[0] for c in ANSWER.split(", ")])
+
+
+def gathered(answers: pa.Table) -> pa.Table:
+    """The sums of a chunk's texts over all ranges."""
+    ids, place = np.unique(np.concatenate(read(answers["ids"], "i8")), return_inverse=True)
+    # The row of all ids alone has sizes and copies.
+    total = np.bincount(place, np.concatenate(read(answers["total"], "f8")), minlength=len(ids))
+    size, copies = (np.zeros(len(ids), np.int64) for _ in range(2))
+    for own, n, rows in zip(*(read(answers[c], "i8") for c in ("ids", "size", "copies")), strict=True):
+        if len(n):
+            at = np.searchsorted(ids, own)
+            size[at] += n
+            copies[at] += rows
+    return pa.table({"id": ids, "total": total, "n": size, "copies": copies})
+
+
+def summed(texts: DataFrame, ratios: Ratios, kind: str) -> DataFrame:
     """Of texts (id, text): id, total log-ratio, distinct bigrams n, and rows of the id, over which both are averaged."""
+    bits = ratios.bits
 
-    def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in found]):
-                text, before, word, n = grams(found[a:b])
-                # One more row for each text: minus one and the number of its bigrams.
-                size = np.bincount(text[before != ALONE], minlength=b - a)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([ids[a:b][text], ids[a:b]])), pa.array(np.concatenate([before, ids[a:b]])),
-                    pa.array(np.concatenate([word, size])), pa.array(np.concatenate([n, np.full(b - a, -1)]).astype(np.int32))], ["id", "before", "word", "n"])
-
-    rows = texts.mapInArrow(terms, "id long, before long, word long, n int")
-    rows = rows.select("id", F.when(F.col("n") > 0, F.xxhash64("before", "word")).otherwise(F.xxhash64("before")).alias("key"), F.when(
-        F.col("n") > 0, F.col("n")).otherwise(-1 - F.col("word").cast("int")).alias("n"))
-    # One plan at every size: the ratios grow with the corpus, so they are never broadcast. They lie in buckets of the key.
-    joined = rows.join(ratios.select("key", F.col(kind).alias("ratio")).hint("shuffle_hash"), "key", "left")
-    copies = F.count(F.when(F.col("n") < 0, 1))
-    return joined.groupBy("id").agg(
-        (F.sum(F.when(F.col("n") > 0, F.coalesce(F.col("ratio").cast("double"), F.lit(0.0)) * F.col("n")).otherwise(0.0)) / copies).alias("total"),
-        (F.sum(F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(0)) / copies).cast("long").alias("n"), copies.alias("copies"))
+            ids, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.large_binary()).to_pylist()
+            for a, b in slices([len(t or b"") for t in found], CHUNK_BYTES):
+                yield sent(chunk, ids[a:b], grams(found[a:b]), bits)
+                chunk += 1
+
+    # One plan at every size: the ratios grow with the corpus, so they are never broadcast. They lie in buckets of the range.
+    blocks = ratios.table.rows.select("range", "keys", F.col(kind).alias("ratio")).groupBy("range")
+    answers = blocks.cogroup(texts.mapInArrow(send, SENT).groupBy("range")).applyInArrow(answered, ANSWER)
+    # Sums are the ids', whatever chunk they come from.
+    sums = answers.groupBy("chunk").applyInArrow(gathered, SUMS)
+    copies = F.sum("copies")
+    return sums.groupBy("id").agg((F.sum("total") / copies).alias("total"), (F.sum("n") / copies).cast("long").alias("n"), copies.alias("copies"))
 
 
 @dataclass
 class Model:
-    """The table of log-ratios, if there is one, and the calibration curve."""
+    """The log-ratios, if there are any, and the calibration curve."""
 
-    ratios: Table | None
+    ratios: Ratios | None
     curve: np.ndarray
     center: np.ndarray
     scale: np.ndarray
@@ -320,7 +451,7 @@ def learn_from(train: Table, sample: Table) -> Model:
     if all(early):
         # Rows of equal id and class have equal sums, each counted as often as it occurs.
         with freeing(sample.spark):
-            seen = summed(sample.rows, ratios.rows, "e").toArrow()
+            seen = summed(sample.rows, ratios, "e").toArrow()
         copies = seen["copies"].to_numpy()
         x, y = np.repeat(features(seen["total"].to_numpy(), seen["n"].to_numpy()), copies, 0), np.repeat(seen["id"].to_numpy() & 1, copies).astype(float)
     if not 0 < y.sum() < len(y):
@@ -339,7 +470,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         spark, path = docs.sparkSession, work_path(docs.sparkSession, "sums")
         parts = min(ROW_PARTS, pieces(measure(docs).text_bytes, PART_BYTES))
         for part in range(parts):
-            found = summed(rows.where(F.pmod(F.xxhash64(row_key()), F.lit(parts)) == part).select("id", "text"), model.ratios.rows, "a")
+            found = summed(rows.where(F.pmod(F.xxhash64(row_key()), F.lit(parts)) == part).select("id", "text"), model.ratios, "a")
             with freeing(spark):
                 found.write.mode("append").parquet(path)
         found = spark.read.schema(found.schema).parquet(path)
@@ -359,4 +490,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return score(docs, model)
     finally:
         if model.ratios is not None:
-            model.ratios.drop()
+            model.ratios.table.drop()
