@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..session import merged
 from .ordered import SEGMENT_ROWS, Running, by_count, first_ids, largest_group, running, with_halo
 
 REPEAT_WINDOW = 8
@@ -40,7 +41,7 @@ def grouped_finding(
 ) -> DataFrame:
     """One finding per session over flagged events (session_id, seq, id): total count and first ten ids."""
     totals = flagged.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    listed = totals.join(first_ids(flagged, ["session_id"], "seq", "id"), "session_id")
+    listed = totals.join(merged(first_ids(flagged, ["session_id"], "seq", "id")), "session_id")
     return finding(listed, detector, code, severity, summary(F.col("n")), F.col("evidence"))
 
 
@@ -60,7 +61,7 @@ def tool_calls(trace: DataFrame, biggest: int | None = None) -> DataFrame:
     if biggest is None or biggest > SEGMENT_ROWS:
         calls, segment = by_count(calls, ["session_id"], ["seq"])
     numbered = running(calls, ["session_id"], ["seq"], [Running("call_no", "count")], segment)
-    return numbered.join(call_outcomes(trace), ["session_id", "id"], "left").select(
+    return numbered.join(merged(call_outcomes(trace)), ["session_id", "id"], "left").select(
         "session_id", "seq", "id", "name", "signature", "call_no",
         F.coalesce("failed", F.lit(False)).alias("failed"),
         F.coalesce("succeeded", F.lit(False)).alias("succeeded"),
@@ -120,15 +121,15 @@ def error_events(trace: DataFrame) -> DataFrame:
         "session_id", F.col("id").alias("parent_id"), "signature"
     )
     signed = results.select("session_id", "seq", "id", "parent_id", "is_error").join(
-        calls, ["session_id", "parent_id"]
+        merged(calls), ["session_id", "parent_id"]
     )
     last_success = (
         signed.filter(~F.col("is_error")).groupBy("session_id", "signature").agg(F.max("seq").alias("last_ok"))
     )
     failed = signed.filter("is_error").select("session_id", "id", "signature")
-    recovered = failed.join(last_success, ["session_id", "signature"]).select("session_id", "id", "last_ok")
+    recovered = failed.join(merged(last_success), ["session_id", "signature"]).select("session_id", "id", "last_ok")
     errors = trace.filter("is_error").select("session_id", "seq", "id")
-    return errors.join(recovered, ["session_id", "id"], "left").select(
+    return errors.join(merged(recovered), ["session_id", "id"], "left").select(
         "session_id", "seq", "id", F.coalesce(F.col("last_ok") > F.col("seq"), F.lit(False)).alias("recovered")
     )
 
@@ -148,7 +149,7 @@ def unrecovered_errors(trace: DataFrame) -> DataFrame:
             F.format_string(" (%d total; %d later recovered by a retry of the same tool)", F.col("total"), healed),
         ).otherwise(""),
     )
-    return finding(totals.join(listed, "session_id"), 3, "errors", "warning", summary, F.col("evidence"))
+    return finding(totals.join(merged(listed), "session_id"), 3, "errors", "warning", summary, F.col("evidence"))
 
 
 def user_correction(trace: DataFrame, phrases: tuple[str, ...] = fv.CORRECTION_PHRASES) -> DataFrame:
@@ -185,7 +186,7 @@ def dangling_events(trace: DataFrame) -> DataFrame:
     """Events with at least one parent that is not in the session."""
     links = trace.select("session_id", "seq", "id", F.explode(parents(trace)).alias("parent"))
     known = trace.select("session_id", F.col("id").alias("parent"))
-    return links.join(known, ["session_id", "parent"], "left_anti").select("session_id", "seq", "id").distinct()
+    return links.join(merged(known), ["session_id", "parent"], "left_anti").select("session_id", "seq", "id").distinct()
 
 
 def dangling_edges(trace: DataFrame) -> DataFrame:

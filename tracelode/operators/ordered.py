@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, merged
 
 # Rows of one session a single task may hold at once.
 SEGMENT_ROWS = 250_000
@@ -124,9 +124,9 @@ def running(
     carries = summaries.select(*parts, *[carry(v).alias("_c_" + v.name) for v in values])
     held = carries.select(*[F.col(p).alias("_k_" + p) for p in parts], *["_c_" + v.name for v in values])
     same = [F.col(p).eqNullSafe(F.col("_k_" + p)) for p in parts]
-    joined = scanned.join(held, reduce(lambda x, y: x & y, same), "inner")
+    joined = scanned.join(merged(held), reduce(lambda x, y: x & y, same), "inner")
 
-    def merged(v: Running) -> Column:
+    def whole(v: Running) -> Column:
         own, prior = F.col(v.name), F.col("_c_" + v.name)
         if v.how == "max":
             return F.greatest(own, prior)
@@ -134,7 +134,7 @@ def running(
 
     names = {v.name for v in values}
     return joined.select(
-        *[c for c in df.columns if c not in names], *[merged(v).alias(v.name) for v in values]
+        *[c for c in df.columns if c not in names], *[whole(v).alias(v.name) for v in values]
     )
 
 

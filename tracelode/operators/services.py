@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import variants as v
+from ..session import merged
 from .detectors import finding, first_ids, grouped_finding, union_all
 
 STAGE_KINDS = ("loop_generate", "loop_evaluate")
@@ -92,8 +93,8 @@ def loop_bottleneck(stages: DataFrame) -> DataFrame:
         "session_id", F.concat(F.lit("loop_"), "top.stage").alias("kind"), F.col("top.stage").alias("stage"),
         F.bround(100 * F.col("top.duration_ms") / F.col("total"), 0).cast("int").alias("share"),
     )
-    timed = stages.filter(F.col("duration_ms").isNotNull()).join(hot.select("session_id", "kind"), ["session_id", "kind"])
-    listed = hot.join(first_ids(timed, ["session_id"], "seq", "id"), "session_id")
+    timed = stages.filter(F.col("duration_ms").isNotNull()).join(merged(hot.select("session_id", "kind")), ["session_id", "kind"])
+    listed = hot.join(merged(first_ids(timed, ["session_id"], "seq", "id")), "session_id")
     return finding(
         listed, 10, "loop_bottleneck", "info",
         F.format_string("The %s stage consumed %d%% of recorded agent time", "stage", "share"), F.col("evidence"),
@@ -130,8 +131,8 @@ def loop_gaps(stages: DataFrame) -> DataFrame:
 def contract_findings(sessions: DataFrame, trace: DataFrame) -> DataFrame:
     """Contracts that are not satisfied, with the failed events as evidence."""
     failed = sessions.filter("pipeline_success = 0").select("session_id")
-    errors = trace.filter("is_error").join(failed, "session_id", "left_semi")
-    listed = failed.join(first_ids(errors, ["session_id"], "seq", "id"), "session_id", "left")
+    errors = trace.filter("is_error").join(merged(failed), "session_id", "left_semi")
+    listed = failed.join(merged(first_ids(errors, ["session_id"], "seq", "id")), "session_id", "left")
     return finding(
         listed, 11, "pipeline_contract", "critical",
         F.lit("Declared pipeline verification contract is not satisfied"),

@@ -57,6 +57,15 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that has rows for each session: never broadcast on an estimate.
+
+    Spark takes the size of compressed files for that of their rows, so millions of them pass for a few MB and are
+    gathered on the driver.
+    """
+    return side.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job through a table in the shared folder.
 

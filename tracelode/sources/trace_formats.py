@@ -16,7 +16,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions import variants as v
 from ..names import DEFAULT, Names
-from ..operators.ordered import Running, running, seq_segment
+from ..operators.ordered import Running, largest_group, running, seq_segment
 from ..session import cut
 from . import lines as ln
 
@@ -300,6 +300,8 @@ def ingest(
     # Bronze table: lines are parsed once; the formats and the error report read from it.
     tagged = cut(ln.with_format(ln.parse(lines), names))
     usable = tagged.filter(F.col("reason").isNull() & F.col("format").isNotNull())
+    # Measured here where the caller has not: small sessions need no segments, and their lines are read once.
+    biggest = largest_group(tagged, "source") if biggest is None else biggest
     readers = {
         names.pi_format: pi_events,
         names.generic_format: lambda rows: generic_events(rows, biggest),
